@@ -26,6 +26,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.scratch import fresh_path
+    from tessera.llm.token_store import read_summary, write_store
+
+    path = fresh_path(spark, "store")
+    write_store(table(spark, sf_dir, "documents"), path, vocabulary())
+    return read_summary(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -3,45 +3,29 @@
 Rows are put in a global order by range partitioning. Each partition's total gives the bytes and rows
 before it; a running sum inside the partition gives those before each row. A row belongs to the shard
 in which the middle of its bytes falls, so no cut is further from its equal target than half a row.
-Only numbers move: texts are measured where they are read.
+Only numbers move: texts are measured where they are read, once.
 
 Defined cases: a null or empty text has size 1 and CRC-32 zero; equal rows are separate rows, in any
-order among themselves; null keys come first; an empty table gives an empty result; columns that the
-operator adds replace input columns of the same names, others aren't read.
+order among themselves; null keys come first; an empty table gives an empty result; input columns besides
+the key and those of the expressions aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.ordering import ranged, with_prefix
 from tessera.llm.scratch import materialise
 
-#: Equal rows are dealt by this many salts, so that they needn't share a partition.
-SALTS = 1024
-
 
 def shard_by_bytes(docs: DataFrame, n_shards: int, key: str, size: Column, kept: dict[str, Column], partitions: int | None = None) -> DataFrame:
     """``key``, ``size``, the columns of ``kept``, ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Written first, so that drawing the range bounds doesn't read the texts again.
     slim = materialise(docs.select(F.col(key), size.cast("long").alias("size"), *[c.alias(k) for k, c in kept.items()]), "sizes")
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt")
-    # The sampled range bounds are drawn once: what follows reads the written table.
-    ranged = materialise(slim.select("*", salt).repartitionByRange(n, key, "_salt", *[x for x in slim.columns if x != key]).withColumn("_part", F.spark_partition_id()), "ranged")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each partition: bounded by their number.
-    totals = ranged.groupBy("_part").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
-    starts = totals.select("_part", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_from"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"), F.sum("_bytes").over(Window.partitionBy()).alias("_total"))
-    within = Window.partitionBy("_part").orderBy(key, "_salt", *[x for x in slim.columns if x != key]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        ranged.withColumn("_upto", F.sum("size").over(within))
-        .withColumn("_nth", F.count(F.lit(1)).over(within) - 1)
-        .join(F.broadcast(starts), "_part")
-        .withColumn("_middle", F.col("_from") + F.col("_upto") - F.col("size") / 2)
-        .withColumn("shard", F.least(F.floor(F.col("_middle") * n_shards / F.col("_total")), F.lit(n_shards - 1)).cast("int"))
-        .withColumn("_rank", F.col("_first") + F.col("_nth"))
-    )
+    placed = with_prefix(ranged(slim, key, partitions), key, "size", [x for x in slim.columns if x != key])
+    middle = F.col("_before") + F.col("size") / 2
+    placed = placed.withColumn("shard", F.least(F.floor(middle * n_shards / F.col("_total")), F.lit(n_shards - 1)).cast("int"))
     firsts = placed.groupBy("shard").agg(F.min("_rank").alias("_start"))
     # At most n_shards rows.
     return placed.join(F.broadcast(firsts), "shard").select(*slim.columns, "shard", (F.col("_rank") - F.col("_start")).cast("long").alias("slot"))
