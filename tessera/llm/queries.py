@@ -32,6 +32,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.scratch import fresh_path
     from tessera.llm.token_store import read_summary, write_store
