@@ -38,6 +38,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.scratch import fresh_path
     from tessera.llm.token_store import read_summary, write_store
