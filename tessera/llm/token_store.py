@@ -1,7 +1,7 @@
 """A content-addressed store of token ids.
 
 Writing tokenises each document once, in the task that reads it. A rolling hash over the ids cuts the
-stream into chunks of 64 to 1024 ids, so that equal passages give equal chunks wherever they stand. A
+stream into chunks of 128 to 4096 ids, so that equal passages give equal chunks wherever they stand. A
 chunk is named by its digest. Chunks are dealt by digest and one copy of each is kept; a task sends a
 chunk's ids once. Beside them stands a recipe for each document: its chunks' digests and lengths and their
 Merkle root. Recipes are then put in ascending order of doc_id with the number of ids before each, and a
@@ -34,7 +34,7 @@ from tessera.llm.ordering import ranged, with_prefix
 from tessera.llm.tokens import Encoder, crc32
 
 END = 1
-LEAST, WINDOW, MASK, MOST = 64, 16, 255, 1024
+LEAST, WINDOW, MASK, MOST = 128, 16, 511, 4096
 #: A task remembers so many chunks that it has sent.
 REMEMBERED = 500_000
 BLOCKS = "digest binary, payload binary, doc_id long, n_tokens long, digests binary, lengths binary, root binary"
@@ -58,34 +58,46 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ``ids``: where the hash of the last ``WINDOW`` ids has zeros, between ``LEAST`` and ``MOST``."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    up, down = _powers(n)
-    total = np.cumsum(_spread(ids.astype(np.uint64) + np.uint64(1)) * down)
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """A random-looking number for each id; small ids are looked up."""
+    if "mixed" not in _POWERS:
+        _POWERS["mixed"] = _spread(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+    return _POWERS["mixed"][ids] if int(ids.max()) < 1 << 16 else _spread(ids.astype(np.uint64) + np.uint64(1))
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the hash of the last ``WINDOW`` ids has zeros in its high bits."""
+    up, down = _powers(len(ids))
+    total = np.cumsum(_mixed(ids) * down)
     rolled = total * up
     rolled[WINDOW:] = (total[WINDOW:] - total[:-WINDOW]) * up[WINDOW:]
-    marks = np.flatnonzero((_spread(rolled) & np.uint64(MASK)) == 0) + 1
+    return np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def chunk_ends(found: list[int], n: int) -> list[int]:
+    """Ends of the chunks of ``n`` ids from the marks among them: ``LEAST`` to ``MOST`` ids apart, but for the last."""
     out, last = [], 0
-    for m in marks.tolist():
-        if m - last < LEAST:
-            continue
+    for m in (*found, n):
         while m - last > MOST:
             last += MOST
             out.append(last)
-        if m - last >= LEAST:
+        if m - last >= LEAST and m < n:
             out.append(m)
             last = m
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
     if last < n:
         out.append(n)
     return out
 
 
+def cuts(texts: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each of several texts. All are hashed at once: as ``LEAST`` is over ``WINDOW``, no cut sees the text before."""
+    ends = np.cumsum([len(x) for x in texts])
+    found = marks(np.concatenate(texts))
+    starts = ends - [len(x) for x in texts]
+    lo, hi = np.searchsorted(found, starts, "right"), np.searchsorted(found, ends, "right")
+    return [chunk_ends((found[a:b] - s).tolist(), len(x)) for a, b, s, x in zip(lo.tolist(), hi.tolist(), starts.tolist(), texts)]
+
+
 def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
@@ -131,35 +143,43 @@ def _encoder(vocabulary: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.shared(vocabulary), np.array([END], dtype="<u4").tobytes()
         sent: set[bytes] = set()
-        rows: list[tuple] = []
-        held, nth, part = 0, 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encoder.ids(text.as_py()) + end, dtype="<u4")
-                small = ids.astype("<u2") if int(ids.max()) < 1 << 16 else None
-                names, lengths, last = [], [], 0
-                for cut in cuts(ids):
-                    # The first byte says how wide the ids are.
-                    payload = b"\x02" + small[last:cut].tobytes() if small is not None else b"\x04" + ids[last:cut].tobytes()
+        nth, part = 0, TaskContext.get().partitionId()
+
+        def coded(docs: list[int | None], texts: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal nth
+            rows: list[tuple] = []
+            for doc_id, ids, ends in zip(docs, texts, cuts(texts)):
+                # The first byte says how wide the ids are.
+                wide = 2 if int(ids.max()) < 1 << 16 else 4
+                raw, head = ids.astype(f"<u{wide}").tobytes(), bytes([wide])
+                names, last = [], 0
+                for cut in ends:
+                    payload = head + raw[wide * last : wide * cut]
                     names.append(name := digest(payload))
-                    lengths.append(cut - last)
                     last = cut
                     if name not in sent:
                         if len(sent) >= REMEMBERED:
                             sent.clear()
                         sent.add(name)
                         rows.append((name, payload, None, None, None, None, None))
-                        held += len(payload)
                 # A recipe's own key deals it anywhere.
                 key = hashlib.blake2b(f"{part}:{nth}".encode(), digest_size=17).digest()
                 nth += 1
                 digests = b"".join(names)
-                rows.append((key, None, doc_id, len(ids), digests, np.array(lengths, dtype="<u4").tobytes(), _root(digests)))
-                held += len(digests) + 100
-                if held > 4_000_000:
-                    yield _batch(rows, BLOCKS, [_B, _B, _L, _L, _B, _B, _B])
-                    rows, held = [], 0
-        yield _batch(rows, BLOCKS, [_B, _B, _L, _L, _B, _B, _B])
+                rows.append((key, None, doc_id, len(ids), digests, np.diff([0, *ends]).astype("<u4").tobytes(), _root(digests)))
+            return _batch(rows, BLOCKS, [_B, _B, _L, _L, _B, _B, _B])
+
+        for batch in batches:
+            docs, texts, held = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                docs.append(doc_id)
+                texts.append(np.frombuffer(encoder.ids(text.as_py()) + end, dtype="<u4"))
+                held += len(texts[-1])
+                if held > 500_000:
+                    yield coded(docs, texts)
+                    docs, texts, held = [], [], 0
+            if docs:
+                yield coded(docs, texts)
 
     return encode
 
@@ -221,13 +241,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of each recipe, with the bytes after it."""
     for batch in batches:
-        for doc_id, start, digests, lengths, root in zip(*[c.to_pylist() for c in batch.columns]):
+        names, n, after, count = [], [], [], []
+        for doc_id, digests, lengths, root in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "digests", "lengths", "root")]):
             if _root(digests) != root:
                 raise ValueError(f"the recipe of document {doc_id} differs from its root")
-            n = np.frombuffer(lengths, dtype="<u4").astype(np.int64)
-            after = (n.sum() - np.cumsum(n)) * 4
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * k, _L), pa.array([start] * k, _L), pa.array([digests[a : a + 16] for a in range(0, len(digests), 16)], _B), pa.array(n, _L), pa.array(after, _L)], names=["doc_id", "start", "digest", "length", "after"])
+            names += [digests[a : a + 16] for a in range(0, len(digests), 16)]
+            own = np.frombuffer(lengths, dtype="<u4").astype(np.int64)
+            n.append(own)
+            after.append((own.sum() - np.cumsum(own)) * 4)
+            count.append(len(own))
+        if names:
+            where = pa.array(np.repeat(np.arange(len(count)), count))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("start").take(where), pa.array(names, _B), pa.array(np.concatenate(n), _L), pa.array(np.concatenate(after), _L)], names=["doc_id", "start", "digest", "length", "after"])
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
