@@ -71,6 +71,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.scratch import fresh_path
+    from tessera.llm.warc import archive_pages, read_archive
+
+    path = fresh_path(spark, "warc")
+    archive_pages(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", verify=True)
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -314,23 +314,21 @@ def repeated(rows: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.ndarr
     left, right = rows[:, -2].astype(int), rows[:, -1].astype(int)
     text = np.concatenate((rows[:, GRAM + REACH : GRAM + 2 * REACH][:, ::-1], rows[:, : GRAM + REACH]), axis=1)
     total = np.zeros((len(rows), text.shape[1] + 1), dtype=np.uint64)
-    up, down = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+    down = np.uint64(pow(_BASE, -1, 1 << 64))
     powers = np.cumprod(np.full(text.shape[1], down, dtype=np.uint64))
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers, axis=1, out=total[:, 1:])
     seed = group.astype(np.uint64) * _MIX
     out = np.zeros(len(rows), dtype=np.uint32)
-    scale = np.uint64(1)
     for o in range(REACH, -1, -1):
         a = REACH - o
         ok = np.flatnonzero((left >= o) & (right >= REACH - o))
         if len(ok):
-            name = ((total[ok, a + LENGTH] - total[ok, a]) * scale) ^ seed[ok]
+            name = ((total[ok, a + LENGTH] - total[ok, a]) * np.uint64(pow(_BASE, a, 1 << 64))) ^ seed[ok]
             order = np.argsort(name, kind="stable")
             new = np.concatenate(([True], np.diff(name[order]) != 0))
             smallest = np.minimum.reduceat(least[ok][order], np.flatnonzero(new))[np.cumsum(new) - 1]
             hit = ok[order][smallest < least[ok][order]]
             out[hit] |= np.uint32(1 << o)
-        scale *= up
     return out
 
 
