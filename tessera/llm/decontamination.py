@@ -169,3 +169,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covere
     for block in rest:
         out = materialise(out, "contaminated").union(materialise(ids.mapInArrow(_matcher(block, covered), PAIRS), "contaminated"))
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covered: float = COVERED) -> DataFrame:
+    """The rows of ``docs`` that cover no item to the share ``covered``, with their columns; decided where a row is read."""
+
+    def clean(block: Items):
+        match = _matcher(block, covered)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], names=["doc_id", "text"])
+                mask = np.ones(batch.num_rows, dtype=bool)
+                for found in match(iter([rows])):
+                    mask[found.column("doc_id").to_numpy()] = False
+                yield batch.filter(pa.array(mask))
+
+        return keep
+
+    out = docs
+    for block in blocks(benchmark, seed):
+        out = out.mapInArrow(clean(block), docs.schema)
+    return out

@@ -9,9 +9,9 @@ Terms reveal protected data by co-occurrence. For each kind, a term's disclosure
 term) over P(kind). A term that stands near a kind in at least ``SUPPORT`` documents, in at least the share ``SHARE`` of
 all documents that have it, and whose disclosure is at least ``BITS``, is generalised wherever it stands. Base spans stay.
 
-Counts: words near values come from documents with values; only those with enough support are then counted over
-all documents. Candidates, disclosing terms and the documents that have them are broadcast if they are at most
-``BROADCAST`` rows, else they are joined by shuffle. Texts are read where they lie.
+Words near values come from documents with values; how many documents have a word is counted over all. Disclosing
+terms and the documents that have them are broadcast if they are at most ``BROADCAST`` rows, else they are joined by
+shuffle. Texts are read where they lie.
 
 Defined cases: a null text is empty; repeated rows are found alike; null ids are kept; an empty table gives an empty
 result; the kinds are matched independently and may overlap; input columns besides doc_id and text aren't read.
@@ -120,14 +120,15 @@ def annotate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = based.agg(F.count("*").alias("n"), *[F.count_if(F.exists("spans", _is(i))).alias(k) for i, k in enumerate(PATTERNS)]).head()
     joint = based.select(F.inline("near")).groupBy("term", "kind").agg(F.count("*").alias("joint")).filter(F.col("joint") >= SUPPORT)
     joint = materialise(joint, "joint")
-    candidates = materialise(joint.select("term").distinct(), "candidates")
     words = ids.select("doc_id", "_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    hits = materialise(words.join(_sized(candidates), "term"), "hits")
+    # Counts are made in each task before they are shuffled.
+    df = words.groupBy("term").agg(F.count("*").alias("df"))
     of_kind = F.element_at(F.array(*[F.lit(counts[k]) for k in PATTERNS]), F.col("kind") + 1)
     share = F.col("joint") / F.col("df")
-    disclosing = joint.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term").filter((share >= SHARE) & (F.log2(share * counts["n"] / of_kind) >= BITS))
+    disclosing = joint.join(df, "term").filter((share >= SHARE) & (F.log2(share * counts["n"] / of_kind) >= BITS))
     disclosing = materialise(disclosing.select("term").distinct(), "disclosing")
-    by_text = materialise(hits.join(_sized(disclosing), "term").groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "by_text")
+    hits = words.join(_sized(disclosing), "term")
+    by_text = materialise(hits.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "by_text")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     keyed = ids.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash"), "text")
     few = _sized(by_text)

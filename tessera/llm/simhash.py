@@ -44,39 +44,63 @@ SHARD, BLOCK, LEAF = 16_384, 65_536, 384
 SAMPLE = 262_144
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """SimHash of a text's shingles of ``width`` words as an unsigned 64-bit integer."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of a text's shingles of ``width`` words, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     if len(words) <= width:
-        hashes = [xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-width])).tolist()
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width])).tolist()
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A 64-bit integer with the bits that are set in over half of ``hashes``."""
     total = np.zeros(64, dtype=np.int64)
     for a in range(0, len(hashes), 65_536):
-        part = np.array(hashes[a : a + 65_536], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[a : a + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and fp (signed) of each row."""
+def fingerprint(text: str | None, width: int) -> int:
+    """SimHash of a text's shingles of ``width`` words as an unsigned 64-bit integer."""
+    return majority(shingle_hashes(text, width))
+
+
+#: Constants that make further independent hashes of a shingle's hash.
+_FURTHER = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+
+
+def _rehash(h: np.ndarray, k: int) -> np.ndarray:
+    x = (h ^ np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def fingerprints(docs: DataFrame, width: int, wide: bool = False) -> DataFrame:
+    """doc_id, text_key, node, fp and further 64-bit words w1 to w3 (zero unless ``wide``) of each row, all signed."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            out = np.zeros((batch.num_rows, 4), dtype=np.uint64)
+            for k, text in enumerate(batch.column(2)):
+                h = shingle_hashes(text.as_py(), width)
+                out[k, 0] = majority(h)
+                if wide and len(h):
+                    out[k, 1:] = [majority(_rehash(h, c)) for c in _FURTHER]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(4)]], names=["doc_id", "text_key", "fp", "w1", "w2", "w3"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(hashed, "doc_id long, text_key long, fp long, w1 long, w2 long, w3 long")
+    return rows.withColumn("node", F.xxhash64("fp", "w1", "w2", "w3") if wide else F.col("fp"))
 
 
 def bands(distance: int) -> list[tuple[np.uint64, int]]:
     """Masks of nearly equal bands, and the radius in each."""
-    n = 3 if distance >= 2 else distance + 1
+    n = 3 if 2 <= distance <= 5 else distance // 2 + 1 if distance > 5 else distance + 1
     edges = [round(64 * k / n) for k in range(n + 1)]
     return [(np.uint64(sum(1 << b for b in range(lo, hi))), distance // n) for lo, hi in zip(edges, edges[1:])]
 
@@ -136,8 +160,8 @@ class Tree:
 class Forest:
     """Union-find over the fingerprints of a task."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, n: int, wide: np.ndarray | None = None, most: int = 0):
+        self.label, self.wide, self.most = np.arange(n), wide, most
         self.links: list[tuple[int, int]] = []
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -155,12 +179,19 @@ class Forest:
 
 
 def _compare(x: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int, forest: Forest) -> None:
+    """Link all pairs within ``distance`` and, with further words, within ``forest.most`` bits of all."""
     for a in range(0, len(left), 512):
         i = left[a : a + 512]
         for b in range(0, len(right), 4096):
             j = right[b : b + 4096]
             p, q = np.nonzero(np.bitwise_count(x[i][:, None] ^ x[j][None, :]) <= distance)
-            forest.join(i[p], j[q])
+            p, q = i[p], j[q]
+            if forest.wide is not None:
+                open_ = forest.label[p] != forest.label[q]
+                p, q = p[open_], q[open_]
+                near = np.bitwise_count(x[p] ^ x[q]) + np.bitwise_count(forest.wide[p] ^ forest.wide[q]).sum(1) <= forest.most
+                p, q = p[near], q[near]
+            forest.join(p, q)
 
 
 def _local(x: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.uint64, radius: int, distance: int, forest: Forest) -> None:
@@ -181,21 +212,25 @@ def _local(x: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.uint64,
         todo.append((home[d > mu], np.concatenate((home[(d <= mu) & (d > mu - radius)], visit[e > mu - radius]))))
 
 
-def _linker(masks: list[tuple[np.uint64, int]], distance: int):
+def _linker(masks: list[tuple[np.uint64, int]], distance: int, most: int | None):
     def links(group: pd.DataFrame) -> pd.DataFrame:
         x, role = group["fp"].to_numpy(np.int64).view(np.uint64), group["role"].to_numpy()
         mask, radius = masks[int(group["task"].iat[0]) >> 56]
-        forest = Forest(len(x))
+        wide = None if most is None else np.column_stack([group[w].to_numpy(np.int64).view(np.uint64) for w in ("w1", "w2", "w3")])
+        forest = Forest(len(x), wide, most or 0)
         left, right = np.flatnonzero(role & 1), np.flatnonzero(role == 2)
         _local(x, left, right, mask, radius, distance, forest)
-        fp, pairs = x.view(np.int64), np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+        node, pairs = group["node"].to_numpy(np.int64), np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
     return links
 
 
-def link_fingerprints(fps: DataFrame, distance: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between distinct ``fp`` that join all pairs within ``distance``: one row for each link of spanning forests."""
+def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between distinct nodes that join all pairs within ``distance``: one row for each link of spanning forests.
+
+    With ``most``, a pair must also differ in at most so many bits of ``fp`` and w1 to w3 together.
+    """
     n = fps.count()
     leaves = max(1, -(-n // shard))
     masks = bands(distance)
@@ -213,6 +248,8 @@ def link_fingerprints(fps: DataFrame, distance: int, shard: int = SHARD, block:
     # At most as many rows as leaves, whose number the sample bounds.
     blocks = {(r.band, r.leaf): (-(-r.home // block), -(-(r.home + r.visit) // block)) for r in sizes.filter(F.col("home") + F.col("visit") > block).collect()}
 
+    carried = ["fp", "node"] if most is None else ["fp", "node", "w1", "w2", "w3"]
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(0).to_numpy().view(np.uint64)
@@ -238,17 +275,46 @@ def link_fingerprints(fps: DataFrame, distance: int, shard: int = SHARD, block:
                     for j in range(columns):
                         put(base | ((mix[home] % np.uint64(rows)).astype(np.int64) << 16) | j, home, 1)
             idx = np.concatenate(who)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tasks).astype(np.int64)), pa.array(x[idx].view(np.int64)), pa.array(np.concatenate(roles))], names=["task", "fp", "role"])
+            rest = [c.take(pa.array(idx)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tasks).astype(np.int64)), pa.array(np.concatenate(roles)), *rest], names=["task", "role", *carried])
 
-    return fps.select("fp").mapInArrow(dealt, "task long, fp long, role int").groupBy("task").applyInPandas(_linker(masks, distance), "a long, b long")
+    schema = "task long, role int, " + ", ".join(f"{c} long" for c in carried)
+    return fps.select(*carried).mapInArrow(dealt, schema).groupBy("task").applyInPandas(_linker(masks, distance, most), "a long, b long")
+
+
+def _components(known: DataFrame, distance: int, most: int | None, shard: int, block: int) -> DataFrame:
+    """node and component_id, the smallest doc_id reachable."""
+    reps = materialise(known.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "w1", "w2", "w3")]), "representatives")
+    joined = components(link_fingerprints(reps, distance, most, shard, block)).withColumnRenamed("node", "_node")
+    labelled = reps.join(joined, reps["node"] == joined["_node"], "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return labelled.join(least, "root").select("node", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of each row."""
     known = materialise(fingerprints(docs, width), "fingerprints")
-    reps = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    joined = components(link_fingerprints(reps.select("fp"), distance, shard, block))
-    labelled = reps.join(joined, reps.fp == joined.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
-    return known.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _components(known, distance, None, shard, block)
+    return known.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For a similarity of 0.8 of sets of shingles, about 39 of 256 bits differ; a first word differs in 10, with a deviation of 3.
+NEAR_FIRST, NEAR_ALL = 13, 40
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, distance: int = NEAR_FIRST, most: int = NEAR_ALL, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest doc_id, then hash of the text.
+
+    Texts are linked if ``distance`` or fewer of the first 64 and ``most`` or fewer of 256 fingerprint bits differ; the
+    defaults stand for a similarity of 0.8 of five-word shingles. The first word finds pairs, all words confirm
+    them. Texts without words are one group. Rows with equal ids and texts count as one document, of which one row stays.
+    """
+    known = materialise(fingerprints(docs, width, wide=True), "fingerprints")
+    named = _components(known, distance, most, shard, block)
+    grouped = known.select("doc_id", "text_key", "node").join(named, "node")
+    kept = materialise(grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"), F.count("*").alias("n")).select("k.doc_id", "k.text_key", "n"), "kept")
+    again = known.join(kept.filter("n > 1").select("doc_id", "text_key"), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").count().filter("count > 1")
+    keys = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    out = docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (text_key == keys["_key"]), "left_semi")
+    return out if again.isEmpty() else out.withColumn("_key", text_key).dropDuplicates(["doc_id", "_key"]).drop("_key")

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 ORDER, BITS, DISCOUNT, WINDOW = 5, 12, 0.75, 6
 GRAMS, CALIBRATION, BROADCAST = 1_000_000, 50_000, 2_000_000
@@ -188,36 +189,56 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``docs``; ``labels`` has doc_id and toxic."""
+def _scorer(docs: DataFrame, labels: DataFrame) -> float | tuple:
+    """The share of toxic labels if nothing can be learnt, else the shared model and the weights of the features."""
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 2")
     known = known.cache()
     stats = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).head()
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
-
-    def constant(value: float) -> DataFrame:
-        return ids.select("doc_id", held, F.lit(value).alias("score"), F.lit(int(value >= threshold)).alias("predicted"))
-
     if stats.k in (0, stats.n):
-        return constant(stats.k / max(stats.n, 1))
+        return stats.k / max(stats.n, 1)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_label = F.broadcast(known) if stats.n <= BROADCAST else known
     train = ids.join(by_label.filter("fold <> 3"), "doc_id").select("text", "toxic")
     counts = train.mapInArrow(_counter, "gram long, toxic long, other long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     top = counts.orderBy((F.col("toxic") + F.col("other")).desc(), "gram").limit(GRAMS).toPandas()
     if not len(top) or not top["toxic"].any():
-        return constant(stats.k / stats.n)
+        return stats.k / stats.n
     model = spark.sparkContext.broadcast(Model(top["gram"].to_numpy(), top["toxic"].to_numpy(), top["other"].to_numpy()))
     some = known.filter("fold = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
     rows = ids.join(F.broadcast(some), "doc_id").select("text", "toxic")
     seen = rows.mapInArrow(_mapped(model, lambda x: list(x.T), ["toxic", "peak", "mean"]), "toxic int, peak double, mean double").toPandas()
+    known.unpersist()
     if seen["toxic"].nunique() < 2:
-        return constant(stats.k / stats.n)
-    w = _logistic(seen[["peak", "mean"]].to_numpy(), seen["toxic"].to_numpy(float))
+        return stats.k / stats.n
+    return model, _logistic(seen[["peak", "mean"]].to_numpy(), seen["toxic"].to_numpy(float))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
+    """``source`` (texts as ``_text``, then other columns) with _score and _predicted instead of _text."""
+    found = _scorer(docs, labels)
+    rest = [c for c in source.columns if c != "_text"]
+    if not isinstance(found, tuple):
+        return source.select(*rest, F.lit(float(found)).alias("_score"), F.lit(int(found >= threshold)).alias("_predicted"))
+    model, w = found
 
     def finish(x: np.ndarray) -> list[np.ndarray]:
         score = 1 / (1 + np.exp(-np.clip(x @ w[:2] + w[2], -30, 30)))
         return [score, (score >= threshold).astype(np.int32)]
 
-    return ids.select("text", "doc_id", held).mapInArrow(_mapped(model, finish, ["doc_id", "held_out", "score", "predicted"]), "doc_id long, held_out boolean, score double, predicted int")
+    schema = StructType([source.schema[c] for c in rest]).add("_score", DoubleType()).add("_predicted", IntegerType())
+    return source.select("_text", *rest).mapInArrow(_mapped(model, finish, schema.names), schema)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of ``docs``; ``labels`` has doc_id and toxic."""
+    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    source = docs.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), held)
+    out = _scored(docs, labels, source, threshold)
+    return out.select("doc_id", "held_out", F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their columns."""
+    source = docs.select(F.col("text").alias("_text"), *[F.col(c) for c in docs.columns])
+    return _scored(docs, labels, source, threshold).filter("_predicted = 0").select(*docs.columns)
