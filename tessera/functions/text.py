@@ -184,7 +184,7 @@ def document_name(name: Column) -> dict[str, Column]:
 
 def markup_blocks(raw: Column) -> Column:
     """The html that a wrapped filing holds: its text blocks that start as html and aren't viewer shells, else the longest block, else itself."""
-    blocks = F.transform(F.regexp_extract_all(raw, F.lit(r"(?is)<text>(.*?)(?:</text>|\z)"), F.lit(1)), F.trim)
+    blocks = F.transform(F.regexp_extract_all(raw, F.lit(r"(?is)<text>\s*(.*?)\s*(?:</text>|\z)"), F.lit(1)), F.trim)
     good = F.filter(blocks, lambda b: b.rlike(r"(?is)^(<\?xml[^>]*>\s*)?(<!doctype html|<html)") & ~F.contains(F.lower(F.substring(b, 1, 600)), F.lit("ixviewer")))
     longest = F.element_at(F.array_sort(blocks, lambda a, b: F.length(b) - F.length(a)), 1)
     wrapped = F.contains(F.lower(raw), F.lit("<text>")) & F.contains(F.lower(raw), F.lit("<html"))

@@ -24,7 +24,7 @@ BLOCK = {"p", "div", "ul", "ol", "table", "section", "article", "nav", "header",
 CLOSES = {"li": ({"li"}, {"ul", "ol", "table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 SCHEMA = (
     "doc string, seq int, parent_seq int, end_seq int, tag string, depth int, style string, colspan int, text string, table_seq int, row_idx int, cell_idx int, "
-    "in_leaf_table boolean, has_nested_table boolean, has_child_prose boolean, has_ix_child boolean"
+    "in_leaf_table boolean, has_nested_table boolean, has_child_prose boolean, has_ix_child boolean, kind string, turns_page boolean"
 )
 
 
@@ -126,7 +126,13 @@ def elements(doc: str | None, html: str | None) -> list[tuple]:
     out = []
     for e in tree.all:
         leaf = e.table is not None and not e.table.nested
-        out.append((doc, e.seq, e.parent.seq if e.parent else None, e.end, e.tag, e.depth, e.style, e.colspan, " ".join(e.parts).strip(), e.table.seq if e.table else None, e.row, e.cell, leaf, e.nested, e.prose, e.ix))
+        inside = leaf and e.tag != "table"
+        text = " ".join(e.parts).strip()
+        prose = e.tag in PROSE and not (e.prose or e.nested or e.ix or inside) and len(text) >= 2
+        kind = "heading" if e.tag in HEADINGS else "table" if e.tag == "table" and not e.nested else "prose" if prose else None
+        breaks = ("break-before" in e.style or "break-after" in e.style) and "always" in e.style
+        turns = breaks and e.tag not in HEADINGS and e.tag != "table" and not inside
+        out.append((doc, e.seq, e.parent.seq if e.parent else None, e.end, e.tag, e.depth, e.style, e.colspan, text, e.table.seq if e.table else None, e.row, e.cell, leaf, e.nested, e.prose, e.ix, kind, turns))
     return out
 
 

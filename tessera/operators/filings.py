@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import accounting_number, document_name, is_numeric, is_spacer, statement_type, unit_header, words
 
-HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-
 
 def is_break(style: Column) -> Column:
     """An inline style that breaks the page."""
@@ -58,12 +56,7 @@ def section_in_force(section: Column, page: Column, key: str, order: str, scope:
 
 def segments(dom: DataFrame, per_page: int = 550, least_breaks: int = 5, heading_most: int = 200) -> DataFrame:
     """doc, seq, kind (heading, prose, table), text, page, page_method, units, section of what a document shows, in order."""
-    heading, table = F.col("tag").isin(HEADINGS), (F.col("tag") == "table") & ~F.col("has_nested_table")
-    inside = F.col("in_leaf_table") & ~table
-    prose = F.col("tag").isin("p", "div", "span", "li") & ~F.col("has_child_prose") & ~F.col("has_nested_table") & ~F.col("has_ix_child") & ~inside & (F.length("text") >= 2)
-    kind = F.when(heading, "heading").when(table, "table").when(prose, "prose")
-    breaks = is_break(F.col("style")) & ~heading & ~(F.col("tag") == "table") & ~inside
-    d = dom.select("doc", "seq", "text", kind.alias("kind"), breaks.alias("brk")).join(page_method(dom, least_breaks), "doc")
+    d = dom.select("doc", "seq", "text", "kind", F.col("turns_page").alias("brk")).join(page_method(dom, least_breaks), "doc")
     n = F.when(F.col("kind") == "prose", F.size(words(F.col("text")))).otherwise(0)
     d = d.withColumn("page", F.when(F.col("page_method") == "marker", marker_page(F.col("brk"))).otherwise(word_page(n, per_page=per_page))).filter("kind is not null")
     named = F.when(F.col("kind") == "heading", statement_type(F.col("text"))).when((F.col("kind") == "prose") & (F.length("text") <= heading_most), statement_type(F.col("text"), strict=True)).otherwise("other")
