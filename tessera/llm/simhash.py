@@ -98,11 +98,19 @@ def fingerprints(docs: DataFrame, width: int, wide: bool = False) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("fp", "w1", "w2", "w3") if wide else F.col("fp"))
 
 
-def bands(distance: int) -> list[tuple[np.uint64, int]]:
-    """Masks of nearly equal bands, and the radius in each."""
-    n = 3 if 2 <= distance <= 5 else distance // 2 + 1 if distance > 5 else distance + 1
+Band = tuple[str, np.uint64, int]
+
+
+def bands(distance: int) -> list[Band]:
+    """Column, mask and radius of nearly equal bands of ``fp``."""
+    n = 3 if distance >= 2 else distance + 1
     edges = [round(64 * k / n) for k in range(n + 1)]
-    return [(np.uint64(sum(1 << b for b in range(lo, hi))), distance // n) for lo, hi in zip(edges, edges[1:])]
+    return [("fp", np.uint64(sum(1 << b for b in range(lo, hi))), distance // n) for lo, hi in zip(edges, edges[1:])]
+
+
+def wide_bands() -> list[Band]:
+    """Sixteen bands of 16 bits of all four words, radius 1: where 39 of 256 bits differ, some band is within it in 99 of 100 cases."""
+    return [(w, np.uint64(0xFFFF << k), 1) for w in ("fp", "w1", "w2", "w3") for k in (0, 16, 32, 48)]
 
 
 def _far(x: np.ndarray, v: np.uint64, mask: np.uint64) -> np.ndarray:
@@ -212,11 +220,11 @@ def _local(x: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.uint64,
         todo.append((home[d > mu], np.concatenate((home[(d <= mu) & (d > mu - radius)], visit[e > mu - radius]))))
 
 
-def _linker(masks: list[tuple[np.uint64, int]], distance: int, most: int | None):
+def _linker(masks: list[Band], distance: int, most: int | None):
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        x, role = group["fp"].to_numpy(np.int64).view(np.uint64), group["role"].to_numpy()
-        mask, radius = masks[int(group["task"].iat[0]) >> 56]
-        wide = None if most is None else np.column_stack([group[w].to_numpy(np.int64).view(np.uint64) for w in ("w1", "w2", "w3")])
+        column, mask, radius = masks[int(group["task"].iat[0]) >> 56]
+        x, role = group[column].to_numpy(np.int64).view(np.uint64), group["role"].to_numpy()
+        wide = None if most is None else np.column_stack([group[w].to_numpy(np.int64).view(np.uint64) for w in WORDS if w != column])
         forest = Forest(len(x), wide, most or 0)
         left, right = np.flatnonzero(role & 1), np.flatnonzero(role == 2)
         _local(x, left, right, mask, radius, distance, forest)
@@ -226,34 +234,38 @@ def _linker(masks: list[tuple[np.uint64, int]], distance: int, most: int | None)
     return links
 
 
+WORDS = ("fp", "w1", "w2", "w3")
+
+
 def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct nodes that join all pairs within ``distance``: one row for each link of spanning forests.
 
-    With ``most``, a pair must also differ in at most so many bits of ``fp`` and w1 to w3 together.
+    With ``most``, pairs are found in bands of all four words instead; they are linked if they differ in at most ``distance`` bits
+    of the band's word and ``most`` of all.
     """
     n = fps.count()
     leaves = max(1, -(-n // shard))
-    masks = bands(distance)
-    sample = [r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, max(1024, 64 * leaves))).collect()]
-    seen = np.array(sorted(sample), dtype=np.int64).view(np.uint64)
-    trees = [Tree(seen, mask, radius, leaves) for mask, radius in masks]
+    masks = bands(distance) if most is None else wide_bands()
+    columns = [m[0] for m in masks]
+    carried = ["fp", "node"] if most is None else [*WORDS, "node"]
+    drawn = fps.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(1024, 64 * leaves))).select(*carried).toPandas()
+    trees = [Tree(np.sort(drawn[c].to_numpy(np.int64)).view(np.uint64), mask, radius, leaves) for c, mask, radius in masks]
+
+    def words(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(c).to_numpy().view(np.uint64) for c in columns]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            rows = [(k, leaf, len(home), len(visit)) for k, tree in enumerate(trees) for leaf, home, visit in tree.route(x)]
+            rows = [(k, leaf, len(home), len(visit)) for k, (tree, x) in enumerate(zip(trees, words(batch))) for leaf, home, visit in tree.route(x)]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["band", "leaf", "home", "visit"]).astype("int64"))
 
-    sizes = fps.select("fp").mapInArrow(counted, "band long, leaf long, home long, visit long").groupBy("band", "leaf").agg(F.sum("home").alias("home"), F.sum("visit").alias("visit"))
+    sizes = fps.select(*carried).mapInArrow(counted, "band long, leaf long, home long, visit long").groupBy("band", "leaf").agg(F.sum("home").alias("home"), F.sum("visit").alias("visit"))
     # At most as many rows as leaves, whose number the sample bounds.
     blocks = {(r.band, r.leaf): (-(-r.home // block), -(-(r.home + r.visit) // block)) for r in sizes.filter(F.col("home") + F.col("visit") > block).collect()}
 
-    carried = ["fp", "node"] if most is None else ["fp", "node", "w1", "w2", "w3"]
-
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            mix = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            mix = (batch.column("node").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             tasks, who, roles = [], [], []
 
             def put(task: np.ndarray, idx: np.ndarray, role: int) -> None:
@@ -261,18 +273,18 @@ def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, sh
                 who.append(idx)
                 roles.append(np.full(len(idx), role, dtype=np.int32))
 
-            for k, tree in enumerate(trees):
+            for k, (tree, x) in enumerate(zip(trees, words(batch))):
                 for leaf, home, visit in tree.route(x):
                     base, cut = (k << 56) | (leaf << 32), blocks.get((k, leaf))
                     if cut is None:
                         put(np.full(len(home), base), home, 1)
                         put(np.full(len(visit), base), visit, 2)
                         continue
-                    rows, columns = cut
+                    rows, parts = cut
                     both = np.concatenate((home, visit))
                     for i in range(rows):
-                        put(base | (i << 16) | (mix[both] % np.uint64(columns)).astype(np.int64), both, 2)
-                    for j in range(columns):
+                        put(base | (i << 16) | (mix[both] % np.uint64(parts)).astype(np.int64), both, 2)
+                    for j in range(parts):
                         put(base | ((mix[home] % np.uint64(rows)).astype(np.int64) << 16) | j, home, 1)
             idx = np.concatenate(who)
             rest = [c.take(pa.array(idx)) for c in batch.columns]
@@ -298,19 +310,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, shard: i
     return known.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For a similarity of 0.8 of sets of shingles, about 39 of 256 bits differ; a first word differs in 10, with a deviation of 3.
-NEAR_FIRST, NEAR_ALL = 13, 40
+#: For a similarity of 0.8 of sets of shingles, about 39 of 256 bits differ, and 10 of a word with a deviation of 3.
+NEAR_WORD, NEAR_ALL = 20, 40
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, distance: int = NEAR_FIRST, most: int = NEAR_ALL, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, most: int = NEAR_ALL, shard: int = 4 * SHARD, block: int = 4 * BLOCK) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest doc_id, then hash of the text.
 
-    Texts are linked if ``distance`` or fewer of the first 64 and ``most`` or fewer of 256 fingerprint bits differ; the
-    defaults stand for a similarity of 0.8 of five-word shingles. The first word finds pairs, all words confirm
-    them. Texts without words are one group. Rows with equal ids and texts count as one document, of which one row stays.
+    Texts are linked if at most ``most`` of 256 fingerprint bits differ; the default stands for a similarity of 0.8 of
+    five-word shingles. Texts without words are one group. Rows with equal ids and texts count as one document, of
+    which one row stays.
     """
     known = materialise(fingerprints(docs, width, wide=True), "fingerprints")
-    named = _components(known, distance, most, shard, block)
+    named = _components(known, NEAR_WORD, most, shard, block)
     grouped = known.select("doc_id", "text_key", "node").join(named, "node")
     kept = materialise(grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"), F.count("*").alias("n")).select("k.doc_id", "k.text_key", "n"), "kept")
     again = known.join(kept.filter("n > 1").select("doc_id", "text_key"), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").count().filter("count > 1")

@@ -43,8 +43,10 @@ from tessera.llm.scratch import materialise
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 WIDE = GRAM + 2 * REACH + 2
-#: Bytes of text in a block, about.
-BLOCK = 2_000_000
+#: Bytes of text in a block, about; buckets of contexts for each range of hashes.
+BLOCK, BUCKETS = 2_000_000, 2
+#: Bytes of replies that are broadcast to the tasks that read the blocks, at most.
+BROADCAST = 32_000_000
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.iinfo(np.int64).max
 BLOCKS = "block long, mark long, ids binary, ends binary, body binary"
@@ -93,34 +95,40 @@ def anchors(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if n < REACH + 1:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
-    def power(k: int) -> np.uint64:
-        return np.uint64(pow(_BASE, k, 1 << 64))
-
-    one = (body.astype(np.uint64) + np.uint64(1)) * _MIX
-    two = one[:-1] * power(1) + one[1:]
-    four = two[:-2] * power(2) + two[2:]
-    five = four[:-1] * power(1) + one[4:]
-    ten = five[:-5] * power(5) + five[5:]
-    h = ten[:-10] * power(10) + ten[10:]
-    h = (h ^ (h >> np.uint64(29))) * _MIX
-    h ^= h >> np.uint64(32)
+    def power(k: int) -> np.uint32:
+        return np.uint32(pow(_BASE, k, 1 << 32))
+
+    h = (body.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    h = h[:-1] * power(1) + h[1:]
+    four = h[:-2] * power(2) + h[2:]
+    h = four[:-1] * power(1) + ((body[4:].astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1))
+    h = h[:-5] * power(5) + h[5:]
+    h = h[:-10] * power(10) + h[10:]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    del four
     least, width = h, 1
     while 2 * width <= REACH + 1:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     if width < REACH + 1:
         least = np.minimum(least[: n - REACH], least[REACH + 1 - width :])
     # Strings that cross a document's end don't count.
-    whole = np.ones(len(least), dtype=bool)
+    most = np.zeros(n + REACH, dtype=np.uint32)
+    most[REACH : REACH + len(least)] = least
     for e in ends[:-1].tolist():
-        whole[max(0, e - LENGTH + 1) : e] = False
-    most = np.concatenate((np.zeros(REACH, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(REACH, np.uint64)))
+        most[REACH + max(0, e - LENGTH + 1) : REACH + e] = 0
     width = 1
     while 2 * width <= REACH + 1:
         most, width = np.maximum(most[:-width], most[width:]), 2 * width
     if width < REACH + 1:
         most = np.maximum(most[:n], most[REACH + 1 - width :])
     at = np.flatnonzero((most == h) & (h > 0))
-    return at, h[at]
+    text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, GRAM)[at]).view("<u4").reshape(len(at), GRAM // 4).astype(np.uint64)
+    key = np.zeros(len(at), dtype=np.uint64)
+    for k in range(GRAM // 4):
+        key = (key ^ text[:, k]) * _MIX
+        key ^= key >> np.uint64(29)
+    return at, key
 
 
 def _range(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -168,6 +176,11 @@ def _front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
     return shared.tobytes(), rows[np.arange(WIDE)[None, :] >= shared[:, None]].tobytes()
 
 
+def _name(rows: np.ndarray) -> np.ndarray:
+    """A hash of each context."""
+    return np.concatenate([(rows[a : a + 10_000].astype(np.uint64) * _WEIGHTS).sum(1, dtype=np.uint64) for a in range(0, len(rows), 10_000)])
+
+
 def _decoded(shared: np.ndarray, rest: np.ndarray) -> np.ndarray:
     n = len(shared)
     out = np.zeros((n, WIDE), dtype=np.uint8)
@@ -202,6 +215,9 @@ def _runner(ranges: int):
     """Front-coded sorted runs of a block's shared contexts, by bucket, and where each context stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for (block, ids, ends, body), mark, expected, replies in zip(_opened(batch), batch.column("mark").to_pylist(), batch.column("expected").to_pylist(), batch.column("replies").to_pylist()):
                 if mark != expected:
@@ -219,12 +235,11 @@ def _runner(ranges: int):
                 again = np.flatnonzero((np.diff(where[order]) == 0) & (np.diff(doc[order]) != 0))
                 shared[where[order][again]] = True
                 keep = shared[where]
-                at, doc, bucket = at[keep], doc[keep], _range(h[keep], ranges)
+                at, doc, bucket = at[keep], doc[keep], _range(h[keep], BUCKETS * ranges)
                 if not len(at):
                     continue
                 rows = contexts(body, ends, at)
-                name = (rows.astype(np.uint64) * _WEIGHTS).sum(1, dtype=np.uint64)
-                _, first, same = np.unique(name, return_index=True, return_inverse=True)
+                _, first, same = np.unique(_name(rows), return_index=True, return_inverse=True)
                 text = np.ascontiguousarray(rows[first]).view(f"S{WIDE}").ravel()
                 rank = np.lexsort((text, bucket[first]))
                 least = np.full(len(first), _LAST, dtype=np.int64)
@@ -236,13 +251,13 @@ def _runner(ranges: int):
                 occurs = np.argsort(same, kind="stable")
                 starts = np.searchsorted(same[occurs], np.arange(len(rank) + 1))
                 sorted_rows, least, own = rows[first][rank], least[rank], bucket[first][rank]
-                cut = np.searchsorted(own, np.arange(ranges + 1))
+                cut = np.searchsorted(own, np.arange(BUCKETS * ranges + 1))
                 out = []
-                for r in range(ranges):
+                for r in range(BUCKETS * ranges):
                     a, b = cut[r], cut[r + 1]
                     if b > a:
                         lengths, rest = _front_coded(sorted_rows[a:b])
-                        out.append((r, block, int(b - a), lengths, rest, least[a:b].astype("<i8").tobytes(), np.diff(starts[a : b + 1]).astype("<u4").tobytes(), at[occurs[starts[a] : starts[b]]].astype("<u4").tobytes()))
+                        out.append((r, block, int(b - a), pack.compress(lengths), pack.compress(rest), pack.compress(least[a:b].astype("<i8").tobytes()), np.diff(starts[a : b + 1]).astype("<u4").tobytes(), at[occurs[starts[a] : starts[b]]].astype("<u4").tobytes()))
                 kinds = [pa.int64()] * 3 + [pa.binary()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in RUNS.split(", ")])
 
@@ -332,64 +347,85 @@ def repeated(rows: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.ndarr
     return out
 
 
+#: All bits of a context.
+WHOLE = (1 << (REACH + 1)) - 1
 #: Contexts whose strings are compared at a time, in whole groups.
-TOGETHER = 100_000
+TOGETHER = 20_000
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
     """Combine a bucket's runs and reply to each block with the bits of its contexts."""
+    import zstandard
+
+    def opened(column: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join([zstandard.decompress(x) for x in group[column]]), kind)
+
     n = group["n"].to_numpy()
-    shared = np.frombuffer(b"".join(group["shared"]), np.uint8)
-    rows = _decoded(shared, np.frombuffer(b"".join(group["rest"]), np.uint8))
-    least = np.frombuffer(b"".join(group["least"]), "<i8")
-    base = np.concatenate(([0], np.cumsum(n)))
+    shared = opened("shared", np.uint8)
+    rows = _decoded(shared, opened("rest", np.uint8))
+    least = opened("least", "<i8")
+    starts = [0, *np.cumsum(n).tolist()]
     raw = rows.tobytes()
     lengths = shared.tolist()
-    runs = [([raw[WIDE * i : WIDE * (i + 1)] for i in range(a, b)], lengths[a:b]) for a, b in zip(base.tolist(), base[1:].tolist())]
+    runs = [([raw[i : i + WIDE] for i in range(WIDE * a, WIDE * b, WIDE)], lengths[a:b]) for a, b in zip(starts, starts[1:])]
+    del raw
     bits = np.zeros(len(rows), dtype="<u4")
-    starts = base.tolist()
     order: list[int] = []
-    new: list[bool] = []
+    common: list[int] = []
 
     def settle() -> None:
-        at, name = np.array(order), np.cumsum(new)
-        size = np.bincount(name)
-        many = size[name] > 1
-        bits[at[many]] = repeated(rows[at[many]], name[many], least[at[many]])
+        at, same = np.array(order), np.array(common)
+        same[0] = 0
+        # Equal contexts are one, with the smallest doc_id of all; in later documents they are repeated as a whole.
+        kind = np.cumsum(same < WIDE) - 1
+        first = np.flatnonzero(np.concatenate(([True], np.diff(kind) != 0)))
+        smallest = np.minimum.reduceat(least[at], first)
+        name = np.cumsum(same < GRAM)[first]
+        own = np.zeros(len(first), dtype=np.uint32)
+        many = np.flatnonzero(np.bincount(name)[name] > 1)
+        if len(many):
+            own[many] = repeated(rows[at[first[many]]], name[many], smallest[many])
+        bits[at] = np.where(least[at] > smallest[kind], np.uint32(WHOLE), own[kind])
         order.clear()
-        new.clear()
+        common.clear()
 
-    for r, k, common in loser_tree(runs):
-        fresh = common < GRAM
-        if fresh and len(order) >= TOGETHER:
+    for r, k, length in loser_tree(runs):
+        if length < GRAM and len(order) >= TOGETHER:
             settle()
         order.append(starts[r] + k)
-        new.append(fresh)
+        common.append(length)
     if order:
         settle()
-    # A context that an earlier document has in another block is repeated as a whole.
-    parts = np.split(bits, base[1:-1])
+    parts = np.split(bits, starts[1:-1])
     return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "bits": [p.tobytes() for p in parts]})
 
 
 def _dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
     for batch in batches:
         for (_, ids, ends, body), replies in zip(_opened(batch), batch.column("replies").to_pylist()):
-            change = np.zeros(len(body) + 1, dtype=np.int32)
-            for reply in replies or ():
-                bits, counts, places = np.frombuffer(reply["bits"], "<u4"), np.frombuffer(reply["counts"], "<u4"), np.frombuffer(reply["places"], "<u4").astype(np.int64)
+            change = np.zeros(len(body) + 1, dtype=np.int64)
+            if replies:
+                # All buckets of a block at once.
+                joined = lambda k, kind: np.frombuffer(b"".join([r[k] for r in replies]), kind)
+                bits, counts, places = joined("bits", "<u4"), joined("counts", "<u4"), joined("places", "<u4").astype(np.int64)
+                first = np.frombuffer(b"".join([zstandard.decompress(r["least"]) for r in replies]), "<i8")
                 own = np.repeat(np.arange(len(bits)), counts)
                 doc = _doc_of(places, ends)
-                # In documents after the first that has it, a context is repeated as a whole.
-                first = np.frombuffer(reply["least"], "<i8")[own]
-                later = ids[doc] > first
                 start, end = np.concatenate(([0], ends))[doc], ends[doc]
+                # In documents after the first of its block that has it, a context is repeated as a whole.
+                mine = np.where(ids[doc] > first[own], np.uint32(WHOLE), bits[own])
+                low, high = np.maximum(0, places + LENGTH - end), np.minimum(REACH, places - start)
+                whole = mine == WHOLE
+                ok = whole & (low <= high)
+                change += np.bincount((places - high)[ok], minlength=len(change)) - np.bincount((places - low)[ok] + LENGTH, minlength=len(change))
+                some = np.flatnonzero((mine > 0) & ~whole)
                 for o in range(REACH + 1):
-                    hit = (((bits[own] >> np.uint32(o)) & 1) > 0) | later
+                    hit = some[(mine[some] >> np.uint32(o)) & 1 > 0]
                     s = places[hit] - o
                     s = s[(s >= start[hit]) & (s + LENGTH <= end[hit])]
-                    np.add.at(change, s, 1)
-                    np.add.at(change, s + LENGTH, -1)
+                    change += np.bincount(s, minlength=len(change)) - np.bincount(s + LENGTH, minlength=len(change))
             gone = np.cumsum(change[:-1]) > 0
             rows, last = [], 0
             for doc_id, e in zip(ids.tolist(), ends.tolist()):
@@ -411,6 +447,9 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     # A block's replies are as many as ranges at most.
     by_block = replies.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("replies"))
     by_block = materialise(marks.join(by_block, "block"), "shared-anchors")
+    size = by_block.agg(F.sum(F.aggregate("replies", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["bits"]) + 16))).first()[0] or 0
+    if size <= BROADCAST:
+        by_block = F.broadcast(by_block)
     runs = materialise(blocks.join(by_block, "block").mapInArrow(_runner(ranges), RUNS), "runs")
     merged = runs.select("bucket", "block", "n", "shared", "rest", "least").groupBy("bucket").applyInPandas(_merged, "block long, bucket long, bits binary")
     answers = merged.join(runs.select("bucket", "block", "least", "counts", "places"), ["bucket", "block"])
