@@ -1,10 +1,9 @@
 """Toxicity from two Kneser-Ney language models, one of toxic and one of ordinary texts.
 
 The models predict the characters of words, each from up to four before it, so that counts stay dense and new
-forms of a word are recognised. The highest order is counted for each class; what it discounts goes
-to one lower-order distribution, made of the continuation counts of both classes. An expression that both classes
-have hardly seen therefore scores near zero, whatever its letters. Where a five-character sequence was never
-seen, the shared part cancels, and the ratio of the classes is that of their back-off weights alone.
+forms of a word are recognised. The highest order is counted for each class; what it discounts goes to one
+lower-order distribution, made of the continuation counts of both classes. A sequence that neither class has seen
+scores zero: it is left to the shared part alone, and the classes' back-off weights, which tell their sizes, don't count.
 
 A word's score is the difference of its log-likelihoods. A text has two features, both divided by length in
 characters: the highest mean over ``WINDOW`` words in a row, and the mean over the whole text. A logistic
@@ -94,22 +93,23 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Ratios of the classes for sequences and back-off weights, made from packed counts."""
+    """Ratios of the classes for sequences, made from packed counts."""
 
     def __init__(self, gram: np.ndarray, toxic: np.ndarray, other: np.ndarray):
         order = np.argsort(gram)
         gram, counts = gram[order], (toxic[order].astype(float), other[order].astype(float))
-        shared = self._shared(gram)
+        lower = self._shared(gram)
         context, where = np.unique(gram >> BITS, return_inverse=True)
-        logs, weights = [], []
-        for n in counts:
+
+        def discounted(n: np.ndarray, rest: np.ndarray) -> np.ndarray:
             total = np.bincount(where, weights=n, minlength=len(context))
             kinds = np.bincount(where, weights=n > 0, minlength=len(context))
             back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[where] + back[where] * shared))
-            weights.append(np.log(back))
-        self.gram, self.ratio = gram, (logs[0] - logs[1]).astype(np.float32)
-        self.context, self.back = context, (weights[0] - weights[1]).astype(np.float32)
+            return np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[where] + back[where] * rest
+
+        # Both classes back off to the same lower orders.
+        toxic_p, other_p = discounted(counts[0], lower), discounted(counts[1], lower)
+        self.gram, self.ratio = gram, np.log(toxic_p / other_p).astype(np.float32)
 
     @staticmethod
     def _shared(gram: np.ndarray) -> np.ndarray:
@@ -137,9 +137,7 @@ class Model:
         if not len(key):
             return np.zeros(len(distinct)), np.ones(len(distinct))
         i = np.minimum(np.searchsorted(self.gram, key), len(self.gram) - 1)
-        j = np.minimum(np.searchsorted(self.context, key >> BITS), len(self.context) - 1)
-        back = np.where(self.context[j] == key >> BITS, self.back[j], 0)
-        value = np.where(self.gram[i] == key, self.ratio[i], back)
+        value = np.where(self.gram[i] == key, self.ratio[i], 0)
         return np.bincount(word, weights=value, minlength=len(distinct)), np.bincount(word, minlength=len(distinct)).astype(float)
 
 

@@ -299,4 +299,6 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id for r in pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
-    assert 501 in got and not {500, 502} & got and len(got & set(range(300))) > 200 and not {i for i in got if i < 300 and i % 6 == 0}
+    missed, lost = {i for i in got if i < 300 and i % 6 == 0}, {i for i in range(300) if i % 6} - got
+    assert 501 in got and not {500, 502} & got
+    assert len(missed) <= 2 and len(lost) <= 5, (missed, lost)
