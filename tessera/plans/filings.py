@@ -173,7 +173,7 @@ def facts_statement(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(spark, sf).join(wanted, ["doc", "statement_type"], "left_semi").select("doc", "fact_id", "statement_type", "value_text")
 
 
-@query(f"""with {_FACTS}, p as (select doc, statement_type, page_num, row_number() over (partition by doc, statement_type order by count(*) desc, page_num) as rn from f group by all),
+@query(f"""with {_FACTS}, p as (select doc, statement_type, page_num, row_number() over (partition by doc, statement_type order by count(*) desc, page_num) as rn from f group by doc, statement_type, page_num),
     u as (select doc, statement_type, min_by(units, fact_id) filter (units is not null) as units, string_agg(row_label || ' | ' || coalesce(column_header, '') || ' | ' || value_text, chr(10) order by fact_id) as lines from f group by all)
     select u.doc, u.statement_type, page_num, u.statement_type || coalesce(' (' || units || ')', '') || chr(10) || lines as block from u join p on p.doc = u.doc and p.statement_type = u.statement_type and rn = 1""")
 def facts_format(spark: SparkSession, sf: str) -> DataFrame:
