@@ -67,7 +67,7 @@ def pages_marker(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(P.page_method(e), "doc").select("doc", "seq", "page_method", P.marker_page(P.is_break(F.col("style"))).alias("page"))
 
 
-_LINES = "l as (select doc_id as doc, unnest(range(len(string_split(text, chr(10))))) as seq, unnest(string_split(text, chr(10))) as line from documents)"
+_LINES = "l as (select doc_id as doc, unnest(range(len(string_split(text, chr(10)))))::int as seq, unnest(string_split(text, chr(10))) as line from documents)"
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +174,7 @@ def facts_statement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {_FACTS}, p as (select doc, statement_type, page_num, row_number() over (partition by doc, statement_type order by count(*) desc, page_num) as rn from f group by doc, statement_type, page_num),
-    u as (select doc, statement_type, min_by(units, fact_id) filter (units is not null) as units, string_agg(row_label || ' | ' || coalesce(column_header, '') || ' | ' || value_text, chr(10) order by fact_id) as lines from f group by all)
+    u as (select doc, statement_type, min_by(units, fact_id) filter (units is not null) as units, string_agg(line, chr(10) order by fact_id, line) as lines from (select *, row_label || ' | ' || coalesce(column_header, '') || ' | ' || value_text as line from f) group by doc, statement_type)
     select u.doc, u.statement_type, page_num, u.statement_type || coalesce(' (' || units || ')', '') || chr(10) || lines as block from u join p on p.doc = u.doc and p.statement_type = u.statement_type and rn = 1""")
 def facts_format(spark: SparkSession, sf: str) -> DataFrame:
     """F3, D16."""

@@ -30,14 +30,14 @@ def _bm25_sql(group: str = "") -> str:
     scored as (select {g}id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_tokens / mean))), 6) as score from terms join weights using ({g}term) group by all having score > 0),
     named as (select scored.*, text from scored join chunks using ({g}id)),
     uniq as (select *, row_number() over (partition by {g}trim(text) order by score desc, id) as rn from named),
-    ranked as (select *, row_number() over ({f'partition by {group} ' if group else ''}order by score desc, id) - 1 as rank0 from uniq where rn = 1)
+    ranked as (select *, (row_number() over ({f'partition by {group} ' if group else ''}order by score desc, id) - 1)::int as rank0 from uniq where rn = 1)
     """
 
 
 _DENSE = """
     q as (select embedding::double[] as qv from embeddings where vec_id = 0),
     dist as (select vec_id as id, round(1 - list_inner_product(embedding::double[], qv) / (sqrt(list_inner_product(embedding::double[], embedding::double[])) * sqrt(list_inner_product(qv, qv))), 6) as distance from embeddings, q),
-    dense as (select *, row_number() over (order by distance, id) - 1 as rank0 from dist qualify rank0 < {k})
+    dense as (select *, (row_number() over (order by distance, id) - 1)::int as rank0 from dist qualify rank0 < {k})
 """
 
 
@@ -198,7 +198,7 @@ def resolve_doc(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(names, names.low == F.regexp_replace(F.lower("asked"), r"\.html?$", ""), "left").select("asked", F.when(F.trim("asked").isin("", "ALL"), "ALL").otherwise(F.coalesce("c_name", "asked")).alias("doc"))
 
 
-@query(f"""select doc_id, source, nth, array_to_string(list_slice(w, nth * 60 + 1, nth * 60 + 60), ' ') as piece from (select doc_id, source, w, unnest(range(ceil(len(w) / 60.0)::int)) as nth from (select doc_id, source, list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '') as w from documents))""")
+@query(f"""select doc_id, source, nth::int as nth, array_to_string(list_slice(w, nth * 60 + 1, nth * 60 + 60), ' ') as piece from (select doc_id, source, w, unnest(range(ceil(len(w) / 60.0)::int)) as nth from (select doc_id, source, list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '') as w from documents))""")
 def word_split(spark: SparkSession, sf: str) -> DataFrame:
     """C1."""
     from tessera.operators.chunking import word_split as split
