@@ -17,6 +17,12 @@ A task returns a spanning forest of its links, so results stay as many as finger
 joined over all links by :mod:`tessera.llm.components`. Nothing but the sample and counts of shards
 reaches the driver.
 
+Near copies of the pipeline (``drop_near_duplicates``) are decided by the Jaccard similarity of the texts' sets of
+distinct shingles; fingerprints only find candidates. A node is a set. Candidate links join nodes to coarse groups,
+so each set goes to one group instead of to each band; within a group all pairs of sets are compared exactly, except
+those that are joined already, and components are made of exact links only. Small groups share tasks; a group of more
+than ``SETS`` sets is cut into blocks, and each pair of blocks is a task.
+
 Defined cases: words are runs without ASCII white space, ASCII letters are lower-cased; a text with fewer
 words than a shingle has one shingle of all; null, empty and blank texts have fingerprint zero, linked like any
 other; repeated rows share their fingerprint; an empty table gives an empty result; input columns besides
@@ -82,22 +88,30 @@ def _rehash(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int, wide: bool = False) -> DataFrame:
-    """doc_id, text_key, node, fp and further 64-bit words w1 to w3 (zero unless ``wide``) of each row, all signed."""
+    """doc_id, text_key, node, fp and further 64-bit words w1 to w3 of each row, all signed.
+
+    Unless ``wide``, the further words are zero, repeated shingles count and the node is the fingerprint. With ``wide``, shingles
+    are distinct and the node is the hash of their set.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, 4), dtype=np.uint64)
+            out = np.zeros((batch.num_rows, 5), dtype=np.uint64)
             for k, text in enumerate(batch.column(2)):
                 h = shingle_hashes(text.as_py(), width)
-                out[k, 0] = majority(h)
-                if wide and len(h):
-                    out[k, 1:] = [majority(_rehash(h, c)) for c in _FURTHER]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(4)]], names=["doc_id", "text_key", "fp", "w1", "w2", "w3"])
+                if wide:
+                    h = np.unique(h)
+                out[k, 0] = out[k, 4] = majority(h)
+                if wide:
+                    out[k, 4] = xxh64_intdigest(h.tobytes(), SEED)
+                    if len(h):
+                        out[k, 1:4] = [majority(_rehash(h, c)) for c in _FURTHER]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(5)]], names=["doc_id", "text_key", "fp", "w1", "w2", "w3", "node"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(hashed, "doc_id long, text_key long, fp long, w1 long, w2 long, w3 long")
-    return rows.withColumn("node", F.xxhash64("fp", "w1", "w2", "w3") if wide else F.col("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(hashed, "doc_id long, text_key long, fp long, w1 long, w2 long, w3 long, node long")
 
 
+WORDS = ("fp", "w1", "w2", "w3")
 Band = tuple[str, np.uint64, int]
 
 
@@ -109,8 +123,9 @@ def bands(distance: int) -> list[Band]:
 
 
 def wide_bands() -> list[Band]:
-    """Sixteen bands of 16 bits of all four words, radius 1: where 39 of 256 bits differ, some band is within it in 99 of 100 cases."""
-    return [(w, np.uint64(0xFFFF << k), 1) for w in ("fp", "w1", "w2", "w3") for k in (0, 16, 32, 48)]
+    """Thirty-two bands of 16 bits, radius 1: each of the four words is cut into runs of bits, and again into every fourth bit."""
+    cuts = [0xFFFF << k for k in (0, 16, 32, 48)] + [0x1111111111111111 << k for k in range(4)]
+    return [(w, np.uint64(cut), 1) for w in WORDS for cut in cuts]
 
 
 def _far(x: np.ndarray, v: np.uint64, mask: np.uint64) -> np.ndarray:
@@ -234,9 +249,6 @@ def _linker(masks: list[Band], distance: int, most: int | None):
     return links
 
 
-WORDS = ("fp", "w1", "w2", "w3")
-
-
 def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct nodes that join all pairs within ``distance``: one row for each link of spanning forests.
 
@@ -294,10 +306,10 @@ def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, sh
     return fps.select(*carried).mapInArrow(dealt, schema).groupBy("task").applyInPandas(_linker(masks, distance, most), "a long, b long")
 
 
-def _components(known: DataFrame, distance: int, most: int | None, shard: int, block: int) -> DataFrame:
+def _components(known: DataFrame, distance: int, shard: int, block: int) -> DataFrame:
     """node and component_id, the smallest doc_id reachable."""
-    reps = materialise(known.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "w1", "w2", "w3")]), "representatives")
-    joined = components(link_fingerprints(reps, distance, most, shard, block)).withColumnRenamed("node", "_node")
+    reps = materialise(known.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in WORDS]), "representatives")
+    joined = components(link_fingerprints(reps, distance, None, shard, block)).withColumnRenamed("node", "_node")
     labelled = reps.join(joined, reps["node"] == joined["_node"], "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     return labelled.join(least, "root").select("node", "component_id", "root")
@@ -306,23 +318,98 @@ def _components(known: DataFrame, distance: int, most: int | None, shard: int, b
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of each row."""
     known = materialise(fingerprints(docs, width), "fingerprints")
-    named = _components(known, distance, None, shard, block)
+    named = _components(known, distance, shard, block)
     return known.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For a similarity of 0.8 of sets of shingles, about 39 of 256 bits differ, and 10 of a word with a deviation of 3.
-NEAR_WORD, NEAR_ALL = 20, 40
+#: Candidates differ in at most so many bits of a band's word and of all 256. For a similarity of 0.8 of sets of shingles
+#: about 39 of 256 bits differ with a deviation of 6, and up to 48 in sets of a few shingles.
+NEAR_WORD, NEAR_ALL = 24, 64
+SIMILAR = 0.8
+#: Sets in a task of exact comparison, about, and in a block of a large group.
+SETS = 1024
+
+
+def _alike(sets: list[np.ndarray], root: np.ndarray, role: np.ndarray, similar: float) -> Forest:
+    """Links between the sets of a root at ``similar`` or more: of role 1 with role 2, of role 3 with each other."""
+    forest = Forest(len(sets))
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    order = np.lexsort((np.arange(len(root)), root))
+    for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        if len(own) < 2:
+            continue
+        _, ids = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True)
+        n, starts = size[own], np.concatenate(([0], np.cumsum(size[own])))
+        marked = np.zeros(len(ids) + 1, dtype=bool)
+        for k, i in enumerate(own):
+            if role[i] == 2 or not n[k]:
+                continue
+            open_ = (n > 0) & (n >= similar * n[k] - 1e-9) & (n * similar <= n[k] + 1e-9) & (forest.label[own] != forest.label[i])
+            open_ &= (role[own] == 2) if role[i] == 1 else (np.arange(len(own)) > k)
+            j = np.flatnonzero(open_)
+            if not len(j):
+                continue
+            mine = ids[starts[k] : starts[k + 1]]
+            marked[mine] = True
+            for a in range(0, len(j), 256):
+                part = j[a : a + 256]
+                each = n[part]
+                first = np.concatenate(([0], np.cumsum(each)[:-1]))
+                at = np.repeat(starts[part] - first, each) + np.arange(each.sum())
+                shared = np.add.reduceat(marked[ids[at]].astype(np.int64), first)
+                hit = own[part[shared >= similar * (each + n[k] - shared) - 1e-9]]
+                forest.join(np.full(len(hit), i), hit)
+            marked[mine] = False
+    return forest
+
+
+def _exact_links(docs: DataFrame, known: DataFrame, coarse: DataFrame, width: int, similar: float, sets: int) -> DataFrame:
+    """Links (a, b) that join all pairs of nodes of a coarse group (node, root) whose sets are at ``similar`` or more."""
+    sizes = materialise(coarse.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    tasks = max(1, -(-(sizes.filter(F.col("n") <= sets).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]) // sets))
+    # Roots of groups over ``sets``: at most a share of 1 / ``sets`` of the nodes.
+    large = sizes.filter(F.col("n") > sets).select(F.col("root").alias("_root"), F.ceil(F.col("n") / sets).cast("int").alias("parts"))
+    dealt = coarse.join(large, coarse["root"] == large["_root"], "left")
+    slot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(slot, o).alias("i"), F.greatest(slot, o).alias("j"), F.when(slot == o, 3).when(slot < o, 1).otherwise(2).alias("role")))
+    one = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(3).alias("role")))
+    # One row of each node's copies lends its text.
+    lent = known.join(coarse, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"), "text")
+    held = texts.join(lent, texts["doc_id"].eqNullSafe(lent["_id"]) & (texts["text_key"] == lent["_key"])).select("node", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "shingles"])
+
+    # Repeated rows of a lent text give one set.
+    of_node = materialise(held.dropDuplicates(["node"]).mapInArrow(hashed, "node long, shingles binary"), "sets")
+    spread = dealt.select("node", "root", F.inline(F.when(F.col("parts").isNull(), one).otherwise(pairs)))
+    # Groups in one task share no root with a block of a large one.
+    grouped = of_node.join(spread, "node").withColumn("task", F.when(F.col("j") < 0, F.xxhash64("i")).otherwise(F.xxhash64("root", "i", "j")))
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+        pairs = np.array(_alike(held, group["root"].to_numpy(), group["role"].to_numpy(), similar).links, dtype=np.int64).reshape(-1, 2)
+        node = group["node"].to_numpy(np.int64)
+        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    return grouped.select("task", "root", "role", "node", "shingles").groupBy("task").applyInPandas(linked, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, most: int = NEAR_ALL, shard: int = 4 * SHARD, block: int = 4 * BLOCK) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similar: float = SIMILAR, shard: int = 4 * SHARD, block: int = 4 * BLOCK, sets: int = SETS) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest doc_id, then hash of the text.
 
-    Texts are linked if at most ``most`` of 256 fingerprint bits differ; the default stands for a similarity of 0.8 of
-    five-word shingles. Texts without words are one group. Rows with equal ids and texts count as one document, of
-    which one row stays.
+    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is at least ``similar``, which may
+    not be much below the default: candidates are found for it. Texts without words are one group. Rows with equal ids and
+    texts count as one document, of which one row stays.
     """
     known = materialise(fingerprints(docs, width, wide=True), "fingerprints")
-    named = _components(known, NEAR_WORD, most, shard, block)
+    nodes = materialise(known.groupBy("node").agg(*[F.first(c).alias(c) for c in WORDS]), "representatives")
+    coarse = components(link_fingerprints(nodes, NEAR_WORD, NEAR_ALL, shard, block))
+    joined = components(_exact_links(docs, known, materialise(coarse, "coarse"), width, similar, sets))
+    named = nodes.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
     grouped = known.select("doc_id", "text_key", "node").join(named, "node")
     kept = materialise(grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"), F.count("*").alias("n")).select("k.doc_id", "k.text_key", "n"), "kept")
     again = known.join(kept.filter("n > 1").select("doc_id", "text_key"), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").count().filter("count > 1")

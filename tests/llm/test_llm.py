@@ -148,6 +148,36 @@ def test_one_of_each_group_stays(docs, empty):
     assert drop_near_duplicates(empty).count() == 0
 
 
+def test_near_copies_are_exact(spark):
+    """Pairs on both sides of 0.8, a repeated line, chains and large groups, against brute force."""
+    from tessera.llm.simhash import drop_near_duplicates
+
+    g = random.Random(7)
+    word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(8))
+    rows, shingles = [], []
+    for k in range(160):
+        base = [word() for _ in range(g.choice((12, 60, 304)))]
+        # A tail shared by no other text leaves a similarity of n / (n + tail) of shingles.
+        n = len(base) - 4
+        tail = g.choice((n // 4, n // 4, n // 4 + 1, n // 5, n // 3))
+        rows += [" ".join(base), " ".join(base + [word() for _ in range(tail)])]
+    line = " ".join(word() for _ in range(7))
+    rows += [" ".join([line] * 400 + [word() for _ in range(300)]) for _ in range(4)]
+    base = [word() for _ in range(100)]
+    rows += [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in range(100)]
+    group = list(range(len(rows)))
+    for r in rows:
+        w = r.split()
+        shingles.append({" ".join(w[k : k + 5]) for k in range(len(w) - 4)})
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) * 5 >= 4 * len(shingles[i] | shingles[j]):
+                group = [group[j] if x == group[i] else x for x in group]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for small in ({}, {"sets": 16}):
+        assert {r.doc_id for r in drop_near_duplicates(df, **small).collect()} == {min(i for i in range(len(rows)) if group[i] == x) for x in set(group)}
+
+
 def test_nearest(spark):
     from tessera.llm.ann import nearest
 
