@@ -9,8 +9,9 @@ A word's score is the difference of its log-likelihoods. A text has two features
 characters: the highest mean over ``WINDOW`` words in a row, and the mean over the whole text. A logistic
 curve turns them into a probability.
 
-Counts come from all labelled training rows and are aggregated before they are shuffled. A model holds at most
-``GRAMS`` sequences, those with the highest counts; others are backed off. The logistic curve is fitted on
+Counts are aggregated before they are shuffled, and all of them are kept. If they are at most ``GRAMS`` sequences, the model
+is made on the driver and broadcast. Beyond, it stays a table: totals, continuation counts and ratios are made by aggregation
+and joins, the sequences of the texts' distinct words are joined with it, and the words' scores with the texts. The logistic curve is fitted on
 at most ``CALIBRATION`` labelled training rows that the counts have not seen. Labels are joined to texts by
 broadcast if they are at most ``BROADCAST`` rows, else by shuffle.
 
@@ -30,7 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructType
+from pyspark.sql.types import DoubleType, StructType
+
+from tessera.llm.scratch import materialise
 
 ORDER, BITS, DISCOUNT, WINDOW = 5, 12, 0.75, 6
 GRAMS, CALIBRATION, BROADCAST = 1_000_000, 50_000, 2_000_000
@@ -141,19 +144,42 @@ class Model:
         return np.bincount(word, weights=value, minlength=len(distinct)), np.bincount(word, minlength=len(distinct)).astype(float)
 
 
-def _features(model: Model, cache: dict[str, tuple[float, float]], texts: list[list[str]]) -> np.ndarray:
-    """A row of two features for each list of words."""
-    new = list({w for t in texts for w in t if w not in cache})
-    if len(cache) + len(new) > WORDS:
-        cache.clear()
-        new = list({w for t in texts for w in t})
-    for a in range(0, len(new), 50_000):
-        part = new[a : a + 50_000]
-        cache.update(zip(part, zip(*[x.tolist() for x in model.scores(part)])))
+def _ratios(counts: DataFrame) -> DataFrame:
+    """``gram`` and ``ratio`` of all sequences, as in :class:`Model`, without holding them at one place."""
+    levels, at = [], counts.select(F.col("gram").alias("at"))
+    for k in range(ORDER - 1, 0, -1):
+        at = materialise(at.groupBy(F.col("at").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("at")).agg(F.count("*").cast("double").alias("n")), "continuations")
+        levels.append((k, at))
+    _, at = levels.pop()
+    size = at.agg(F.sum("n").alias("n"), F.count("*").alias("k")).head()
+    # At most 2 ** BITS rows.
+    lower = F.broadcast(at.select("at", ((F.col("n") + 1) / (size.n + size.k + 1)).alias("p")))
+    while levels:
+        k, at = levels.pop()
+        at = at.withColumn("context", F.shiftright("at", BITS))
+        sums = at.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        down = lower.select(F.col("at").alias("down"), F.col("p").alias("rest"))
+        at = at.join(sums, "context").withColumn("down", F.col("at").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))).join(down, "down")
+        lower = materialise(at.select("at", ((F.col("n") - DISCOUNT) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * F.col("rest")).alias("p")), "lower")
+    classes = ("toxic", "other")
+    sums = counts.groupBy(F.shiftright("gram", BITS).alias("context")).agg(*[x for c in classes for x in (F.sum(c).alias(f"{c}_total"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds"))])
+    rows = counts.withColumn("context", F.shiftright("gram", BITS)).join(sums, "context")
+    rows = rows.withColumn("at", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (ORDER - 1))) - 1))).join(lower, "at")
+
+    def discounted(c: str) -> Column:
+        total = F.greatest(F.col(f"{c}_total"), F.lit(1))
+        back = F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_kinds") / total).otherwise(1.0)
+        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total + back * F.col("p")
+
+    return rows.select("gram", F.log(discounted("toxic") / discounted("other")).cast("float").alias("ratio"))
+
+
+def _features(known: list[dict[str, tuple[float, float]]], texts: list[list[str]]) -> np.ndarray:
+    """A row of two features for each list of words, from its words' scores and lengths."""
     out = np.zeros((len(texts), 2))
-    for k, t in enumerate(texts):
+    for k, (t, scores) in enumerate(zip(texts, known)):
         if t:
-            both = np.array([cache[w] for w in t])
+            both = np.array([scores[w] for w in t])
             total = np.vstack((np.zeros((1, 2)), np.cumsum(both, axis=0)))
             n = min(WINDOW, len(t))
             part = total[n:] - total[:-n]
@@ -161,18 +187,73 @@ def _features(model: Model, cache: dict[str, tuple[float, float]], texts: list[l
     return out
 
 
-def _mapped(shared, finish, names: list[str]):
+def _cached(model: Model, cache: dict[str, tuple[float, float]], texts: list[list[str]]) -> np.ndarray:
+    new = list({w for t in texts for w in t if w not in cache})
+    if len(cache) + len(new) > WORDS:
+        cache.clear()
+        new = list({w for t in texts for w in t})
+    for a in range(0, len(new), 50_000):
+        part = new[a : a + 50_000]
+        cache.update(zip(part, zip(*[x.tolist() for x in model.scores(part)])))
+    return _features([cache] * len(texts), texts)
+
+
+def _by_model(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                x = _features(model, cache, [words(t.as_py()) for t in part.column(0)])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(c) for c in finish(x)]], names=names)
+                x = _cached(model, cache, [words(t.as_py()) for t in part.column(0)])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(c) for c in x.T]], names=names)
+
+    return run
+
+
+def _by_scores(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                texts = [words(t.as_py()) for t in part.column(0)]
+                seen = [{x["word"]: x["value"] for x in s or ()} for s in part.column(1).to_pylist()]
+                x = _features([{w: (s.get(w, 0.0), len(w) + 1.0) for w in set(t)} for t, s in zip(texts, seen)], texts)
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *[pa.array(c) for c in x.T]], names=names)
 
     return run
 
 
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's key with each of its distinct words."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            rows = [(key, w) for text, key in zip(part.column(0), part.column(1).to_pylist()) for w in set(words(text.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["_hash", "word"])
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word with each of its sequences."""
+    for batch in batches:
+        key, word = grams(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word)), pa.array(key)], names=["word", "gram"])
+
+
+def _featured(model, source: DataFrame) -> DataFrame:
+    """``source`` (texts as ``_text``, then other columns) with _peak and _mean instead of _text; ``model`` is broadcast or a table of ratios."""
+    rest = [c for c in source.columns if c != "_text"]
+    schema = StructType([source.schema[c] for c in rest]).add("_peak", DoubleType()).add("_mean", DoubleType())
+    if not isinstance(model, DataFrame):
+        return source.select("_text", *rest).mapInArrow(_by_model(model, schema.names), schema)
+    keyed = source.withColumn("_hash", F.md5(F.coalesce("_text", F.lit(""))))
+    pairs = keyed.select("_text", "_hash").mapInArrow(_words_of, "_hash string, word string")
+    sequences = pairs.select("word").distinct().mapInArrow(_grams_of, "word string, gram long")
+    # Sequences that neither class has seen score zero.
+    scores = materialise(sequences.join(model, "gram").groupBy("word").agg(F.sum(F.col("ratio").cast("double")).alias("value")), "words")
+    of_text = pairs.join(scores, "word").groupBy("_hash").agg(F.collect_set(F.struct("word", "value")).alias("_scores"))
+    return keyed.join(of_text, "_hash", "left").select("_text", "_scores", *rest).mapInArrow(_by_scores(schema.names), schema)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and offset by Newton's method, with a weak pull to zero."""
     x = np.column_stack((x, np.ones(len(x))))
@@ -187,9 +268,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _model(counts: DataFrame):
+    """A broadcast model if the sequences are at most ``GRAMS``, else a table of all their ratios; none without toxic ones."""
+    counts = materialise(counts, "sequences")
+    size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).head()
+    if not size.toxic:
+        return None
+    if size.n > GRAMS:
+        return materialise(_ratios(counts), "ratios")
+    held = counts.toPandas()
+    return counts.sparkSession.sparkContext.broadcast(Model(held["gram"].to_numpy(), held["toxic"].to_numpy(), held["other"].to_numpy()))
+
+
 def _scorer(docs: DataFrame, labels: DataFrame) -> float | tuple:
-    """The share of toxic labels if nothing can be learnt, else the shared model and the weights of the features."""
-    spark = docs.sparkSession
+    """The share of toxic labels if nothing can be learnt, else the model and the weights of the features."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 2")
     known = known.cache()
     stats = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).head()
@@ -199,17 +291,16 @@ def _scorer(docs: DataFrame, labels: DataFrame) -> float | tuple:
     by_label = F.broadcast(known) if stats.n <= BROADCAST else known
     train = ids.join(by_label.filter("fold <> 3"), "doc_id").select("text", "toxic")
     counts = train.mapInArrow(_counter, "gram long, toxic long, other long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    top = counts.orderBy((F.col("toxic") + F.col("other")).desc(), "gram").limit(GRAMS).toPandas()
-    if not len(top) or not top["toxic"].any():
+    model = _model(counts)
+    if model is None:
         return stats.k / stats.n
-    model = spark.sparkContext.broadcast(Model(top["gram"].to_numpy(), top["toxic"].to_numpy(), top["other"].to_numpy()))
     some = known.filter("fold = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    rows = ids.join(F.broadcast(some), "doc_id").select("text", "toxic")
-    seen = rows.mapInArrow(_mapped(model, lambda x: list(x.T), ["toxic", "peak", "mean"]), "toxic int, peak double, mean double").toPandas()
+    rows = ids.join(F.broadcast(some), "doc_id").select(F.col("text").alias("_text"), "toxic")
+    seen = _featured(model, rows).toPandas()
     known.unpersist()
     if seen["toxic"].nunique() < 2:
         return stats.k / stats.n
-    return model, _logistic(seen[["peak", "mean"]].to_numpy(), seen["toxic"].to_numpy(float))
+    return model, _logistic(seen[["_peak", "_mean"]].to_numpy(), seen["toxic"].to_numpy(float))
 
 
 def _scored(docs: DataFrame, labels: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
@@ -219,13 +310,11 @@ def _scored(docs: DataFrame, labels: DataFrame, source: DataFrame, threshold: fl
     if not isinstance(found, tuple):
         return source.select(*rest, F.lit(float(found)).alias("_score"), F.lit(int(found >= threshold)).alias("_predicted"))
     model, w = found
-
-    def finish(x: np.ndarray) -> list[np.ndarray]:
-        score = 1 / (1 + np.exp(-np.clip(x @ w[:2] + w[2], -30, 30)))
-        return [score, (score >= threshold).astype(np.int32)]
-
-    schema = StructType([source.schema[c] for c in rest]).add("_score", DoubleType()).add("_predicted", IntegerType())
-    return source.select("_text", *rest).mapInArrow(_mapped(model, finish, schema.names), schema)
+    peak, mean, offset = (float(x) for x in w)
+    z = F.col("_peak") * peak + F.col("_mean") * mean + offset
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    scored = _featured(model, source).withColumn("_score", score)
+    return scored.select(*rest, "_score", (F.col("_score") >= threshold).cast("int").alias("_predicted"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

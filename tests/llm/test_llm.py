@@ -244,6 +244,21 @@ def test_toxicity(spark, docs, empty):
     assert score_toxicity(docs, labels.limit(0)).filter("score <> 0").count() == 0 and drop_toxic(empty, labels).count() == 0
 
 
+def test_all_sequences_count(spark, monkeypatch):
+    """More sequences than a task holds change nothing."""
+    from tessera.llm import toxicity
+
+    rows = [(i, prose(30) + (f" {w[i % 4]} " if i % 5 == 0 else " ") + prose(10)) for w in [("vileword", "nastig", "übel", "wrzgh")] for i in range(400)] + [(900, None), (901, ""), (399, BASE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    want, got = [], []
+    for most, out in ((1_000_000, want), (20, got)):
+        monkeypatch.setattr(toxicity, "GRAMS", most)
+        out += sorted((r.doc_id, r.held_out, r.score, r.predicted) for r in toxicity.score_toxicity(df, labels).collect())
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-5)
+
+
 def test_decontamination(spark, empty):
     from tessera.llm.decontamination import contaminated, drop_contaminated
 
