@@ -12,7 +12,8 @@ curve turns them into a probability.
 Counts are aggregated before they are shuffled, and all of them are kept. If they are at most ``GRAMS`` sequences, the model
 is made on the driver and broadcast. Beyond, it stays a table: totals, continuation counts and ratios are made by aggregation
 and joins, the sequences of the texts' distinct words are joined with it, and the words' scores with the texts. The logistic curve is fitted on
-at most ``CALIBRATION`` labelled training rows that the counts have not seen. Labels are joined to texts by
+at most ``CALIBRATION`` labelled rows of fold 3, scored by a model of the counts of all other labelled training rows; the
+model that scores is then made of the counts of all labelled training rows, those included. Labels are joined to texts by
 broadcast if they are at most ``BROADCAST`` rows, else by shuffle.
 
 Defined cases: null and empty texts have features of zero; several labels of a doc_id count as their maximum,
@@ -73,24 +74,24 @@ def grams(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the sequences of a task's texts, by class."""
-    held: tuple[Counter, Counter] = (Counter(), Counter())
+    """Counts of the sequences of a task's texts, by class, and of those by which the curve is fitted."""
+    held = {(label, fitted): Counter() for label in (0, 1) for fitted in (False, True)}
 
     def taken() -> pa.RecordBatch:
         parts = []
-        for k, counts in enumerate(held):
+        for (label, fitted), counts in held.items():
             key, word = grams(list(counts))
             n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))[word]
             unique, where = np.unique(key, return_inverse=True)
-            parts.append((unique, np.bincount(where, weights=n, minlength=len(unique)).astype(np.int64), np.full(len(unique), k)))
+            n = np.bincount(where, weights=n, minlength=len(unique)).astype(np.int64)
+            parts.append((unique, n * label, n * (1 - label), np.full(len(unique), fitted)))
             counts.clear()
-        a, b, c = (np.concatenate(x) for x in zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.where(c == 1, b, 0)), pa.array(np.where(c == 0, b, 0))], names=["gram", "toxic", "other"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["gram", "toxic", "other", "fitted"])
 
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-            held[1 if label else 0].update(words(text.as_py()))
-            if len(held[0]) + len(held[1]) > WORDS:
+        for text, label, fitted in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            held[1 if label else 0, fitted].update(words(text.as_py()))
+            if sum(map(len, held.values())) > WORDS:
                 yield taken()
     yield taken()
 
@@ -270,7 +271,6 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _model(counts: DataFrame):
     """A broadcast model if the sequences are at most ``GRAMS``, else a table of all their ratios; none without toxic ones."""
-    counts = materialise(counts, "sequences")
     size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).head()
     if not size.toxic:
         return None
@@ -288,19 +288,22 @@ def _scorer(docs: DataFrame, labels: DataFrame) -> float | tuple:
     if stats.k in (0, stats.n):
         return stats.k / max(stats.n, 1)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_label = F.broadcast(known) if stats.n <= BROADCAST else known
-    train = ids.join(by_label.filter("fold <> 3"), "doc_id").select("text", "toxic")
-    counts = train.mapInArrow(_counter, "gram long, toxic long, other long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    model = _model(counts)
-    if model is None:
+    some = known.filter("fold = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("doc_id", "toxic").cache()
+    marked = known.join(F.broadcast(some.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "toxic", F.col("_id").isNotNull().alias("fitted"))
+    train = ids.join(F.broadcast(marked) if stats.n <= BROADCAST else marked, "doc_id").select("text", "toxic", "fitted")
+    rest = lambda c: F.sum(F.when(F.col("fitted"), 0).otherwise(F.col(c))).alias(f"{c}_rest")
+    counts = train.mapInArrow(_counter, "gram long, toxic long, other long, fitted boolean").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), rest("toxic"), rest("other"))
+    counts = materialise(counts, "sequences")
+    trial = _model(counts.filter("toxic_rest + other_rest > 0").select("gram", F.col("toxic_rest").alias("toxic"), F.col("other_rest").alias("other")))
+    if trial is None:
         return stats.k / stats.n
-    some = known.filter("fold = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
     rows = ids.join(F.broadcast(some), "doc_id").select(F.col("text").alias("_text"), "toxic")
-    seen = _featured(model, rows).toPandas()
+    seen = _featured(trial, rows).toPandas()
+    some.unpersist()
     known.unpersist()
     if seen["toxic"].nunique() < 2:
         return stats.k / stats.n
-    return model, _logistic(seen[["_peak", "_mean"]].to_numpy(), seen["toxic"].to_numpy(float))
+    return _model(counts.select("gram", "toxic", "other")), _logistic(seen[["_peak", "_mean"]].to_numpy(), seen["toxic"].to_numpy(float))
 
 
 def _scored(docs: DataFrame, labels: DataFrame, source: DataFrame, threshold: float) -> DataFrame:

@@ -259,6 +259,20 @@ def test_all_sequences_count(spark, monkeypatch):
     assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-5)
 
 
+def test_all_labelled_rows_count(spark):
+    """A toxic word that only the labels of fold 3 hold is known."""
+    from tessera.llm.toxicity import score_toxicity
+
+    part = lambda i: zlib.crc32(str(i).encode()) % 4
+    bad = lambda i: i % 3 == 0
+    rows = [(i, prose(40) + (" " + ("wrzgh" if part(i) == 3 and i % 2 else "vileword") if bad(i) else "") + " " + prose(10)) for i in range(600)]
+    rows += [(1000 + i, prose(25) + " wrzgh " + prose(25)) for i in range(40)] + [(2000 + i, prose(50)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bad(i))) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(df, labels).collect()}
+    assert sum(got[1000 + i] for i in range(40)) >= 36 and sum(got[2000 + i] for i in range(40)) <= 4
+
+
 def test_decontamination(spark, empty):
     from tessera.llm.decontamination import contaminated, drop_contaminated
 
