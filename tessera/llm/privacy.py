@@ -4,10 +4,14 @@ Four kinds are found by their form: e-mail and IP addresses, card and telephone
 same as the contract's and take time in proportion to the text: a match can start only where a run of its
 characters starts, and repetitions don't give back.
 
-Terms reveal protected data by co-occurrence. For each kind, a term's disclosure is the pointwise mutual information between
-"this word" and "a value of this kind within ``NEAR`` words", from counts over all documents: log2 of P(kind near |
-term) over P(kind). A term that stands near a kind in at least ``SUPPORT`` documents, in at least the share ``SHARE`` of
-all documents that have it, and whose disclosure is at least ``BITS``, is generalised wherever it stands. Base spans stay.
+Terms reveal protected data by co-occurrence, with a kind or with one protected value (an entity: the digits or the
+lower-cased text of a hit). An occurrence is a word in a document. A term's disclosure is the pointwise mutual information between
+"this word" and "the kind (or value) within ``NEAR`` words", over all occurrences: log2 of P(near | term) over
+P(near | any occurrence). As a document has far more words than stand near a value, a kind that is in every document
+can be disclosed too. A term that stands near it in the share ``SHARE`` or more of all documents that have the term, whose
+disclosure is at least ``BITS``, and that does so in two documents or more with ``EVIDENCE`` bits against chance, is generalised wherever
+it stands. The evidence is the documents with the term times the divergence of the share from P(near | any occurrence), which bounds
+the chance of so many (Chernoff) by 2 ** -``EVIDENCE``: a rare term counts if it is exclusive. Base spans stay.
 
 Words near values come from documents with values; how many documents have a word is counted over all. Disclosing
 terms and the documents that have them are broadcast if they are at most ``BROADCAST`` rows, else they are joined by
@@ -36,7 +40,7 @@ PATTERNS = {
 #: What a text must hold for its kind's pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 NEAR, REACH = 3, 100
-SUPPORT, SHARE, BITS, BROADCAST = 10, 0.8, 2.0, 100_000
+SHARE, BITS, EVIDENCE, BROADCAST = 0.8, 2.0, 16.0, 100_000
 _SPAN = "array<struct<kind:int,start:int,end:int,hit:string>>"
 _WORD = r"\p{L}{3,40}"
 
@@ -96,13 +100,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _near(text: Column, spans: Column) -> Column:
-    """Distinct (kind, term) of the words next to each span."""
+    """Distinct (kind, value, term) of the words next to each span; value is the hash of the entity."""
 
     def words(s: Column) -> Column:
         before = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))), F.lit(_WORD), F.lit(0))
         after = F.regexp_extract_all(F.lower(F.substring(text, s["end"] + 1, F.lit(REACH))), F.lit(_WORD), F.lit(0))
         last = F.slice(before, F.greatest(F.size(before) - NEAR + 1, F.lit(1)), F.lit(NEAR))
-        return F.transform(F.concat(last, F.slice(after, F.lit(1), F.lit(NEAR))), lambda w: F.struct(s["kind"].alias("kind"), w.alias("term")))
+        value = F.xxhash64(F.when(s["kind"] >= 2, _digits(s["hit"])).otherwise(F.lower(s["hit"])))
+        return F.transform(F.concat(last, F.slice(after, F.lit(1), F.lit(NEAR))), lambda w: F.struct(s["kind"].alias("kind"), value.alias("value"), w.alias("term")))
 
     return F.array_distinct(F.flatten(F.transform(spans, words)))
 
@@ -117,15 +122,24 @@ def annotate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
     based = base_spans(ids)
     based = materialise(based.select("doc_id", "_key", "spans", F.when(F.size("spans") > 0, _near(F.col("_text"), F.col("spans"))).alias("near")), "spans")
-    counts = based.agg(F.count("*").alias("n"), *[F.count_if(F.exists("spans", _is(i))).alias(k) for i, k in enumerate(PATTERNS)]).head()
-    joint = based.select(F.inline("near")).groupBy("term", "kind").agg(F.count("*").alias("joint")).filter(F.col("joint") >= SUPPORT)
-    joint = materialise(joint, "joint")
+    # The value of a kind as a whole is null. A document counts once for each.
+    of_kind = F.array_distinct(F.transform("near", lambda x: F.struct(x["kind"].alias("kind"), F.lit(None).cast("long").alias("value"), x["term"].alias("term"))))
+    joint = materialise(based.filter(F.size("near") > 0).select(F.inline(F.concat(of_kind, "near"))).groupBy("term", "kind", "value").agg(F.count("*").alias("joint")), "joint")
+    near = joint.groupBy("kind", "value").agg(F.sum("joint").alias("near"))
     words = ids.select("doc_id", "_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
     # Counts are made in each task before they are shuffled.
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
-    of_kind = F.element_at(F.array(*[F.lit(counts[k]) for k in PATTERNS]), F.col("kind") + 1)
-    share = F.col("joint") / F.col("df")
-    disclosing = joint.join(df, "term").filter((share >= SHARE) & (F.log2(share * counts["n"] / of_kind) >= BITS))
+    df = materialise(words.groupBy("term").agg(F.count("*").alias("df")), "df")
+    occurrences = df.agg(F.sum("df")).head()[0] or 0
+    near = near.select(F.col("kind").alias("_kind"), F.col("value").alias("_value"), (F.col("near") / F.lit(float(max(occurrences, 1)))).alias("any"))
+    # A part of a word at the edge of ``REACH`` is counted near only, so a share is held to one.
+    several = joint.filter("joint >= 2")
+    # Of a term's kinds and values with equal counts, the one that is least often near decides: a common term has few rows.
+    rated = several.join(near, (several["kind"] == near["_kind"]) & several["value"].eqNullSafe(near["_value"]))
+    rated = rated.groupBy("term", "joint").agg(F.min("any").alias("any")).join(df, "term")
+    share = F.least(F.col("joint") / F.col("df"), F.lit(1.0))
+    other = F.when(share < 1, (1 - share) * F.log2((1 - share) / F.greatest(1 - F.col("any"), F.lit(1e-12)))).otherwise(0.0)
+    lift = F.log2(share / F.col("any"))
+    disclosing = rated.filter((share >= SHARE) & (lift >= BITS) & (F.col("df") * (share * lift + other) >= EVIDENCE))
     disclosing = materialise(disclosing.select("term").distinct(), "disclosing")
     hits = words.join(_sized(disclosing), "term")
     by_text = materialise(hits.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "by_text")

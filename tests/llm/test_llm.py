@@ -230,6 +230,24 @@ def test_disclosing_terms(spark):
     assert got[1].endswith("term:6:13") and "term" not in got[100]
 
 
+def test_rare_and_hot_disclosing_terms(spark):
+    """A term that is only beside one address in two documents, and one beside a kind that most documents hold."""
+    from tessera.llm.privacy import find_personal_data
+
+    g = random.Random(3)
+    some = lambda n: " ".join("w" + "".join(g.choice("abc") for _ in range(3)) for _ in range(n))
+    # Every third document has a phone, six of ten an address in a footer beside a word of its own.
+    texts = [some(40) + (f" zentrale {'x' * (1 + i % 7)}{i}@hub.org " if i % 10 < 6 else " ") + some(20) + (f" +1 234 567 {8000 + i}" if i % 3 == 0 else "") for i in range(300)]
+    for i in (7, 18):
+        texts[i] = some(30) + " kowalska k@mail.org " + some(30)
+    texts[9] += " einmalig z9@mail.org"
+    for i in (28, 48):
+        texts[i] += " " + some(4) + " fern " + some(4) + f" y{i}@mail.org"
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {texts[i][int(a) : int(b)] for i, s in got.items() for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "term"}
+    assert found == {"zentrale", "kowalska"}
+
+
 def test_toxicity(spark, docs, empty):
     from tessera.llm.toxicity import drop_toxic, score_toxicity
 
