@@ -181,3 +181,27 @@ def footnote_resolve(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     text = F.concat(F.lit("see ("), (d % 5).cast("string"), F.lit(") and Note "), (d % 11).cast("string"), F.lit(" and (10)"))
     return A.resolve_footnotes(table(spark, sf, "documents").select(d.alias("id"), F.col("source").alias("doc"), text.alias("text")), _notes(spark, sf))
+
+
+_WHOLE_NOTES = "s as (select source as doc, doc_id as seq, (doc_id % 12)::varchar as footnote_id, text, (doc_id % 90)::int as page from documents)"
+
+
+def _whole_notes(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return A.footnotes(d.select(F.col("source").alias("doc"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 12).cast("string").alias("footnote_id"), "text", (F.col("doc_id") % 90).cast("int").alias("page")))
+
+
+@query(f"with {_WHOLE_NOTES} select doc, footnote_id, max_by(text, seq) as text, max_by(page, seq) as page from s group by all")
+def footnote_build_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """N1 with whole texts as notes."""
+    return _whole_notes(spark, sf)
+
+
+@query(f"""with {_WHOLE_NOTES}, n as (select doc, footnote_id, max_by(text, seq) as note from s group by all),
+    c as (select doc_id as id, source as doc, list_sort(list_distinct([(doc_id % 5)::varchar, (doc_id % 11)::varchar, '10'])) as ids from documents), e as (select id, doc, unnest(ids) as footnote_id from c),
+    f as (select id, footnote_id, note, row_number() over (partition by id, note order by footnote_id) as rn from e join n using (doc, footnote_id)) select id, string_agg(note, chr(10) order by footnote_id) as notes from f where rn = 1 group by id""")
+def footnote_resolve_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """N2, N3 with whole texts as notes."""
+    d = F.col("doc_id")
+    text = F.concat(F.lit("see ("), (d % 5).cast("string"), F.lit(") and Note "), (d % 11).cast("string"), F.lit(" and (10)"))
+    return A.resolve_footnotes(table(spark, sf, "documents").select(d.alias("id"), F.col("source").alias("doc"), text.alias("text")), _whole_notes(spark, sf))

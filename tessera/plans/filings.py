@@ -239,6 +239,18 @@ def footnote_definitions(spark: SparkSession, sf: str) -> DataFrame:
     return P.footnote_definitions(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("text")))
 
 
+_NUMBERED = r"(?m)^[ \t]*\(?(\d{1,2})[.)][ \t]+(.{16,})$"
+
+
+@query(rf"""with d as (select doc_id as doc, substr(text || chr(10) || '3. ' || regexp_replace(text, '\s+', ' ', 'g') || chr(10) || '4) short', 1, 200000) as t from documents),
+    p as (select doc, unnest(regexp_extract_all(t, '{_NUMBERED}', 1)) as footnote_id, unnest(regexp_extract_all(t, '{_NUMBERED}', 2)) as body, unnest(range(len(regexp_extract_all(t, '{_NUMBERED}', 1)))) as pos from d)
+    select doc, footnote_id, trim(max_by(body, pos)) as body from p group by all""")
+def footnote_definitions_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """P20: definitions in the lines of whole texts, and each whole text as a definition."""
+    text = F.concat("text", F.lit("\n3. "), F.regexp_replace("text", r"\s+", " "), F.lit("\n4) short"))
+    return P.footnote_definitions(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("text")))
+
+
 @query("select doc_id as doc, case when doc_id % 3 = 1 then '1' end as footnote_id from documents")
 def footnote_tagging(spark: SparkSession, sf: str) -> DataFrame:
     """Only the first callout counts, and only where it is defined."""

@@ -73,3 +73,15 @@ def test_footnote_stands_alone():
     out = C.fold("d", [seg(0), seg(1, "footnote", 450), seg(2)])
     assert [c[2] for c in out] == ["prose", "footnote", "footnote", "prose"] and out[1][1] == "d::footnote::0_p0"
     assert [c[7] for c in C.fold("d", [seg(0), seg(1, "footnote"), seg(2, "footnote")], compat=True) if c[2] == "prose"] == [0, 0, 0]
+
+
+def test_notes_of_whole_texts(spark, tmp_path):
+    """Text past the first line and past 60 characters is read."""
+    from tessera.plans import QUERIES
+
+    far = "a note that stands far behind in the text of its document"
+    spark.createDataFrame([(1, "src", "x" * 500 + f"\n7. {far}\nend")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.footnote_id: r.body for r in QUERIES["footnote_definitions_whole"](spark, str(tmp_path)).collect()}
+    assert got["7"] == far and got["3"].endswith(" end") and set(got) == {"3", "7"}
+    for name, column in (("footnote_build_whole", "text"), ("footnote_resolve_whole", "notes")):
+        assert all(r[column].endswith("end") for r in QUERIES[name](spark, str(tmp_path)).collect())
