@@ -139,6 +139,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = (2
                 packer.add(doc_id, encoder.ids(text.as_py()) + end)
                 if len(packer.rows) > 20_000:
                     yield packer.taken()
+        encoder.forget()
         packer.drain(True)
         yield packer.taken()
 

@@ -2,9 +2,11 @@
 
 The vocabulary lower-cases, drops white space and splits into runs of letters, single digits and
 runs of other signs before it merges, so a text's ids are the ids of those pieces one after another.
-Each worker keeps what it has seen, up to a limit, and asks the library's model only for new pieces.
-Texts with characters at or above U+0300 or with the strings of special tokens take the library's
-whole path.
+A task keeps what it has seen, up to a limit in bytes, and asks the library's model only for new pieces; at its end it
+forgets them. Texts with characters at or above U+0300, with characters that lower() takes there, or with the strings of
+special tokens take the library's whole path.
+
+Defined cases: null and empty texts and texts of white space have no ids; a text may be of any length.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ import numpy as np
 
 #: Characters below this are their own NFC form, and lower() maps them as the vocabulary's normaliser does.
 _PLAIN = 0x300
-_RARE = re.compile(f"[^\x00-{chr(_PLAIN - 1)}]")
+#: And those that lower() takes out of that range.
+_MOVED = "".join(chr(i) for i in range(_PLAIN) if max(chr(i).lower()) >= chr(_PLAIN))
+_RARE = re.compile(f"[^\x00-{chr(_PLAIN - 1)}]|[{_MOVED}]")
 
 
 def _class(kind: str) -> str:
@@ -40,16 +44,38 @@ _LETTERS = _byte_letters()
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+class Cache(dict):
+    """Bytes by string; emptied when its entries would take more than ``most`` bytes."""
+
+    #: What an entry takes besides its characters and ids, about.
+    ENTRY = 200
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+
+    def keep(self, key: str, value: bytes) -> None:
+        size = self.ENTRY + len(key) + len(value)
+        if self.held + size > self.most:
+            self.forget()
+        if size <= self.most:
+            self[key] = value
+            self.held += size
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+
 class Encoder:
-    """The ``tokenizers`` file at ``path``; remembers at most ``words`` words and ``pieces`` pieces."""
+    """The ``tokenizers`` file at ``path``; remembers at most so many bytes of words and of pieces."""
 
-    def __init__(self, path: str, words: int = 400_000, pieces: int = 800_000):
+    def __init__(self, path: str, words: int = 40_000_000, pieces: int = 20_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.pieces, self.most_words, self.most_pieces = {}, {}, words, pieces
+        self.words, self.pieces = Cache(words), Cache(pieces)
         added = sorted({x.content[:2] for x in self.tokenizer.get_added_tokens_decoder().values() if x.content})
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -60,22 +86,23 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def forget(self) -> None:
+        """Free what was remembered; a worker outlives its tasks."""
+        self.words.forget()
+        self.pieces.forget()
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             plain = piece.isascii() and piece.isprintable()
             letters = piece if plain else "".join([_LETTERS[b] for b in piece.encode()])
             got = np.array([x.id for x in self.model.tokenize(letters)], dtype="<u4").tobytes()
-            if len(self.pieces) >= self.most_pieces:
-                self.pieces.clear()
-            self.pieces[piece] = got
+            self.pieces.keep(piece, got)
         return got
 
     def _word(self, word: str) -> bytes:
         got = b"".join([self._piece(x) for x in _PIECE.findall(word)])
-        if len(self.words) >= self.most_words:
-            self.words.clear()
-        self.words[word] = got
+        self.words.keep(word, got)
         return got
 
     def ids(self, text: str | None) -> bytes:
