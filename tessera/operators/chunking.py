@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
 
-CHUNKS = "doc string, chunk_id string, chunk_type string, text string, page int, units string, section string, first_seq int, last_seq int"
+CHUNKS = "doc string, chunk_id string, chunk_type string, text string, page int, page_method string, units string, section string, first_seq int, last_seq int"
 
 
 def word_split(text: Column, n: int) -> Column:
@@ -25,88 +28,130 @@ def token_estimate(text: Column, per_token: float = 3.5) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / per_token)).cast("int")
 
 
+def windows(sizes: list[int], cuts: list[int], most: int, overlap: int, compat: bool = False) -> Iterator[tuple[int, int, int]]:
+    """Half-open ranges of items in windows of at most ``most`` words, and how many cuts came before each.
+
+    ``cuts`` says how many times a window must end before each item, and at the end (one more number than items). A window starts with the
+    items before it that hold at most ``overlap`` words together. Windows of such items only are left out unless ``compat``.
+    """
+    total = list(accumulate(sizes, initial=0))
+    first = fresh = 0
+    for k, forced in enumerate(cuts):
+        nth = 0
+        while nth < forced or (nth == forced and k < len(sizes) and first < k and total[k + 1] - total[first] > most):
+            if first < k and (fresh < k or compat):
+                yield first, k, nth
+            first, fresh, nth = max(first, bisect_left(total, total[k] - overlap, 0, k + 1)), k, nth + 1
+
+
+def islands(sections: list[str], sizes: list[int], apart: list[bool], most: int) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of rows of one section, ``most`` words at most, none across a row that is ``apart`` from the one before."""
+    first = held = 0
+    for k, n in enumerate(sizes):
+        if first < k and (apart[k] or sections[k] != sections[first] or held + n > most):
+            yield first, k
+            first, held = k, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def fold(doc: str, rows: list[dict], window: int = 400, overlap: int = 50, budget: int = 800, compat: bool = False) -> list[tuple]:
-    """The chunks of one document's segments in order.
+    """The chunks of one document's segments in order.
 
-    Prose gathers whole segments up to ``window`` words and carries trailing whole segments of at most ``overlap`` words. Longer prose is
-    split. Footnotes stand alone. Table rows of a section gather up to ``budget`` words until prose intervenes. ``compat`` keeps chunks that
-    hold only carried segments.
+    Prose goes into :func:`windows`, table rows into :func:`islands`; both are cut independently. A footnote stands alone, ends both and is
+    split beyond ``window`` words. Longer prose is split too, after what waits. Ids count each type, and each part of split prose or rows; parts of a
+    footnote share a number. Only rows that stand together are joined, under the name of their section.
     """
     out: list[tuple] = []
-    counts = {"prose": 0, "table": 0, "footnote": 0}
-    prose: list[dict] = []
-    table: list[dict] = []
-    fresh = 0
 
-    def emit(kind: str, parts: list[dict], text: str, suffix: str = "") -> None:
+    def emit(kind: str, nth: int | str, parts: list[dict], text: str, section: str) -> None:
         units = next((p["units"] for p in parts if p["units"]), None)
-        out.append((doc, f"{doc}::{kind}::{counts[kind]}{suffix}", kind, text, parts[0]["page"], units, parts[0]["section"], parts[0]["seq"], parts[-1]["seq"]))
-
-    def split(kind: str, part: dict, size: int) -> None:
-        w = part["text"].split()
-        pieces = [" ".join(w[a : a + size]) for a in range(0, len(w), size)]
-        for k, piece in enumerate(pieces):
-            emit(kind, [part], piece, f"_p{k}" if len(pieces) > 1 else "")
-        counts[kind] += 1
-
-    def flush_prose() -> None:
-        nonlocal prose, fresh
-        if prose and (fresh or compat):
-            emit("prose", prose, " ".join(p["text"] for p in prose))
-            counts["prose"] += 1
-        kept, n = [], 0
-        for p in reversed(prose):
-            if n + p["n"] > overlap:
-                break
-            kept.insert(0, p)
-            n += p["n"]
-        prose, fresh = kept, 0
-
-    def flush_table() -> None:
-        nonlocal table
-        if table:
-            label = "" if table[0]["section"] == "other" else table[0]["section"].replace("_", " ").title() + "\n"
-            emit("table", table, label + "\n".join(p["text"] for p in table))
-            counts["table"] += 1
-        table = []
-
-    for row in rows:
-        row["n"] = len(row["text"].split())
-        if row["kind"] == "footnote":
-            flush_prose()
-            flush_table()
-            split("footnote", row, window)
-        elif row["kind"] == "table_row":
-            if table and (table[0]["section"] != row["section"] or sum(p["n"] for p in table) + row["n"] > budget):
-                flush_table()
-            if row["n"] > budget:
-                split("table", row, budget)
-            else:
-                table.append(row)
-        else:
-            flush_table()
-            if row["n"] > window:
-                flush_prose()
-                split("prose", row, window)
-                continue
-            if prose and sum(p["n"] for p in prose) + row["n"] > window:
-                flush_prose()
-            prose.append(row)
-            fresh += 1
-    if prose and (fresh or compat):
-        flush_prose()
-    flush_table()
+        out.append((doc, f"{doc}::{kind}::{nth}", kind, text, parts[0]["page"], parts[0]["page_method"], units, section, parts[0]["seq"], parts[-1]["seq"]))
+
+    def pieces(row: dict, size: int) -> list[str]:
+        w = row["text"].split()
+        return [" ".join(w[a : a + size]) for a in range(0, len(w), size)] or [""]
+
+    sizes = [len(r["text"].split()) for r in rows]
+    kinds = ["long" if r["kind"] == "prose" and n > window else r["kind"] for r, n in zip(rows, sizes)]
+
+    # Prose: a cut where a footnote or long prose stands, and at the end.
+    own = [k for k, kind in enumerate(kinds) if kind == "prose"]
+    cuts, longs, at = [0] * (len(own) + 1), {}, 0
+    for k, kind in enumerate(kinds):
+        if kind == "prose":
+            at += 1
+        elif kind in ("footnote", "long"):
+            if kind == "long":
+                longs.setdefault(at, {}).setdefault(cuts[at], []).append(k)
+            cuts[at] += 1
+    cuts[-1] += 1
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for first, stop, nth in windows([sizes[k] for k in own], cuts, window, overlap, compat):
+        found[stop, nth] = (first, stop)
+    nth = 0
+    for at in range(len(own) + 1):
+        for cut in range(cuts[at] + 1):
+            if (at, cut) in found:
+                parts = [rows[k] for k in own[slice(*found[at, cut])]]
+                emit("prose", nth, parts, " ".join(p["text"] for p in parts), parts[0]["section"])
+                nth += 1
+            for k in longs.get(at, {}).get(cut, ()):
+                for text in pieces(rows[k], window):
+                    emit("prose", nth, [rows[k]], text, rows[k]["section"])
+                    nth += 1
+
+    # Rows of tables: apart where prose or a footnote, or a row over the budget, stands between.
+    own = [k for k, kind in enumerate(kinds) if kind == "table_row"]
+    over = [sizes[k] > budget for k in own]
+    apart = [i == 0 or own[i] != own[i - 1] + 1 or over[i] or over[i - 1] for i in range(len(own))]
+    nth = 0
+    for first, stop in islands([rows[k]["section"] for k in own], [sizes[k] for k in own], apart, budget):
+        parts = [rows[k] for k in own[first:stop]]
+        section = parts[0]["section"]
+        label = "" if section == "other" else f"[{section.replace('_', ' ').title()}]\n"
+        for text in pieces(parts[0], budget) if over[first] else [label + "\n".join(p["text"] for p in parts)]:
+            emit("table_row", nth, parts, text, section)
+            nth += 1
+
+    for nth, k in enumerate(k for k, kind in enumerate(kinds) if kind == "footnote"):
+        split = pieces(rows[k], window) if sizes[k] > window else [rows[k]["text"]]
+        for part, text in enumerate(split):
+            emit("footnote", f"{nth}_p{part}" if len(split) > 1 else nth, [rows[k]], text, rows[k]["section"])
     return out
 
 
 def chunks(segments: DataFrame, **sizes: int) -> DataFrame:
-    """Chunks of each document (C2-C8). Segments have doc, seq, kind (prose, table_row, footnote), text, page, units, section; a filing fits a task."""
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(key[0], rows.sort_values("seq").to_dict("records"), **sizes), columns=names)
+    """Chunks of each document (C2-C8). Segments have doc, seq, sub, kind (prose, table_row, footnote), text, page, page_method, units, section.
 
-    return segments.select("doc", "seq", "kind", "text", "page", "units", "section").groupBy("doc").applyInPandas(one, CHUNKS)
+    Documents are dealt to tasks and sorted; a task holds the segments of one document at a time.
+    """
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    kinds = {"page": pa.int32(), "first_seq": pa.int32(), "last_seq": pa.int32()}
+    columns = ["doc", "seq", "sub", "kind", "text", "page", "page_method", "units", "section"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=kinds.get(n, pa.string())) for c, n in zip(zip(*rows), names)], names=names)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        out: list[tuple] = []
+        for part in batches:
+            for row in part.to_pylist():
+                if held and held[0]["doc"] != row["doc"]:
+                    out += fold(held[0]["doc"], held, **sizes)
+                    held = []
+                    if len(out) >= 2_000:
+                        yield batch(out)
+                        out = []
+                held.append(row)
+        if held:
+            out += fold(held[0]["doc"], held, **sizes)
+        if out:
+            yield batch(out)
+
+    return segments.select(*columns).repartition("doc").sortWithinPartitions("doc", "seq", "sub").mapInArrow(folded, CHUNKS)
 
 
 def budget_batches(texts: DataFrame, key: str, order: str, budget: int = 40_000) -> DataFrame:

@@ -3,6 +3,10 @@
 Recovery rules: void elements have no content; a block element closes an open paragraph, a list item an open one, a cell
 an open cell, a row an open row, through any inline elements between, but never through an enclosing table or list; end tags close the nearest open
 element of their name and what is in it; script, style and noscript are dropped with their content.
+
+An element's text is kept where something reads it: headings, tables and their cells, and elements of prose until a child of prose starts
+(a division that holds no more than a number keeps it). So rows hold hardly more text than the page. What needs the whole page, the number of
+breaks, the printed offset and the ids of footnotes' definitions, is found in the same pass: the page is parsed once.
 """
 
 from __future__ import annotations
@@ -10,22 +14,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 DROPPED = {"script", "style", "noscript"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PROSE = {"p", "div", "span", "li"}
+#: Inline facts: what holds one isn't a leaf of prose.
+LINKED = {"ix:nonfraction", "ix:nonnumeric", "ix:fraction"}
 #: Elements that end an open paragraph.
 BLOCK = {"p", "div", "ul", "ol", "table", "section", "article", "nav", "header", "footer", "blockquote", "pre", "form", "hr"} | HEADINGS
 #: What an element closes, and what stops the search for it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 SCHEMA = (
     "doc string, seq int, parent_seq int, end_seq int, tag string, depth int, style string, colspan int, text string, table_seq int, row_idx int, cell_idx int, "
-    "in_leaf_table boolean, has_nested_table boolean, has_child_prose boolean, has_ix_child boolean, kind string, turns_page boolean"
+    "in_leaf_table boolean, has_nested_table boolean, has_child_prose boolean, has_ix_child boolean, kind string, breaks boolean, "
+    "n_breaks int, page_offset int, cells array<struct<row_idx:int,cell_idx:int,col:int,colspan:int,text:string>>, lines string"
 )
+#: Elements whose text is read; characters of a container that may still be a page number; breaks from which pages are marked; characters of lines that are kept.
+KEPT = PROSE | HEADINGS | {"table", "td", "th"}
+NUMBER, LEAST_BREAKS, LINES = 8, 5, 200_000
 
 
 class _Element:
@@ -35,17 +47,34 @@ class _Element:
         self.style = (attributes.get("style") or "").lower()
         span = attributes.get("colspan") or "1"
         self.colspan = int(span) if span.isdigit() and int(span) > 0 else 1
-        self.parts: list[str] = []
+        self.parts: list[str] | None = [] if tag in KEPT else None
+        self.size = 0
         self.end = seq
         self.table = parent.table if parent else None
         self.row = self.cell = None
-        self.rows = self.cells = 0
+        self.rows = self.cells = self.columns = self.col = 0
         self.nested = self.prose = self.ix = False
 
+    def hold(self, text: str) -> None:
+        """Keep ``text`` where it is read."""
+        if self.parts is not None:
+            self.parts.append(text)
+            self.size += len(text)
+            self.trim()
+
+    def trim(self) -> None:
+        contains = self.nested if self.tag in ("table", "td", "th") else self.prose or self.nested
+        if contains and self.parts is not None and self.tag not in HEADINGS and self.size > NUMBER:
+            self.parts = None
+
+    def breaks(self) -> bool:
+        return ("page-break-before" in self.style or "page-break-after" in self.style or "break-before" in self.style or "break-after" in self.style) and "always" in self.style
+
 
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.lines: list[str] = []
         self.all: list[_Element] = []
         self.open: list[_Element] = []
         self.dropped = 0
@@ -69,11 +98,15 @@ class _Tree(HTMLParser):
             row = next((x for x in reversed(self.open) if x.tag in ("tr", "table")), None)
             if row is not None and row.tag == "tr":
                 e.row, e.cell, row.cells = row.row, row.cells, row.cells + 1
-        while up:
-            up.nested |= tag == "table"
-            up.prose |= tag in PROSE
-            up.ix |= tag.startswith("ix:")
-            up = up.parent
+                # Where the cell starts when spans are laid out.
+                e.col, row.columns = row.columns, row.columns + e.colspan
+        if tag == "table" or tag in PROSE or tag in LINKED:
+            while up:
+                up.nested |= tag == "table"
+                up.prose |= tag in PROSE
+                up.ix |= tag in LINKED
+                up.trim()
+                up = up.parent
         self.all.append(e)
         if tag not in VOID:
             self.open.append(e)
@@ -98,9 +131,10 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if not self.dropped and data.strip():
+            self.lines.append(data.strip())
             text = " ".join(data.split())
             for e in self.open:
-                e.parts.append(text)
+                e.hold(text)
 
     def _close(self, tags, stops):
         for k in range(len(self.open) - 1, -1, -1):
@@ -117,35 +151,58 @@ class _Tree(HTMLParser):
         del self.open[k:]
 
 
+def printed_offset(numbers: dict[int, int]) -> int:
+    """Printed minus electronic page at the first page whose number and those of the next two pages follow one another, else 0."""
+    return next((n - page for page, n in sorted(numbers.items()) if numbers.get(page + 1) == n + 1 and numbers.get(page + 2) == n + 2), 0)
+
+
 def elements(doc: str | None, html: str | None) -> list[tuple]:
-    """Rows of ``SCHEMA`` for one document, in document order."""
+    """Rows of ``SCHEMA`` for one document, in document order. The first row has what is found of the whole page in ``lines``."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     tree._pop(0)
+    n_breaks = sum(e.breaks() for e in tree.all)
+    page, numbers, cells = 1, {}, {}
+    for e in tree.all:
+        page += n_breaks >= LEAST_BREAKS and e.breaks()
+        text = " ".join(e.parts) if e.tag == "div" and e.parts and e.size <= NUMBER else ""
+        if text.isdigit() and len(text) <= 4:
+            numbers[page] = int(text)
+        if e.cell is not None and not e.table.nested:
+            cells.setdefault(e.table.seq, []).append((e.row, e.cell, e.col, e.colspan, " ".join(e.parts or ())))
+    offset = printed_offset(numbers)
     out = []
     for e in tree.all:
         leaf = e.table is not None and not e.table.nested
         inside = leaf and e.tag != "table"
-        text = " ".join(e.parts).strip()
-        prose = e.tag in PROSE and not (e.prose or e.nested or e.ix or inside) and len(text) >= 2
-        kind = "heading" if e.tag in HEADINGS else "table" if e.tag == "table" and not e.nested else "prose" if prose else None
-        breaks = ("break-before" in e.style or "break-after" in e.style) and "always" in e.style
-        turns = breaks and e.tag not in HEADINGS and e.tag != "table" and not inside
-        out.append((doc, e.seq, e.parent.seq if e.parent else None, e.end, e.tag, e.depth, e.style, e.colspan, text, e.table.seq if e.table else None, e.row, e.cell, leaf, e.nested, e.prose, e.ix, kind, turns))
+        text = " ".join(e.parts or ())
+        # Cells have their text in their table's row.
+        prose = e.tag in PROSE and not (e.prose or e.nested or inside) and len(text) >= 2
+        kind = "heading" if e.tag in HEADINGS and not inside else "table" if e.tag == "table" and not e.nested else "prose" if prose else None
+        grid = [dict(zip(("row_idx", "cell_idx", "col", "colspan", "text"), c)) for c in cells.get(e.seq, ())] if kind == "table" else None
+        out.append((doc, e.seq, e.parent.seq if e.parent else None, e.end, e.tag, e.depth, e.style, e.colspan, text, e.table.seq if e.table else None, e.row, e.cell, leaf, e.nested, e.prose, e.ix, kind, e.breaks(), n_breaks, offset, grid, " ".join(tree.lines)[:LINES] if e.seq == 0 else None))
     return out
 
 
-def dom(pages: DataFrame) -> DataFrame:
-    """A row for each element of each page (columns doc, html)."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+def dom(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """A row for each element of each page (columns doc, html); with ``partitions``, pages are dealt to so many tasks first."""
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, html in zip(batch["doc"], batch["html"]):
-                out = pd.DataFrame(elements(doc, html), columns=names)
-                for c in ("parent_seq", "table_seq", "row_idx", "cell_idx"):
-                    out[c] = out[c].astype("Int32")
-                yield out
+            rows: list[tuple] = []
+            for doc, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows += elements(doc, html.as_py())
+                if len(rows) >= 5_000:
+                    yield _batch(rows, schema)
+                    rows = []
+            if rows:
+                yield _batch(rows, schema)
+
+    source = pages.select("doc", "html")
+    return (source.repartition(partitions) if partitions else source).mapInArrow(parse, SCHEMA)
+
 
-    return pages.select("doc", "html").mapInPandas(parse, SCHEMA)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

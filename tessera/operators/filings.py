@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions.text import accounting_number, document_name, is_numeric, is_spacer, statement_type, unit_header, words
 
 
+#: A year in a header.
+YEAR = r"\b(19|20)\d{2}\b"
+#: A footnote's definition: a number at a line's start, punctuation, and what it says.
+DEFINITION = r"(?md)^\s*\(?(\d{1,2})\)?\s*[.\-:]\s*(.+)$"
+
+
 def is_break(style: Column) -> Column:
     """An inline style that breaks the page."""
     s = F.lower(style)
@@ -54,14 +60,64 @@ def section_in_force(section: Column, page: Column, key: str, order: str, scope:
     return F.when(page - last["page"] <= scope, last["section"]).otherwise("other")
 
 
-def segments(dom: DataFrame, per_page: int = 550, least_breaks: int = 5, heading_most: int = 200) -> DataFrame:
-    """doc, seq, kind (heading, prose, table), text, page, page_method, units, section of what a document shows, in order."""
-    d = dom.select("doc", "seq", "text", "kind", F.col("turns_page").alias("brk")).join(page_method(dom, least_breaks), "doc")
-    n = F.when(F.col("kind") == "prose", F.size(words(F.col("text")))).otherwise(0)
-    d = d.withColumn("page", F.when(F.col("page_method") == "marker", marker_page(F.col("brk"))).otherwise(word_page(n, per_page=per_page))).filter("kind is not null")
-    named = F.when(F.col("kind") == "heading", statement_type(F.col("text"))).when((F.col("kind") == "prose") & (F.length("text") <= heading_most), statement_type(F.col("text"), strict=True)).otherwise("other")
-    d = d.withColumn("units", carried(unit_header(F.col("text")), "doc", "seq"))
-    return d.withColumn("named", named).withColumn("section", section_in_force(F.col("named"), F.col("page"), "doc", "seq")).select("doc", "seq", "kind", "text", "page", "page_method", "units", "section")
+def _traversed(dom: DataFrame, key: str, prose: Column, turns: Column, heading: Column, named: Column, per_page: int, least_breaks: int, scope: int) -> DataFrame:
+    """Elements with a kind, with ``page``, ``page_method``, ``units`` and ``section``: windows over one order, so one shuffle and one sort.
+
+    ``prose`` are the leaves of prose, ``turns`` the elements that turn pages, ``heading`` those that may name a section, and ``named`` that name.
+    """
+    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    marked = F.col("n_breaks") >= least_breaks
+    n = F.when(prose, F.size(words(F.col("text")))).otherwise(0)
+    page = F.when(marked, 1 + F.sum(turns.cast("int")).over(w)).otherwise(F.greatest(F.lit(1), (F.floor(F.sum(n).over(w) / per_page) + 1).cast("int"))).cast("int")
+    own = F.when(prose | (F.col("kind") == "table"), unit_header(F.col("text")))
+    d = dom.withColumn("page", page).withColumn("page_method", F.when(marked, "marker").otherwise("word_count")).withColumn("units", F.last(own, ignorenulls=True).over(w))
+    last = F.last(F.when(heading, F.struct(named.alias("section"), F.col("page").alias("page"))), ignorenulls=True).over(w)
+    # The page is printed as the offset says; sections expire by the page counted.
+    return d.withColumn("_last", last).withColumn("section", F.when(F.col("page") - F.col("_last.page") <= scope, F.col("_last.section")).otherwise("other")).withColumn("page", F.col("page") + F.col("page_offset")).drop("_last")
+
+
+def _rows_of_tables(d: DataFrame, scan: int = 6) -> DataFrame:
+    """Rows of tables as facts, beside all other rows: ``sub``, ``row_idx``, ``row_label``, ``column_header``, ``value_text``, ``value_numeric``.
+
+    A table's cells are an array of its row, so header and intervals are found in it; labels come from a window over rows that lie together.
+    """
+    seen = F.transform("cells", lambda c: F.struct(c["row_idx"].alias("row_idx"), c["col"].alias("col"), (c["col"] + c["colspan"]).alias("stop"), F.trim(F.translate(c["text"], "\u00a0", " ")).alias("text")))
+    full = d.withColumn("_cells", F.filter(seen, lambda c: ~is_spacer(c["text"])))
+    year = F.filter("_cells", lambda c: (c["row_idx"] < scan) & c["text"].rlike(YEAR))
+    full = full.withColumn("_head", F.coalesce(F.array_min(F.transform(year, lambda c: c["row_idx"])), F.lit(0)))
+    full = full.withColumn("_heads", F.filter("_cells", lambda c: c["row_idx"] == F.col("_head"))).withColumn("_body", F.filter("_cells", lambda c: c["row_idx"] != F.col("_head")))
+    each = full.select("*", F.posexplode_outer("_body").alias("sub", "_cell")).drop("cells", "_cells", "_body")
+    w = Window.partitionBy("doc", "seq", "_cell.row_idx").orderBy("sub")
+    each = each.withColumn("row_label", F.first("_cell.text").over(w)).withColumn("_nth", F.row_number().over(w)).filter((F.col("kind") != "table") | (F.col("_nth") > 1))
+    head = F.get(F.filter("_heads", lambda h: (h["col"] <= F.col("_cell.col")) & (F.col("_cell.col") < h["stop"])), F.lit(0))["text"]
+    numeric = is_numeric(F.col("_cell.text"))
+    value = F.when(numeric, accounting_number(F.col("_cell.text"))).otherwise(F.col("_cell.text"))
+    return (
+        each.withColumn("row_idx", F.col("_cell.row_idx")).withColumn("column_header", F.coalesce(head, F.concat(F.lit("col_"), F.col("_cell.col"))))
+        .withColumn("value_text", value).withColumn("value_numeric", F.when(numeric, F.trim(value)).try_cast("double")).drop("_cell", "_head", "_heads", "_nth")
+    )
+
+
+def segments(dom: DataFrame, per_page: int = 550, least_breaks: int = 5, heading_most: int = 200, scope: int = 1) -> DataFrame:
+    """doc, seq, sub, kind (prose, table_row, footnote), text, page, page_method, units, section, footnote_id of what a document says, in order.
+
+    Tables are a row for each fact sentence (P12); pages are printed ones where an offset is found (P6); prose whose first callout has a
+    definition is a footnote (P20, P21). Only tables carry a section (P2-P5, P14, P17-P19).
+    """
+    prose = (F.col("kind") == "prose") & ~F.col("has_ix_child")
+    turns = F.col("breaks") & (F.col("tag") != "table") & ~F.coalesce(F.col("kind") == "heading", F.lit(False)) & ~F.col("in_leaf_table")
+    name = F.when(F.col("kind") == "heading", statement_type(F.col("text"))).when(prose & (F.length("text") <= heading_most), statement_type(F.col("text"), strict=True)).otherwise("other")
+    d = _traversed(dom.withColumn("named", name), "doc", F.coalesce(prose, F.lit(False)), turns, F.col("named") != "other", F.col("named"), per_page, least_breaks, scope)
+    whole = Window.partitionBy("doc")
+    d = d.withColumn("_defined", F.first(F.when(F.col("seq") == 0, defined_footnotes(F.col("lines"))), ignorenulls=True).over(whole)).filter((F.col("kind") == "table") | prose)
+    called = F.nullif(F.regexp_extract("text", r"\((\d{1,2})\)", 1), F.lit(""))
+    d = d.withColumn("footnote_id", F.when((F.col("kind") == "prose") & F.array_contains("_defined", called), called))
+    rows = _rows_of_tables(d.select("doc", "seq", "kind", "text", "cells", "page", "page_method", "units", "section", "footnote_id"))
+    is_table = F.col("kind") == "table"
+    return rows.select(
+        "doc", "seq", F.coalesce("sub", F.lit(0)).alias("sub"), F.when(is_table, "table_row").when(F.col("footnote_id").isNotNull(), "footnote").otherwise("prose").alias("kind"),
+        F.when(is_table, fact_sentence()).otherwise(F.col("text")).alias("text"), "page", "page_method", "units", F.when(is_table, F.col("section")).otherwise("other").alias("section"), "footnote_id",
+    )
 
 
 def logical_columns(cells: DataFrame, table: list[str]) -> DataFrame:
@@ -72,7 +128,7 @@ def logical_columns(cells: DataFrame, table: list[str]) -> DataFrame:
 
 def header_rows(cells: DataFrame, table: list[str], scan: int = 6) -> DataFrame:
     """table, header_row: the first of the first ``scan`` rows with a year, else 0 (P10)."""
-    year = F.col("text").rlike(r"\b(19|20)[0-9]{2}\b") & (F.col("row_idx") < scan)
+    year = F.col("text").rlike(YEAR) & (F.col("row_idx") < scan)
     return cells.groupBy(*table).agg(F.coalesce(F.min(F.when(year, F.col("row_idx"))), F.lit(0)).alias("header_row"))
 
 
@@ -89,28 +145,54 @@ def table_facts(cells: DataFrame, table: list[str]) -> DataFrame:
     found = F.filter("heads", lambda h: (h["col"] <= F.col("col")) & (F.col("col") < h["stop"]))
     value = F.when(is_numeric(F.col("text")), accounting_number(F.col("text"))).otherwise(F.col("text"))
     header = F.coalesce(F.get(found, F.lit(0))["head"], F.concat(F.lit("col_"), F.col("col")))
-    return body.select(*table, "row_idx", "cell_idx", "row_label", header.alias("column_header"), value.alias("value_text"), F.when(is_numeric(F.col("text")), value).try_cast("double").alias("value_numeric"))
+    return body.select(*table, "row_idx", "cell_idx", "row_label", header.alias("column_header"), value.alias("value_text"), F.when(is_numeric(F.col("text")), F.trim(value)).try_cast("double").alias("value_numeric"))
+
+
+def with_units() -> Column:
+    """A value with its unit, if it has one."""
+    return F.concat(F.col("value_text"), F.coalesce(F.concat(F.lit(" ("), F.col("units"), F.lit(")")), F.lit("")))
 
 
 def fact_sentence() -> Column:
     """label, header: value (units)."""
-    return F.concat(F.col("row_label"), F.lit(", "), F.col("column_header"), F.lit(": "), F.col("value_text"), F.coalesce(F.concat(F.lit(" ("), F.col("units"), F.lit(")")), F.lit("")))
+    return F.concat(F.col("row_label"), F.lit(", "), F.col("column_header"), F.lit(": "), with_units())
 
 
-def facts(dom: DataFrame) -> DataFrame:
-    """Structured facts of whole filings with units, section, page and what the name says."""
-    cells = dom.filter("cell_idx is not null and in_leaf_table and tag in ('td', 'th')").select("doc", "table_seq", "row_idx", "cell_idx", "colspan", "text")
-    where = segments(dom).filter("kind = 'table'").select("doc", F.col("seq").alias("table_seq"), F.col("page").alias("page_num"), "units", F.col("section").alias("statement_type"))
-    found = table_facts(cells, ["doc", "table_seq"]).join(where, ["doc", "table_seq"])
-    return found.select("*", *[c.alias(k) for k, c in document_name(F.col("doc")).items()])
+def facts(dom: DataFrame, per_page: int = 550, least_breaks: int = 5, heading_most: int = 300, scope: int = 1, headings: tuple[str, ...] = ("h1", "h2", "h3", "h4"), caption: int = 800) -> DataFrame:
+    """Structured facts of whole filings with units, section, page and what the name says.
+
+    The traversal differs from that of :func:`segments` (P24): only ``headings`` are headings, and any text of theirs takes the place of the last
+    one; they turn pages too; prose shorter than ``heading_most`` names a section, and inline facts don't keep it from being a leaf; a table without a
+    section in force is named by its first ``caption`` characters.
+    """
+    prose = F.coalesce(F.col("kind") == "prose", F.lit(False))
+    turns = F.col("breaks") & (F.col("tag") != "table") & ~F.col("in_leaf_table")
+    head = (F.col("kind") == "heading") & F.col("tag").isin(*headings) & (F.col("text") != "")
+    strict = statement_type(F.col("text"), strict=True)
+    short = prose & (F.length("text") < heading_most) & (strict != "other")
+    # The buffer is classified as a whole when a table asks.
+    d = dom.withColumn("named", F.when(head | short, statement_type(F.col("text")))).withColumn("_names", F.coalesce(head | short, F.lit(False)))
+    d = _traversed(d, "doc", prose, turns, F.col("_names"), F.col("named"), per_page, least_breaks, scope).filter("kind = 'table'")
+    d = d.withColumn("section", F.when(F.col("section") == "other", statement_type(F.substring("text", 1, caption))).otherwise(F.col("section")))
+    rows = _rows_of_tables(d.select("doc", "seq", "kind", "text", "cells", "page", "units", "section"))
+    return rows.select(
+        "doc", F.col("seq").alias("table_seq"), "sub", "row_idx", "row_label", "column_header", with_units().alias("value_text"), "value_numeric", "units", F.col("section").alias("statement_type"),
+        F.col("page").alias("page_num"), *[c.alias(k) for k, c in document_name(F.col("doc")).items()],
+    )
 
 
 def footnote_definitions(texts: DataFrame, most: int = 200_000) -> DataFrame:
-    """doc, footnote_id, body: lines that start with a number and have more than 15 characters; the last of an id (P20)."""
-    pattern = r"(?m)^[ \t]*\(?(\d{1,2})[.)][ \t]+(.{16,})$"
+    """doc, footnote_id, body: lines that start with a number, punctuation and more than 15 characters; the last of an id (P20)."""
     head = F.substring("text", 1, most)
-    pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(pattern), F.lit(1)).alias("id"), F.regexp_extract_all(head, F.lit(pattern), F.lit(2)).alias("body"))
-    return texts.select("doc", F.posexplode(pairs).alias("pos", "p")).groupBy("doc", F.col("p.id").alias("footnote_id")).agg(F.max_by(F.trim("p.body"), "pos").alias("body"))
+    pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(1)).alias("id"), F.transform(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(2)), F.trim).alias("body"))
+    each = texts.select("doc", F.posexplode(pairs).alias("pos", "p")).filter(F.length("p.body") > 15)
+    return each.groupBy("doc", F.col("p.id").alias("footnote_id")).agg(F.max_by("p.body", "pos").alias("body"))
+
+
+def defined_footnotes(lines: Column) -> Column:
+    """The ids that have a definition in a text (P20)."""
+    pairs = F.arrays_zip(F.regexp_extract_all(lines, F.lit(DEFINITION), F.lit(1)).alias("id"), F.regexp_extract_all(lines, F.lit(DEFINITION), F.lit(2)).alias("body"))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda p: F.length(F.trim(p["body"])) > 15), lambda p: p["id"]))
 
 
 def tag_footnotes(prose: DataFrame, definitions: DataFrame) -> DataFrame:

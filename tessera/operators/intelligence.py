@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import words
+from tessera.functions.text import tokens
 
 
 def occurrences(text: Column, vocabulary: list[str]) -> Column:
@@ -15,22 +15,27 @@ def occurrences(text: Column, vocabulary: list[str]) -> Column:
 
 
 def tone(text: Column, confident: list[str], hedging: list[str]) -> Column:
-    """0 to 100, 50 for short texts: difference of the vocabularies for a thousand words (K1)."""
-    n = F.greatest(F.lit(1), F.size(words(text)))
+    """0 to 100, 50 for short texts: difference of the vocabularies for a thousand words, which are runs of letters, digits and underscores (K1)."""
+    n = F.greatest(F.lit(1), F.size(tokens(text)))
     score = 50 + 2 * (occurrences(text, confident) * 1000.0 / n - occurrences(text, hedging) * 1000.0 / n)
     return F.when(F.length(F.coalesce(text, F.lit(""))) < 50, 50).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score.cast("int"))))
 
 
-def discussion(segments: DataFrame, keywords: list[str], most: int = 20_000) -> DataFrame:
-    """doc, text: from the first segment with a keyword on, joined segments until they exceed ``most`` characters (K2)."""
+def discussion(segments: DataFrame, keywords: list[str], most: int = 20_000, separator: str = " ") -> DataFrame:
+    """doc, text: from the first segment with a keyword on, joined segments that aren't tables until they exceed ``most`` characters (K2).
+
+    The segment that crosses the length is the last. ``is_table`` may be absent.
+    """
     w = Window.partitionBy("doc").orderBy("seq")
     hit = F.lit(False)
     for k in keywords:
         hit = hit | F.contains(F.lower("text"), F.lit(k))
     begun = segments.withColumn("begun", F.max(hit.cast("int")).over(w)).filter("begun = 1")
-    before = F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = begun.withColumn("before", before).filter(F.col("before") <= most)
-    return kept.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    begun = begun.filter(~F.col("is_table")) if "is_table" in segments.columns else begun
+    # The length of what is joined already, its separators included.
+    before = F.coalesce(F.sum(F.length("text") + len(separator)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = begun.withColumn("before", before).filter(F.col("before") - len(separator) <= most)
+    return kept.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), separator).alias("text"))
 
 
 def growth(now: str, before: str) -> Column:
@@ -73,14 +78,24 @@ def section(text: Column, keywords: dict[str, list[str]], other: str = "other")
     return out.otherwise(other)
 
 
-def value_near(text: Column, pattern: str, reach: int = 100) -> Column:
-    """The first number within ``reach`` characters of a pattern, times its scale word; null if none (K5)."""
-    at = F.regexp_instr(text, F.lit(pattern))
-    window = F.substring(text, F.greatest(F.lit(1), at - reach), F.lit(2 * reach))
-    found = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(thousand|million|billion)?"
-    number = F.translate(F.regexp_extract(window, found, 1), ",", "").try_cast("double")
-    scale = F.regexp_extract(F.lower(window), found, 2)
-    return F.when(at > 0, number * F.when(scale == "thousand", 1e3).when(scale == "million", 1e6).when(scale == "billion", 1e9).otherwise(1.0))
+def value_near(text: Column, patterns: list[str], reach: int = 100) -> Column:
+    """The first number within ``reach`` characters of the first match of a pattern, times its scale word (K5).
+
+    Patterns are tried in order; one without a match, without a number near, or with one that can't be read gives way to the next. Null if
+    none is left.
+    """
+    found = r"(?i)\b(\$?\s*[\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?\b"
+
+    def by(pattern: str) -> Column:
+        at = F.regexp_instr(text, F.lit(f"(?i){pattern}"))
+        hit = F.regexp_extract(text, f"(?i)({pattern})", 1)
+        start = F.greatest(F.lit(1), at - reach)
+        window = F.substring(text, start, at + F.length(hit) + reach - start)
+        number = F.trim(F.translate(F.regexp_extract(window, found, 1), ",$", "")).try_cast("double")
+        scale = F.lower(F.regexp_extract(window, found, 2))
+        return F.when(at > 0, number * F.when(scale == "thousand", 1e3).when(scale == "million", 1e6).when(scale == "billion", 1e9).otherwise(1.0))
+
+    return F.coalesce(*[by(p) for p in patterns])
 
 
 def contradictions(values: DataFrame, key: list[str], least: float = 0.005, high: float = 0.02) -> DataFrame:

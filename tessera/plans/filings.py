@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -12,50 +12,70 @@ from tessera.operators import dom as D
 from tessera.operators import filings as P
 from tessera.plans.registry import query, table
 
+# Stated cases: what the operators must say, written from the survey and not from the code. Each document of the table gets one of them.
+
 #: Cell text, whether numeric, normalised, whether a spacer.
-CELLS = [("(1,577)", True, "-1577", False), ("(1,577", True, "(1577", False), ("$ 1,204", False, "1204", False), ("$1,204.50", True, "1204.50", False), ("12.5%", True, "12.5%", False), ("-", False, "-", False), ("$", False, "", True), ("", False, "", True), (" ", False, "", True), (")", False, ")", False), ("Net sales", False, "Net sales", False), ("-42", True, "-42", False)]
-HEADINGS_ = [("Consolidated Statements of Operations", "income_statement", "other"), ("Balance Sheets", "balance_sheet", "balance_sheet"), ("See the cash flow discussion", "cash_flow", "other"), ("Cash Flows from Operations", "cash_flow", "cash_flow"), ("Statement of Income", "income_statement", "income_statement"), ("Notes", "other", "other")]
-UNITS = [("(in millions, except per share)", "in millions"), ("Amounts in thousands", "in thousands"), ("in billions", "in billions"), ("In Millions", "in millions"), ("invested millions", None)]
-PAGES = [("see page 17 of 20", 17), ("text\n 42 \nmore", 42), ("page 0\n7", None), ("no number 5 here", None), ("1000", None), ("Page 999", 999)]
+CELLS = [
+    ("(2,345)", True, "-2345", False), ("(2,345", True, "(2345", False), ("$ 1,204", True, " 1204", False), ("$1,204.50", True, "1204.50", False), ("12.5%", True, "12.5%", False), ("-", False, "-", False), ("\u2014", False, "\u2014", False),
+    ("$", False, "", True), ("", False, "", True), (" ", False, "", True), ("%", False, "%", True), (")", False, ")", False), ("Net sales", False, "Net sales", False), ("-42", True, "-42", False), ("+42", False, "+42", False), ("$(77.5)", True, "-77.5", False), ("see (3)", False, "-3", False),
+]
+HEADINGS_ = [
+    ("Consolidated Statements of Income", "income_statement", "income_statement"), ("Consolidated Statements of Cash Flows", "cash_flow", "cash_flow"), ("Consolidated Balance Sheets", "balance_sheet", "balance_sheet"), ("Notes to Financial Statements", "other", "other"),
+    ("Statement of Income", "income_statement", "income_statement"), ("Consolidated Statement of Financial Position", "balance_sheet", "balance_sheet"), ("CONSOLIDATED STATEMENTS OF OPERATIONS", "income_statement", "income_statement"),
+    ("See Consolidated Statement of Cash Flows for detail", "cash_flow", "other"), ("See the balance sheet", "balance_sheet", "other"), ("Statement of operations and balance sheet", "income_statement", "income_statement"), ("Balance sheet and statement of cash flows", "cash_flow", "balance_sheet"),
+    ("Management's discussion of financial condition", "other", "other"), ("Cash Flows from Operations", "other", "other"), ("  cash flow statement", "cash_flow", "cash_flow"), ("Income statement", "other", "other"),
+]
+UNITS = [("(in millions, except per share)", "in millions"), ("Amounts in thousands", "in thousands"), ("in  billions", "in billions"), ("In Millions", "in millions"), ("invested millions", None), ("dollars in million", None), ("in thousands, then in millions", "in thousands")]
+PAGES = [("see page 17 of 20", 17), ("text\n 42 \nmore", 42), ("page 0\n7", 0), ("no number 5 here", None), ("1000", None), ("Page 999", 999), ("Page 1204", 1204), ("0\nx\n 8 \n", 8), ("61", 61), ("pages 3", None)]
 NAMES = [("ACME_2022_10K", "ACME", 2022, None, "annual", "10K"), ("acme_2023Q2_10Q.htm", "ACME", 2023, 2, "quarterly", "10Q"), ("A_B_2021_8-K.html", "A_B", 2021, None, "annual", "8-K"), ("notes", "notes", 0, None, "unknown", "unknown"), ("x.html", "x", 0, None, "unknown", "unknown")]
 
 
 def _sql(rows: list[tuple], columns: str) -> str:
-    lit = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"(values {', '.join('(' + ', '.join(lit(v) for v in r) + ')' for r in rows)}) t({columns})"
+    lit = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if isinstance(v, str) else str(v)
+    return f"(values {', '.join('(' + ', '.join(lit(v) for v in (k, *r)) + ')' for k, r in enumerate(rows))}) t(k, {columns})"
+
+
+def _stated(rows: list[tuple], columns: str) -> str:
+    """SQL: each document's case."""
+    return f"select doc_id, {columns} from documents join {_sql(rows, columns)} on k = doc_id % {len(rows)}"
+
+
+def _cases(spark: SparkSession, sf: str, rows: list[tuple]) -> DataFrame:
+    """doc_id and text, the first of each document's case."""
+    return table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (F.col("doc_id") % len(rows) + 1).cast("int")).alias("text"))
 
 
-@query(f"select * from {_sql(CELLS, 'cell, is_numeric, number, spacer')} union all select 'L' || l_orderkey || '.' || l_linenumber, true, '-' || l_quantity::bigint, false from lineitem")
+@query(f"select * from ({_stated(CELLS, 'cell, is_numeric, number, spacer')}) union all select l_orderkey * 10 + l_linenumber, '(' || l_quantity::bigint || ')', true, '-' || l_quantity::bigint, false from lineitem")
 def numeric_normalise(spark: SparkSession, sf: str) -> DataFrame:
     """Stated cells, and quantities written as accounting text."""
-    cells = spark.createDataFrame([(c,) for c, *_ in CELLS], "cell string").select("cell", F.col("cell").alias("text"))
-    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("L"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("cell"), F.concat(F.lit("("), F.format_number("l_quantity", 0), F.lit(")")).alias("text"))
-    return cells.union(lines).select("cell", T.is_numeric(F.col("text")).alias("is_numeric"), T.accounting_number(F.col("text")).alias("number"), T.is_spacer(F.col("text")).alias("spacer"))
+    lines = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.concat(F.lit("("), F.col("l_quantity").cast("long").cast("string"), F.lit(")")).alias("text"))
+    c = F.col("text")
+    return _cases(spark, sf, CELLS).union(lines).select("doc_id", c.alias("cell"), T.is_numeric(c).alias("is_numeric"), T.accounting_number(c).alias("number"), T.is_spacer(c).alias("spacer"))
 
 
-@query(f"select * from {_sql(HEADINGS_, 'heading, broad, strict')}")
+@query(_stated(HEADINGS_, "heading, broad, strict"))
 def statement_type(spark: SparkSession, sf: str) -> DataFrame:
-    """P17."""
-    rows = spark.createDataFrame([(h,) for h, *_ in HEADINGS_], "heading string")
-    return rows.select("heading", T.statement_type(F.col("heading")).alias("broad"), T.statement_type(F.col("heading"), strict=True).alias("strict"))
+    """P17, both directions."""
+    c = F.col("text")
+    return _cases(spark, sf, HEADINGS_).select("doc_id", c.alias("heading"), T.statement_type(c).alias("broad"), T.statement_type(c, strict=True).alias("strict"))
 
 
-@query(f"select * from {_sql(UNITS, 'heading, units')}")
+@query(_stated(UNITS, "heading, units"))
 def unit_headers(spark: SparkSession, sf: str) -> DataFrame:
     """P14."""
-    return spark.createDataFrame([(h,) for h, _ in UNITS], "heading string").select("heading", T.unit_header(F.col("heading")).alias("units"))
+    return _cases(spark, sf, UNITS).select("doc_id", F.col("text").alias("heading"), T.unit_header(F.col("text")).alias("units"))
 
 
-@query(f"select * from {_sql(PAGES, 'text, page')}".replace("\n", "' || chr(10) || '"))
+@query(_stated(PAGES, "text, page").replace("select doc_id, text, page", "select doc_id, t.text, page"))
 def printed_page(spark: SparkSession, sf: str) -> DataFrame:
     """P22."""
-    return spark.createDataFrame([(p,) for p, _ in PAGES], "text string").select("text", T.printed_page(F.col("text")).alias("page"))
+    return _cases(spark, sf, PAGES).select("doc_id", "text", T.printed_page(F.col("text")).alias("page"))
 
 
-@query(f"select * from {_sql(NAMES, 'name, company, fiscal_year, fiscal_quarter, period_type, filing_type')}")
+@query(_stated(NAMES, "name, company, fiscal_year, fiscal_quarter, period_type, filing_type"))
 def document_names(spark: SparkSession, sf: str) -> DataFrame:
     """P23, D10."""
-    return spark.createDataFrame([(n,) for n, *_ in NAMES], "name string").select("name", *[c.alias(k) for k, c in T.document_name(F.col("name")).items()])
+    return _cases(spark, sf, NAMES).select("doc_id", F.col("text").alias("name"), *[c.alias(k) for k, c in T.document_name(F.col("text")).items()])
 
 
 @query("""with e as (select user_id as doc, event_id as seq, event_type in ('error', 'signup') as brk from events), n as (select doc, count_if(brk) as b from e group by doc)
@@ -182,7 +202,8 @@ def facts_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dom(spark: SparkSession, sf: str) -> DataFrame:
-    return D.dom(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("doc"), "html"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("doc"), "html")
+    return D.dom(pages, spark.sparkContext.defaultParallelism)
 
 
 @query(r"select page_id::varchar as doc, count(*) as n from (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '(?i)<h1[\s>]')) from pages) group by all")
@@ -191,23 +212,88 @@ def html_headings(spark: SparkSession, sf: str) -> DataFrame:
     return _dom(spark, sf).filter("tag = 'h1'").groupBy("doc").agg(F.count("*").alias("n"))
 
 
-@query()
+def _numbered(segments: DataFrame) -> DataFrame:
+    """Segments by their place in the document."""
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("seq", "sub")).alias("n")
+    return segments.select("doc", nth, "kind", "text", "page", "page_method", "units", "section", "footnote_id")
+
+
+#: The pages' own markup: lists, divisions and paragraphs without others inside; open paragraphs end where the next begins.
+_PAGE_SEGMENTS = r"""h as (select page_id::varchar as doc, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') as html from pages),
+    m as (select doc, regexp_extract_all(html, '(?is)<(?:p|li|div|span)(?:\s[^>]*)?>(?:[^<]|<(?:/?(?:b|i|a|em|br|strong|u|small|code|h[1-6])\b)[^>]*>)*', 0) as parts from h),
+    e as (select doc, unnest(parts) as part, generate_subscripts(parts, 1) as i from m),
+    u as (select doc, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from e),
+    s as (select doc, row_number() over (partition by doc order by i) as n, text, sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) over (partition by doc order by i rows unbounded preceding) as words from u where length(text) >= 2)"""
+
+
+@query(f"with {_PAGE_SEGMENTS} select doc, n::int as n, 'prose' as kind, text, (words // 550 + 1)::int as page, 'word_count' as page_method, null::varchar as units, 'other' as section, null::varchar as footnote_id from s")
 def html_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """The segments of pages."""
-    return P.segments(_dom(spark, sf))
+    """The segments of pages."""
+    return _numbered(P.segments(_dom(spark, sf)))
 
 
 @query()
 def html_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """C2-C8 over the pages' segments."""
-    s = P.segments(_dom(spark, sf)).filter("kind = 'prose'")
-    return C.chunks(s.select("doc", "seq", "kind", "text", "page", "units", "section"))
+    return C.chunks(P.segments(_dom(spark, sf)))
+
+
+def _filings(spark: SparkSession, sf: str) -> DataFrame:
+    """A filing for each order: prose, a statement with a line for each item, a note with its definition, and a printed page for each item."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("i"))
+    n = F.col("i").cast("string")
+    row = F.concat(F.lit("<tr><td>Line "), n, F.lit("</td><td>$</td><td>("), F.col("l_quantity").cast("long").cast("string"), F.lit(")</td><td colspan=3>"), F.col("l_returnflag"), F.lit("</td></tr>"))
+    page = F.concat(F.lit("<p>What page "), n, F.lit(" says.<div><p>"), (F.col("i") + 10).cast("string"), F.lit('</p></div><hr style="page-break-after: always">'))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", c.alias("x")))), lambda s: s["x"]), "")
+    o = line.groupBy("l_orderkey").agg(joined(row).alias("rows"), joined(page).alias("pages"))
+    start = "<html><body><p>See the consolidated balance sheets (1) and (2).</p><h2>Consolidated Statements of Income</h2><div>Amounts in thousands</div><table><tr><td></td></tr><tr><td>Item</td><td colspan=2>1998</td><td>1999</td></tr>"
+    end = "<p><b>Consolidated Balance Sheets</b></p><table><tr><td>Total</td><td>7</td></tr><tr><td>Rest</td><td>2,000</td></tr></table><pre>Notes:\n2. what the second note has to say\n1) short\n</pre>"
+    html = F.concat(F.lit(start), "rows", F.lit("</table><ul><li>(2) as told</li><li>(3) is nowhere</li></ul>"), "pages", F.lit(end))
+    return o.select(F.concat(F.lit("ORDER_1998_"), F.col("l_orderkey").cast("string")).alias("doc"), html.alias("html"))
+
+
+#: Each segment with its place: ``a`` orders the parts of a filing, ``b`` the lines in one.
+_FILING = """li as (select l_orderkey as o, l_quantity::bigint as q, l_returnflag as f, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i from lineitem),
+    t as (select o, count(*) as m, count(*) >= 5 as marked from li group by o),
+    r as (select o, 0 as a, 0 as b, 'prose' as kind, 'See the consolidated balance sheets (1) and (2).' as text, 1 as page, null as units, 'other' as section from t
+    union all select o, 1, 0, 'prose', 'Amounts in thousands', 1, 'in thousands', 'other' from t
+    union all select o, 2, i * 2 + x, 'table_row', 'Line ' || i || ', ' || case x when 0 then '1998: -' || q else '1999: ' || f end || ' (in thousands)', 1, 'in thousands', 'income_statement' from li, (values (0), (1)) y(x)
+    union all select o, 3, 0, 'footnote', '(2) as told', 1, 'in thousands', 'other' from t union all select o, 4, 0, 'prose', '(3) is nowhere', 1, 'in thousands', 'other' from t
+    union all select o, 5, i * 2 + x, 'prose', case x when 0 then 'What page ' || i || ' says.' else '' || (i + 10) end, case when marked then i else 1 end, 'in thousands', 'other' from li join t using (o), (values (0), (1)) y(x)
+    union all select o, 6, 0, 'prose', 'Consolidated Balance Sheets', case when marked then m + 1 else 1 end, 'in thousands', 'other' from t
+    union all select o, 7, 0, 'table_row', 'Rest, 7: 2000 (in thousands)', case when marked then m + 1 else 1 end, 'in thousands', 'balance_sheet' from t)"""
+
+
+@query(f"""with {_FILING} select 'ORDER_1998_' || o as doc, row_number() over (partition by o order by a, b)::int as n, kind, text, (page + case when marked then 10 else 0 end)::int as page, case when marked then 'marker' else 'word_count' end as page_method, units, section, case when kind = 'footnote' then '2' end as footnote_id from r join t using (o)""")
+def filing_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole filings made of orders, with breaks, printed pages, units, sections, tables and notes."""
+    return _numbered(P.segments(D.dom(_filings(spark, sf))))
+
+
+@query(f"""with {_FILING}, s as (select *, row_number() over (partition by o order by a, b) as n from r),
+    p as (select o, 0 as nth, string_agg(text, ' ' order by n) as text, min(page) as page from s where a < 2 group by o
+    union all select o, 1, string_agg(text, ' ' order by n), min(page) from s where a in (0, 1, 4, 5, 6) group by o)
+    select 'ORDER_1998_' || o as doc, 'ORDER_1998_' || o || '::' || kind || '::' || nth as chunk_id, kind as chunk_type, text, (page + case when marked then 10 else 0 end)::int as page, section from (
+    select o, 'prose' as kind, nth, text, page, 'other' as section from p
+    union all select o, 'footnote', 0, text, page, section from s where a = 3
+    union all select o, 'table_row', case a when 2 then 0 else 1 end, case a when 2 then '[Income Statement]' else '[Balance Sheet]' end || chr(10) || string_agg(text, chr(10) order by n), min(page), min(section) from s where kind = 'table_row' group by o, a) join t using (o)""")
+def filing_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """C2-C8 over whole filings: prose is carried over a footnote, rows are joined under their statement."""
+    return C.chunks(P.segments(D.dom(_filings(spark, sf)))).select("doc", "chunk_id", "chunk_type", "text", "page", "section")
+
+
+@query(f"""with {_FILING}, x as (select o, 1 as k, i as row_idx, 'Line ' || i as row_label, unnest(['1998', '1999']) as column_header, unnest(['-' || q, f]) as value_text, unnest([-q::double, null]) as value_numeric, 1 as page, 'income_statement' as statement_type from li
+    union all select o, 2, 1, 'Rest', '7', '2000', 2000.0, case when marked then m + 1 else 1 end, 'balance_sheet' from t)
+    select 'ORDER_1998_' || o as doc, (row_idx + case k when 1 then 1 else 0 end)::int as row_idx, row_label, column_header, value_text || ' (in thousands)' as value_text, value_numeric, 'in thousands' as units, statement_type, (page + case when marked then 10 else 0 end)::int as page_num, 'ORDER' as company, 1998 as fiscal_year, 'annual' as period_type, o::varchar as filing_type from x join t using (o)""")
+def filing_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of whole filings by their own traversal."""
+    return P.facts(D.dom(_filings(spark, sf))).select("doc", "row_idx", "row_label", "column_header", "value_text", "value_numeric", "units", "statement_type", "page_num", "company", "fiscal_year", "period_type", "filing_type")
 
 
 def _line_segments(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("seq") % 11 == 10, "footnote").when(F.col("seq") % 5 == 4, "table_row").otherwise("prose")
     named = F.when(F.col("seq") % 2 == 0, "balance_sheet").otherwise("other")
-    return _lines(spark, sf).filter(F.trim("line") != "").select(F.col("doc").cast("string").alias("doc"), "seq", kind.alias("kind"), F.col("line").alias("text"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("units"), named.alias("section"))
+    return _lines(spark, sf).filter(F.trim("line") != "").select(F.col("doc").cast("string").alias("doc"), "seq", kind.alias("kind"), F.col("line").alias("text"), F.lit(0).alias("sub"), F.lit(1).alias("page"), F.lit("word_count").alias("page_method"), F.lit(None).cast("string").alias("units"), named.alias("section"))
 
 
 @query()
