@@ -78,6 +78,32 @@ def section(text: Column, keywords: dict[str, list[str]], other: str = "other")
     return out.otherwise(other)
 
 
+def section_texts(segments: DataFrame, keywords: dict[str, list[str]], other: str = "other") -> DataFrame:
+    """doc, section, text: the segments of each section in order, joined (K4)."""
+    named = segments.select("doc", "seq", "text", section(F.col("text"), keywords, other).alias("section"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), " ")
+    return named.groupBy("doc", "section").agg(joined.alias("text"))
+
+
+def profile(docs: DataFrame, tones: DataFrame, flags: DataFrame, conflicts: DataFrame, outliers: DataFrame, ocf: DataFrame, key: str = "doc") -> DataFrame:
+    """All analytics of each document (K10): key, status, tone, n_flags, n_contradictions, n_anomalies, score, label.
+
+    ``flags``, ``conflicts`` and ``outliers`` have key and severity, ``tones`` tone, ``ocf`` ocf_ratio; what is missing counts as none, 50 or 1.0.
+    """
+    count = lambda s: F.count_if(F.col("severity") == s)
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.count("*").alias(f"n_{name}"), *[count(s).alias(f"{name}_{s}") for s in ("critical", "high", "medium")])
+
+    out = docs.select(key).distinct().join(tones.select(key, "tone"), key, "left").join(ocf.select(key, "ocf_ratio"), key, "left")
+    for rows, name in ((flags, "flags"), (conflicts, "contradictions"), (outliers, "anomalies")):
+        out = out.join(counted(rows, name), key, "left")
+    out = out.fillna(0, [c for c in out.columns if c.startswith(("n_", "flags_", "contradictions_", "anomalies_"))]).fillna({"tone": 50, "ocf_ratio": 1.0})
+    of = lambda name: tuple(F.col(f"{name}_{s}") for s in ("critical", "high", "medium"))
+    score = conviction(F.col("ocf_ratio"), F.col("tone"), of("contradictions"), of("flags"))
+    return out.withColumn("score", score).select(key, F.lit("complete").alias("status"), "tone", "n_flags", "n_contradictions", "n_anomalies", "score", conviction_label(F.col("score")).alias("label"))
+
+
 def value_near(text: Column, patterns: list[str], reach: int = 100) -> Column:
     """The first number within ``reach`` characters of the first match of a pattern, times its scale word (K5).
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 
 UP, DOWN, LOW, HIGH = 0.1, 0.15, 0.1, 2.0
-#: Words that say nothing about a question.
-STOP = ["a", "an", "the", "of", "in", "is", "was", "what", "for", "to", "and"]
+#: Words that say nothing about a question.
+STOP = ["the", "a", "an", "is", "was", "were", "what", "how", "much", "did", "does", "in", "of", "for", "and", "or", "to", "from"]
 
 
 def feedback_weights(events: DataFrame, key: str, order: list[str], verdict: str) -> DataFrame:
@@ -37,7 +37,18 @@ def similar_pattern(history: DataFrame, question: str, order: list[str], recent:
     latest = history.orderBy(*[F.col(c).desc() for c in order]).limit(recent)
     own, theirs = question_tokens(F.lit(question)), question_tokens(F.col("question"))
     both = F.size(F.array_intersect(own, theirs)) / F.greatest(F.lit(1), F.size(F.array_union(own, theirs)))
-    return latest.withColumn("similarity", F.round(both, 3)).filter(F.col("similarity") >= least).orderBy(F.col("similarity").desc(), *[F.col(c).desc() for c in order]).limit(1)
+    found = latest.filter(F.size(theirs) > 0).withColumn("_both", both).filter(F.col("_both") >= least).orderBy(F.col("_both").desc(), *[F.col(c).desc() for c in order]).limit(1)
+    return found.withColumn("similarity", F.round("_both", 3)).drop("_both")
+
+
+def question_log(answers: DataFrame) -> DataFrame:
+    """What is remembered of each answered question (L5): question, doc_name, outcome, ts. ``answers`` has question, doc_name, abstained, ts."""
+    return answers.select("question", "doc_name", F.when(F.col("abstained"), "abstained").otherwise("answered").alias("outcome"), "ts")
+
+
+def remember(answers: DataFrame, path: str) -> None:
+    """Append the questions to the stored log."""
+    question_log(answers).write.mode("append").parquet(path)
 
 
 def rephrasings(turns: DataFrame, session: str, order: str) -> DataFrame:

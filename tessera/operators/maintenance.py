@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import tokens
+from tessera.operators.retrieval import postings
+
 
 def duplicates(chunks: DataFrame, key: list[str], id_: str) -> DataFrame:
     """Rows whose id is not the smallest of their key (M1)."""
@@ -44,11 +49,58 @@ def with_status(docs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return docs.join(done.select(key, "status"), key, "left").withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
-def replace_partition(rows: DataFrame, path: str, by: str) -> None:
-    """Replace the partitions of the keys that ``rows`` has and no others."""
+def replace_partition(rows: DataFrame, path: str, by: str, keys: DataFrame | None = None) -> None:
+    """Replace the partitions of the keys that ``rows`` has, and of those in ``keys`` that it has none for, which are emptied."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if keys is not None:
+        spark = rows.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        # Documents of one ingestion, of which few are empty.
+        for row in keys.select(by).distinct().join(rows.select(by).distinct(), by, "left_anti").toLocalIterator():
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={escape(str(row[by]))}")
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def store_postings(chunks: DataFrame, path: str, docs: DataFrame | None = None) -> None:
+    """Write the postings and sizes of the chunks' documents (doc, id, text), replacing theirs; the success marker is written last."""
+    replace_partition(postings(chunks, ["doc"]), f"{path}/postings", "doc", docs)
+    sizes = chunks.select("doc", "id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+    replace_partition(sizes, f"{path}/sizes", "doc", docs)
+
+
+def rebuild_postings(chunks: DataFrame, path: str) -> None:
+    """Write all postings again from the stored chunks (M4): whatever else the folder had goes."""
+    postings(chunks, ["doc"]).write.mode("overwrite").partitionBy("doc").parquet(f"{path}/postings")
+    chunks.select("doc", "id", F.size(tokens(F.col("text"))).alias("n_tokens")).write.mode("overwrite").partitionBy("doc").parquet(f"{path}/sizes")
+
+
+def ingest_facts(filings: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame], only: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
+    """Extract and store the facts of ``filings`` (doc, html), of all or of those in ``only`` (M7): doc, n_facts, status (stored, empty, missing, dry run)."""
+    asked = filings.select("doc") if only is None else only.select("doc").distinct()
+    chosen = filings if only is None else filings.join(only.select("doc"), "doc", "left_semi")
+    found = extract(chosen)
+    if not dry_run:
+        replace_partition(found, path, "doc", chosen)
+        found = found.sparkSession.read.schema(found.schema).parquet(path).join(chosen.select("doc"), "doc", "left_semi")
+    counted = found.groupBy("doc").agg(F.count("*").alias("n_facts"))
+    out = asked.join(counted, "doc", "left").join(filings.select("doc", F.lit(True).alias("_has")), "doc", "left")
+    status = F.when(F.col("_has").isNull(), "missing").when(F.coalesce("n_facts", F.lit(0)) == 0, "empty").otherwise("dry run" if dry_run else "stored")
+    return out.select("doc", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), status.alias("status"))
 
 
 def diagnose(stages: dict[str, DataFrame]) -> dict[str, int]:
     """Row counts of retrieval stages; the first empty one says where hits are lost (M6)."""
     return {name: df.count() for name, df in stages.items()}
+
+
+def diagnosis(counts: dict[str, int]) -> str:
+    """What the numbers of ``sparse``, ``dense`` and ``fused`` hits say (M6)."""
+    sparse, dense = counts.get("sparse", 0), counts.get("dense", 0)
+    if not sparse and not dense:
+        return "neither search found anything: the filing isn't indexed, or its name differs"
+    if not sparse:
+        return "no chunk has the question's terms: expand them, or check the chunks"
+    if not dense:
+        return "no vectors are stored for the filing: index it again"
+    return "both found chunks: if nothing is answered, the draft or its check is unsure"

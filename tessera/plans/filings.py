@@ -10,7 +10,7 @@ from tessera.operators import answering as A
 from tessera.operators import chunking as C
 from tessera.operators import dom as D
 from tessera.operators import filings as P
-from tessera.plans.registry import query, table
+from tessera.plans.registry import cases, query, stated, table
 
 # Stated cases: what the operators must say, written from the survey and not from the code. Each document of the table gets one of them.
 
@@ -30,52 +30,37 @@ PAGES = [("see page 17 of 20", 17), ("text\n 42 \nmore", 42), ("page 0\n7", 0),
 NAMES = [("ACME_2022_10K", "ACME", 2022, None, "annual", "10K"), ("acme_2023Q2_10Q.htm", "ACME", 2023, 2, "quarterly", "10Q"), ("A_B_2021_8-K.html", "A_B", 2021, None, "annual", "8-K"), ("notes", "notes", 0, None, "unknown", "unknown"), ("x.html", "x", 0, None, "unknown", "unknown")]
 
 
-def _sql(rows: list[tuple], columns: str) -> str:
-    lit = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if isinstance(v, str) else str(v)
-    return f"(values {', '.join('(' + ', '.join(lit(v) for v in (k, *r)) + ')' for k, r in enumerate(rows))}) t(k, {columns})"
-
-
-def _stated(rows: list[tuple], columns: str) -> str:
-    """SQL: each document's case."""
-    return f"select doc_id, {columns} from documents join {_sql(rows, columns)} on k = doc_id % {len(rows)}"
-
-
-def _cases(spark: SparkSession, sf: str, rows: list[tuple]) -> DataFrame:
-    """doc_id and text, the first of each document's case."""
-    return table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (F.col("doc_id") % len(rows) + 1).cast("int")).alias("text"))
-
-
-@query(f"select * from ({_stated(CELLS, 'cell, is_numeric, number, spacer')}) union all select l_orderkey * 10 + l_linenumber, '(' || l_quantity::bigint || ')', true, '-' || l_quantity::bigint, false from lineitem")
+@query(f"select * from ({stated(CELLS, 'cell, is_numeric, number, spacer')}) union all select l_orderkey * 10 + l_linenumber, '(' || l_quantity::bigint || ')', true, '-' || l_quantity::bigint, false from lineitem")
 def numeric_normalise(spark: SparkSession, sf: str) -> DataFrame:
     """Stated cells, and quantities written as accounting text."""
     lines = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.concat(F.lit("("), F.col("l_quantity").cast("long").cast("string"), F.lit(")")).alias("text"))
     c = F.col("text")
-    return _cases(spark, sf, CELLS).union(lines).select("doc_id", c.alias("cell"), T.is_numeric(c).alias("is_numeric"), T.accounting_number(c).alias("number"), T.is_spacer(c).alias("spacer"))
+    return cases(spark, sf, CELLS, ["text"]).union(lines).select("doc_id", c.alias("cell"), T.is_numeric(c).alias("is_numeric"), T.accounting_number(c).alias("number"), T.is_spacer(c).alias("spacer"))
 
 
-@query(_stated(HEADINGS_, "heading, broad, strict"))
+@query(stated(HEADINGS_, "heading, broad, strict"))
 def statement_type(spark: SparkSession, sf: str) -> DataFrame:
     """P17, both directions."""
     c = F.col("text")
-    return _cases(spark, sf, HEADINGS_).select("doc_id", c.alias("heading"), T.statement_type(c).alias("broad"), T.statement_type(c, strict=True).alias("strict"))
+    return cases(spark, sf, HEADINGS_, ["text"]).select("doc_id", c.alias("heading"), T.statement_type(c).alias("broad"), T.statement_type(c, strict=True).alias("strict"))
 
 
-@query(_stated(UNITS, "heading, units"))
+@query(stated(UNITS, "heading, units"))
 def unit_headers(spark: SparkSession, sf: str) -> DataFrame:
     """P14."""
-    return _cases(spark, sf, UNITS).select("doc_id", F.col("text").alias("heading"), T.unit_header(F.col("text")).alias("units"))
+    return cases(spark, sf, UNITS, ["text"]).select("doc_id", F.col("text").alias("heading"), T.unit_header(F.col("text")).alias("units"))
 
 
-@query(_stated(PAGES, "text, page").replace("select doc_id, text, page", "select doc_id, t.text, page"))
+@query(stated(PAGES, "text, page"))
 def printed_page(spark: SparkSession, sf: str) -> DataFrame:
     """P22."""
-    return _cases(spark, sf, PAGES).select("doc_id", "text", T.printed_page(F.col("text")).alias("page"))
+    return cases(spark, sf, PAGES, ["text"]).select("doc_id", "text", T.printed_page(F.col("text")).alias("page"))
 
 
-@query(_stated(NAMES, "name, company, fiscal_year, fiscal_quarter, period_type, filing_type"))
+@query(stated(NAMES, "name, company, fiscal_year, fiscal_quarter, period_type, filing_type"))
 def document_names(spark: SparkSession, sf: str) -> DataFrame:
     """P23, D10."""
-    return _cases(spark, sf, NAMES).select("doc_id", F.col("text").alias("name"), *[c.alias(k) for k, c in T.document_name(F.col("text")).items()])
+    return cases(spark, sf, NAMES, ["text"]).select("doc_id", F.col("text").alias("name"), *[c.alias(k) for k, c in T.document_name(F.col("text")).items()])
 
 
 @query("""with e as (select user_id as doc, event_id as seq, event_type in ('error', 'signup') as brk from events), n as (select doc, count_if(brk) as b from e group by doc)
@@ -185,12 +170,17 @@ def facts_long(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(spark, sf)
 
 
-@query(f"with {_FACTS} select doc, fact_id, statement_type, value_text from f where doc = 7 and statement_type in ('balance_sheet', 'cash_flow')")
+#: Each document's question, and what it needs.
+_ASKED = [("How did debt and dividends develop?", ["balance_sheet", "cash_flow"]), ("What drove revenue?", ["income_statement"]), ("Who chairs the board?", [])]
+
+
+@query(f"""with {_FACTS}, q(k, statement_type) as (values (0, 'balance_sheet'), (0, 'cash_flow'), (1, 'income_statement'))
+    select doc, fact_id, statement_type, value_text from f semi join q on k = doc % 3 and q.statement_type = f.statement_type""")
 def facts_statement(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of the statements that a question asks for."""
-    asked = spark.createDataFrame([(7, "How did debt and dividends develop?")], "doc long, question string")
-    wanted = asked.select("doc", F.explode(A.statements_needed(F.col("question"))).alias("statement_type"))
-    return _facts(spark, sf).join(wanted, ["doc", "statement_type"], "left_semi").select("doc", "fact_id", "statement_type", "value_text")
+    """Facts of the statements that a question about each document asks for; none for one that needs no statement."""
+    facts = _facts(spark, sf)
+    asked = facts.select("doc").distinct().select("doc", F.element_at(F.array(*[F.lit(q) for q, _ in _ASKED]), (F.col("doc") % 3 + 1).cast("int")).alias("question"))
+    return A.facts_for(facts, asked).select("doc", "fact_id", "statement_type", "value_text")
 
 
 @query(f"""with {_FACTS}, p as (select doc, statement_type, page_num, row_number() over (partition by doc, statement_type order by count(*) desc, page_num) as rn from f group by doc, statement_type, page_num),
@@ -308,39 +298,41 @@ def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunks(_line_segments(spark, sf))
 
 
-@query("select page_id, case when page_id % 3 = 1 then trim(html) else html end as html from pages")
-def sgml_unwrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages bare, wrapped, and wrapped beside a viewer's shell."""
-    n = F.col("page_id") % 3
-    one = F.concat(F.lit("<DOCUMENT>\n<TEXT>\n"), F.col("html"), F.lit("\n</TEXT>\n</DOCUMENT>"))
-    raw = F.when(n == 1, one).when(n == 2, F.concat(one, F.lit("<TEXT><html><body>ixviewer</body></html></TEXT>"))).otherwise(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", T.markup_blocks(raw).alias("html"))
+_SHELL = "<html><head><link href=report.css></head><body>viewer</body></html>"
 
 
-@query(r"""with d as (select doc_id as doc, '3. ' || substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 60) as a, '4) short' as b, '3) ' || source || ' has the last word here' as c from documents)
-    select doc, '3' as footnote_id, trim(substr(c, 4)) as body from d""")
-def footnote_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    """P20: the last definition of an id counts, short ones don't."""
-    text = F.concat(F.lit("3. "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60), F.lit("\n4) short\n3) "), F.col("source"), F.lit(" has the last word here"))
-    return P.footnote_definitions(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("text")))
+@query(f"""select page_id, case page_id % 6 when 1 then ltrim(h) when 2 then ltrim(h) || chr(10) || ltrim(h) when 3 then ltrim(h) when 4 then substr(html, strpos(html, '<html')) when 5 then '{_SHELL}' else html end as html
+    from (select *, '<html>' || html || '</html>' as h from pages)""")
+def sgml_unwrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages bare; one block, and one left open; two blocks beside a viewer's shell; one beside a shell; a shell in the block and the page outside, within a
+    submission's own html; a shell alone."""
+    n, html = F.col("page_id") % 6, F.concat(F.lit("<html>"), "html", F.lit("</html>"))
+    block = lambda x: F.concat(F.lit("<DOCUMENT>\n<TEXT>\n"), x, F.lit("</TEXT>\n</DOCUMENT>"))
+    shell = block(F.lit(_SHELL))
+    raw = (
+        F.when(n == 1, F.concat(F.lit("<TYPE>10-K\n<text>\n "), html)).when(n == 2, F.concat(block(html), shell, block(html))).when(n == 3, F.concat(shell, block(html)))
+        .when(n == 4, F.concat(F.lit("<HTML title='SEC EDGAR submission'>"), shell, F.lit("</HTML>"), "html")).when(n == 5, shell).otherwise(F.col("html"))
+    )
+    return table(spark, sf, "pages").select("page_id", T.markup_blocks(raw).alias("html"))
 
 
-_NUMBERED = r"(?m)^[ \t]*\(?(\d{1,2})[.)][ \t]+(.{16,})$"
+#: Definitions in the lines of a text; \s spans lines, so blank lines before a number count.
+_NUMBERED = r"(?m)^\s*\(?(\d{1,2})\)?\s*[.\-:]\s*(.+)$"
 
 
-@query(rf"""with d as (select doc_id as doc, substr(text || chr(10) || '3. ' || regexp_replace(text, '\s+', ' ', 'g') || chr(10) || '4) short', 1, 200000) as t from documents),
+@query(rf"""with d as (select doc_id as doc, substr(text || chr(10) || '3. ' || regexp_replace(text, '\s+', ' ', 'g') || chr(10) || '(4): short' || chr(10) || '(5) - ' || source || ' has the last word', 1, 200000) as t from documents),
     p as (select doc, unnest(regexp_extract_all(t, '{_NUMBERED}', 1)) as footnote_id, unnest(regexp_extract_all(t, '{_NUMBERED}', 2)) as body, unnest(range(len(regexp_extract_all(t, '{_NUMBERED}', 1)))) as pos from d)
-    select doc, footnote_id, trim(max_by(body, pos)) as body from p group by all""")
-def footnote_definitions_whole(spark: SparkSession, sf: str) -> DataFrame:
+    select doc, footnote_id, trim(max_by(body, pos)) as body from p where length(trim(body)) > 15 group by all""")
+def footnote_definitions(spark: SparkSession, sf: str) -> DataFrame:
     """P20: definitions in the lines of whole texts, and each whole text as a definition."""
-    text = F.concat("text", F.lit("\n3. "), F.regexp_replace("text", r"\s+", " "), F.lit("\n4) short"))
+    text = F.concat("text", F.lit("\n3. "), F.regexp_replace("text", r"\s+", " "), F.lit("\n(4): short\n(5) - "), "source", F.lit(" has the last word"))
     return P.footnote_definitions(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("text")))
 
 
-@query("select doc_id as doc, case when doc_id % 3 = 1 then '1' end as footnote_id from documents")
+@query(r"""with c as (select doc_id as doc, nullif(regexp_extract(text || ' (' || (doc_id % 3) || ') and (1)', '\((\d{1,2})\)', 1), '') as id from documents) select doc, case when id in ('1', '2') then id end as footnote_id from c""")
 def footnote_tagging(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the first callout counts, and only where it is defined."""
+    """Only the first callout of a text counts, and only where it is defined."""
     d = F.col("doc_id")
-    prose = table(spark, sf, "documents").select(d.alias("doc"), F.concat(F.lit("as in ("), (d % 3).cast("string"), F.lit(") and (1)")).alias("text"))
-    defs = table(spark, sf, "documents").select(d.alias("doc"), F.lit("1").alias("footnote_id"), F.lit("x").alias("body"))
+    prose = table(spark, sf, "documents").select(d.alias("doc"), F.concat("text", F.lit(" ("), (d % 3).cast("string"), F.lit(") and (1)")).alias("text"))
+    defs = table(spark, sf, "documents").select(d.alias("doc"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("footnote_id"), F.lit("x").alias("body"))
     return P.tag_footnotes(prose, defs).select("doc", "footnote_id")

@@ -39,17 +39,24 @@ def weighted_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""with h as (select conv_id, turn, text from conversations where role = 'user' order by conv_id desc, turn desc limit 200),
-    s as (select *, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: x not in ('a', 'an', 'the', 'of', 'in', 'is', 'was', 'what', 'for', 'to', 'and')) as t from h),
-    q as (select list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: x not in ('a', 'an', 'the', 'of', 'in', 'is', 'was', 'what', 'for', 'to', 'and')) as qt from conversations where role = 'user' order by conv_id desc, turn desc limit 1),
-    j as (select conv_id, turn, round(len(list_intersect(t, qt)) / greatest(1, len(list_distinct(list_concat(t, qt)))), 3) as similarity from s, q)
-    select * from j where similarity >= 0.6 order by similarity desc, conv_id desc, turn desc limit 1""")
+    s as (select *, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: x not in ('the', 'a', 'an', 'is', 'was', 'were', 'what', 'how', 'much', 'did', 'does', 'in', 'of', 'for', 'and', 'or', 'to', 'from')) as t from h),
+    q as (select list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: x not in ('the', 'a', 'an', 'is', 'was', 'were', 'what', 'how', 'much', 'did', 'does', 'in', 'of', 'for', 'and', 'or', 'to', 'from')) as qt from conversations where role = 'user' order by conv_id desc, turn desc limit 1),
+    j as (select conv_id, turn, len(list_intersect(t, qt)) / greatest(1, len(list_distinct(list_concat(t, qt)))) as j from s, q where len(t) > 0)
+    select conv_id, turn, round(j, 3) as similarity from j where j >= 0.6 order by j desc, conv_id desc, turn desc limit 1""")
 def similar_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest question against the latest 200."""
+    """The latest question against the latest 200."""
     turns = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     last = turns.orderBy(F.col("conv_id").desc(), F.col("turn").desc()).first()
     return L.similar_pattern(turns, last["question"] if last else "", ["conv_id", "turn"]).select("conv_id", "turn", "similarity")
 
 
+@query("select text as question, 'DOC_' || conv_id as doc_name, case when turn % 4 = 0 then 'abstained' else 'answered' end as outcome, conv_id * 100 + turn as ts from conversations where role = 'user'")
+def question_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What is remembered of each question."""
+    turns = table(spark, sf, "conversations").filter("role = 'user'")
+    return L.question_log(turns.select(F.col("text").alias("question"), F.concat(F.lit("DOC_"), F.col("conv_id").cast("string")).alias("doc_name"), (F.col("turn") % 4 == 0).alias("abstained"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts")))
+
+
 @query(r"""with t as (select *, case when turn % 4 = 0 then 'abstained' else 'answered' end as outcome from conversations where role = 'user'),
     p as (select text as original, outcome, lead(text) over w as nxt, lead(outcome) over w as thn from t window w as (partition by conv_id order by turn)),
     r as (select original, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(nxt), '[\p{L}\p{N}_]+')), lambda x: length(x) >= 4 and not list_contains(regexp_extract_all(lower(original), '[\p{L}\p{N}_]+'), x))), ' ') as rephrased from p where outcome = 'abstained' and thn = 'answered')

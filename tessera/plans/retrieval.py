@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
-from tessera.plans.registry import query, table
+from tessera.plans.registry import cases, query, stated, table
 
 #: The question's tokens, one of them twice, and the vector that stands for it.
 QUERY, VECTOR, K = ["the", "anea", "ention", "the"], 0, 10
@@ -90,42 +90,56 @@ def _fused_sql_2(weight: float) -> str:
     return _fused_sql(weight).replace("scored as (select id, dense_rank", "final as (select id, dense_rank")
 
 
-def _fused(spark: SparkSession, sf: str, weight: float = 1.0) -> DataFrame:
-    return R.fuse(R.dense_top(_vectors(spark, sf), _vector(spark, sf), 200), R.sparse_top(_chunks(spark, sf), QUERY, 200), ["id"], weight)
+#: Each trimmed text once, the best first.
+_ONCE = "once as (select f.*, row_number() over (partition by trim(text) order by score desc, dense_rank nulls last, bm25_rank nulls last, f.id) as rn from final f join documents d on d.doc_id = f.id)"
 
 
-@query(f"{_fused_sql_2(1.0)} select id, dense_rank, bm25_rank, dual_agreement, score from final order by score desc, id limit 8")
+def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return R.dense_top(_vectors(spark, sf), _vector(spark, sf), 200), R.sparse_top(_chunks(spark, sf), QUERY, 200)
+
+
+@query(f"{_fused_sql_2(1.0)}, {_ONCE} select id, dense_rank, bm25_rank, dual_agreement, score from once where rn = 1 order by score desc, dense_rank nulls last, bm25_rank nulls last, id limit 8")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     """R7, R8, R10, R15."""
-    return _fused(spark, sf).orderBy(F.col("score").desc(), "id").limit(8)
+    return R.hybrid(*_lists(spark, sf), _chunks(spark, sf), 8)
 
 
-@query(f"{_fused_sql_2(2.0)} select id, dense_rank, bm25_rank, dual_agreement, score from final order by score desc, id limit 8")
+@query(f"{_fused_sql_2(2.0)}, {_ONCE} select id, dense_rank, bm25_rank, dual_agreement, score from once where rn = 1 order by score desc, dense_rank nulls last, bm25_rank nulls last, id limit 8")
 def hybrid_rrf_calc_bias(spark: SparkSession, sf: str) -> DataFrame:
     """R6 with R7."""
-    return _fused(spark, sf, 2.0).orderBy(F.col("score").desc(), "id").limit(8)
+    return R.hybrid(*_lists(spark, sf), _chunks(spark, sf), 8, 2.0)
+
+
+@query(f"""{_fused_sql_2(1.0).replace("final as (select id, dense_rank, bm25_rank, dual_agreement, round(case when dual_agreement then raw * 1.5 else raw end, 9) as score from fused)", "rrf as (select id, dense_rank, bm25_rank, dual_agreement, round(case when dual_agreement then raw * 1.5 else raw end, 9) as score from fused), final as (select rrf.* replace (round(score * coalesce(quality + 0.5::double, 1.0), 9) as score) from rrf left join labels on doc_id = id)")}, {_ONCE}
+    select id, dense_rank, bm25_rank, dual_agreement, score from once where rn = 1 order by score desc, dense_rank nulls last, bm25_rank nulls last, id limit 8""")
+def hybrid_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """R9 in R10: fused scores times learned weights, those of the labels here."""
+    weights = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") + 0.5).alias("weight"))
+    return R.hybrid(*_lists(spark, sf), _chunks(spark, sf), 8, weights=weights)
 
 
 @query(f"{_fused_sql_2(1.0)} select round(count_if(dual_agreement) / greatest(1, least(count(dense_rank), count(bm25_rank))), 6) as agreement_ratio from final")
 def agreement_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """R11."""
-    return R.agreement(_fused(spark, sf))
+    return R.agreement(R.fuse(*_lists(spark, sf), ["id"]))
 
 
 @query(rf"""with {_bm25_sql('source')}, q as (select embedding::double[] as qv from embeddings where vec_id = 0),
     dist as (select d.source, vec_id as id, round(1 - list_inner_product(embedding::double[], qv) / (sqrt(list_inner_product(embedding::double[], embedding::double[])) * sqrt(list_inner_product(qv, qv))), 6) as distance from embeddings join documents d on d.doc_id = vec_id, q),
-    dense as (select *, row_number() over (partition by source order by distance, id) - 1 as rank0 from dist qualify rank0 < 3),
-    sparse as (select source, id, rank0 from ranked where rank0 < 3),
+    per as (select greatest(3, 40 // count(distinct source)) as k from documents),
+    dense as (select *, row_number() over (partition by source order by distance, id) - 1 as rank0 from dist, per qualify rank0 < k),
+    sparse as (select source, id, rank0 from ranked, per where rank0 < k),
     fused as (select coalesce(d.source, s.source) as source, coalesce(d.id, s.id) as id, d.id is not null and s.id is not null as both_lists, coalesce(1.0::double / (61 + d.rank0), 0) + coalesce(1.0::double / (61 + s.rank0), 0) as raw from dense d full join sparse s on d.id = s.id and d.source = s.source)
-    select source, id, round(case when both_lists then raw * 1.5 else raw end, 9) as score from fused order by score desc, source, id limit 10""")
+    select source, id, round(case when both_lists then raw * 1.5 else raw end, 9) as score from fused order by score desc, source, id limit 40""")
 def hybrid_all_scope(spark: SparkSession, sf: str) -> DataFrame:
-    """One pass over all groups, then one list."""
+    """One pass over all groups, each giving its share, then one list of forty."""
     chunks = _chunks(spark, sf)
+    share = R.per_group(40, chunks.select("source").distinct().count())
     vectors = _vectors(spark, sf).join(chunks.select("id", "source"), "id")
     near = vectors.select("source", "id", F.round(R.cosine_distance(F.col("embedding"), _vector(spark, sf)), 6).alias("distance"))
-    dense = R.top(near, [F.col("distance"), F.col("id")], 3, ["source"])
-    fused = R.fuse(dense, R.sparse_top(chunks, QUERY, 3, ["source"]), ["source", "id"])
-    return fused.select("source", "id", "score").orderBy(F.col("score").desc(), "source", "id").limit(10)
+    dense = R.top(near, [F.col("distance"), F.col("id")], share, ["source"])
+    fused = R.fuse(dense, R.sparse_top(chunks, QUERY, share, ["source"]), ["source", "id"])
+    return fused.select("source", "id", "score").orderBy(F.col("score").desc(), "source", "id").limit(40)
 
 
 _TURNS = "select conv_id, turn, text from conversations where role = 'user'"
@@ -152,13 +166,49 @@ def learned_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return hit.select("conv_id", "turn", F.array_join(F.transform(F.slice("l", 1, 5), lambda x: x["expansion"]), " ").alias("expansions"))
 
 
-@query(r"""select conv_id, turn, case when regexp_matches(lower(text), '\b(20[0-9]{2}|q[1-4]|quarter|fiscal year)\b') then 'temporal'
+@query(r"""select conv_id, turn, case when regexp_matches(lower(text), '\b(fy|q[1-4]|fiscal|year|quarter)\s*\d{4}\b|\b20\d{2}\b') then 'temporal'
     when (contains(lower(text), 'the')::int + contains(lower(text), 'le ')::int) > (contains(lower(text), 'ention')::int + contains(lower(text), 'que')::int) then 'simple' else 'complex' end as class from conversations""")
 def classify_query(spark: SparkSession, sf: str) -> DataFrame:
     """R14 with phrases of the data."""
     return table(spark, sf, "conversations").select("conv_id", "turn", T.question_class(F.col("text"), ["the", "le "], ["ention", "que"]).alias("class"))
 
 
+#: Questions and their class by the default phrases, both ways.
+CLASSES = [
+    ("What was capex in FY2019?", "temporal"), ("revenue of fy2019", "temporal"), ("How did Q2 2020 go?", "temporal"), ("which quarter was best", "complex"), ("q1 results", "complex"), ("What is total revenue?", "simple"), ("Why did revenue fall?", "complex"),
+    ("year 2021", "temporal"), ("the year of change", "complex"), ("explain the 2019 trend", "temporal"), ("what was the total of net income", "simple"), ("discuss the outlook and total risk", "complex"), ("in 1999 it was how much", "simple"), ("fiscal1998 sales", "temporal"),
+]
+
+
+@query(stated(CLASSES, "question, class"))
+def classify_stated(spark: SparkSession, sf: str) -> DataFrame:
+    """R14 on stated cases, one for each document."""
+    return cases(spark, sf, CLASSES, ["question"]).withColumn("class", T.question_class(F.col("question")))
+
+
+@query("""select doc_id::varchar as chunk_id, source as doc_name, n_chars::int as page_num, case when doc_id % 3 = 0 then 'marker' else 'unknown' end as page_num_method, case when doc_id % 4 = 0 then 'table_row' else 'prose' end as chunk_type, text, case when doc_id % 5 = 0 then 'in millions' end as units, 'other' as section_type from documents""")
+def typed_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits with absent fields and columns."""
+    d = F.col("doc_id")
+    hits = table(spark, sf, "documents").select(d.cast("string").alias("chunk_id"), F.col("source").alias("doc_name"), F.col("n_chars").cast("int").alias("page_num"), F.when(d % 3 == 0, "marker").alias("page_num_method"), F.when(d % 4 == 0, "table_row").otherwise("").alias("chunk_type"), "text", F.when(d % 5 == 0, "in millions").alias("units"))
+    return R.typed_hits(hits)
+
+
+@query(rf"""with t as (select doc_id, unnest({TOKENS}) as token from documents), h as (select doc_id, ('0x' || left(md5(token), 4))::int % 64 as dim, case when ('0x' || substr(md5(token), 5, 2))::int < 128 then 1 else -1 end as s from t),
+    v as (select doc_id, dim, sum(s)::double as v from h group by all), n as (select doc_id, sqrt(sum(v * v)) as n from v group by doc_id) select doc_id, dim, round(v / n, 9) as value from v join n using (doc_id) where v <> 0""")
+def embed_hashing(spark: SparkSession, sf: str) -> DataFrame:
+    """I4: the default embedding of whole texts, its places that aren't zero."""
+    vectors = R.embed(table(spark, sf, "documents").select("doc_id", "text"))
+    return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0").withColumn("value", F.round("value", 9))
+
+
+@query(f"with {_bm25_sql('source')} select source as doc, id, score from scored")
+def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """All positive scores from postings and sizes as they are stored."""
+    chunks = _chunks(spark, sf).withColumnRenamed("source", "doc")
+    return R.from_postings(R.postings(chunks, ["doc"]), chunks.select("doc", "id", F.size(T.tokens(F.col("text"))).alias("n_tokens")), QUERY)
+
+
 @query("select conv_id, turn, case when contains(lower(text), 'anea') or contains(lower(text), 'note ') then 'footnote' when contains(lower(text), 'ention') or contains(lower(text), 'que') then 'narrative' else 'simple' end as question_type from conversations")
 def question_type(spark: SparkSession, sf: str) -> DataFrame:
     """E13 with phrases of the data."""

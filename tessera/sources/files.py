@@ -30,9 +30,16 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"(?i)([^/]+)\.(?:html?|txt)$", 1).alias("doc"), utf8(F.col("content")).alias("html"))
 
 
-def questions(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Question records; blank lines are skipped, malformed ones fail or, if not ``strict``, are dropped."""
-    return spark.read.schema(QUESTION).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def questions(spark: SparkSession, path: str, strict: bool = True, first: int | None = None) -> DataFrame:
+    """Question records, or the ``first`` of them; blank lines are skipped, malformed ones fail or, if not ``strict``, are dropped."""
+    rows = spark.read.schema(QUESTION).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    return rows if first is None else rows.limit(first)
+
+
+def question_documents(rows: DataFrame) -> DataFrame:
+    """doc_name, n: the distinct documents that questions name, without endings, and how many each has."""
+    name = F.regexp_replace("doc_name", r"\.html?$", "")
+    return rows.filter("doc_name is not null").groupBy(name.alias("doc_name")).agg(F.count("*").alias("n"))
 
 
 def valid_name(name: str) -> str:
