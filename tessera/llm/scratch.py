@@ -1,4 +1,9 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""Tables that cut lineage, in the folder that driver and executors share.
+
+A table stays until it is forgotten or the driver's JVM ends, which deletes what is left.
+
+Defined cases: an empty table is written and read back like any other; rows, repeats, nulls and columns stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -34,4 +39,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    system, target = _located(spark, path)
+    system.deleteOnExit(target)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete those of ``tables`` that :func:`materialise` wrote and no later step reads."""
+    for t in tables:
+        path = t.__dict__.pop("_written", None)
+        if path:
+            system, target = _located(t.sparkSession, path)
+            system.delete(target, True)
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target

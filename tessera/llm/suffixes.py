@@ -4,10 +4,11 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 
 Sorting every suffix would move every byte many times. So suffixes start at anchors only: in each string of ``LENGTH``
 bytes, the ``GRAM``-byte sequence with the least hash. Equal strings have equal anchors, so every repeated string is
-seen at an anchor, with what stands within reach before and behind it. Four steps follow.
+seen at an anchor, with what stands within reach before and behind it. Texts are written once in blocks of several documents.
+Four steps follow.
 
-1. Blocks of documents send the distinct hashes of their anchors, sorted; ranges of hashes reply with a bit for each that
-   other blocks have too. Unique text, most of a corpus, ends here.
+1. Blocks send the distinct hashes of their anchors, sorted, with how often each occurs; ranges of hashes reply with a bit for
+   each that other blocks have too, and one for each that occurs more than ``HOT`` times. Unique text, most of a corpus, ends here.
 2. The other anchors' contexts (the sequence, what follows, then what precedes backwards) are made distinct in their
    block, with the smallest doc_id, sorted, front-coded (each entry keeps only what differs from the entry before) and
    exchanged.
@@ -16,19 +17,20 @@ seen at an anchor, with what stands within reach before and behind it. Four step
    each string around the anchor gets its smallest doc_id. The reply is a bit for each string of each context.
 4. Blocks mark the bytes of repeated strings and drop them.
 
+A sequence that is hot could have more contexts than a task should hold. Its strings don't go to a bucket: each
+distinct string of a block is a row, and the smallest doc_id of each is found by an aggregate, which is combined before it is shuffled.
+
 A context that an earlier document has is wholly repeated in all later ones, so copies, however many, are one entry for each block.
-A task holds one block, or one range of hashes, or a bucket's runs; no row is gathered by document or passage. Blocks are
-read three times in the same order; a checksum of their ids tells if that ever failed.
+A task holds one block, or one range of hashes, or a bucket's runs; no row is gathered by document or passage. Ranges grow with the
+bytes of the input. Hashes only choose what is compared: strings are equal if their bytes are.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows with equal ids do not
 count as earlier than each other; null ids come last; an empty table gives an empty result; input columns besides
-doc_id and text aren't read.
+doc_id and text aren't read. A document is never split over blocks, so a task holds its longest one, at about thirty times its bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +40,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialise
+from tessera.llm.scratch import forget, materialise
+from tessera.llm.skew import spread_join
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 WIDE = GRAM + 2 * REACH + 2
-#: Bytes of text in a block, about; buckets of contexts for each range of hashes.
-BLOCK, BUCKETS = 2_000_000, 2
+#: Bytes of text in a block, about; for each range of hashes; buckets of contexts for each range.
+BLOCK, RANGE, BUCKETS = 2_000_000, 32_000_000, 2
+#: A sequence that occurs more often is hot.
+HOT = 100_000
 #: Bytes of replies that are broadcast to the tasks that read the blocks, at most.
 BROADCAST = 32_000_000
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.iinfo(np.int64).max
-BLOCKS = "block long, mark long, ids binary, ends binary, body binary"
+BLOCKS = "block long, size long, ids binary, ends binary, body binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +70,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal ids, texts, held, nth
         raw = np.array(ids, dtype="<i8").tobytes()
         ends = np.cumsum([len(t) for t in texts]).astype("<i8").tobytes()
-        row = [(part << 32) | nth, zlib.crc32(raw), raw, ends, pack.compress(b"".join(texts))]
+        row = [(part << 32) | nth, held, raw, ends, pack.compress(b"".join(texts))]
         ids, texts, held, nth = [], [], 0, nth + 1
-        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["block", "mark", "ids", "ends", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["block", "size", "ids", "ends", "body"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -106,6 +111,8 @@ def anchors(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     h = h[:-10] * power(10) + h[10:]
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
+    # Zero marks strings that don't count, so no hash is zero.
+    h |= np.uint32(1)
     del four
     least, width = h, 1
     while 2 * width <= REACH + 1:
@@ -122,7 +129,7 @@ def anchors(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         most, width = np.maximum(most[:-width], most[width:]), 2 * width
     if width < REACH + 1:
         most = np.maximum(most[:n], most[REACH + 1 - width :])
-    at = np.flatnonzero((most == h) & (h > 0))
+    at = np.flatnonzero(most == h)
     text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, GRAM)[at]).view("<u4").reshape(len(at), GRAM // 4).astype(np.uint64)
     key = np.zeros(len(at), dtype=np.uint64)
     for k in range(GRAM // 4):
@@ -148,23 +155,29 @@ def _sender(ranges: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, _, ends, body in _opened(batch):
-                keys, _ = _sorted_keys(anchors(body, ends)[1], ranges)
+                keys, where = _sorted_keys(anchors(body, ends)[1], ranges)
+                times = np.minimum(np.bincount(where, minlength=len(keys)), 65_535).astype("<u2")
                 edges = np.searchsorted(keys >> 32, np.arange(ranges + 1))
                 low = (keys & 0xFFFFFFFF).astype("<u4")
-                got = [(r, block, low[a:b].tobytes()) for r, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                got = [(r, block, low[a:b].tobytes(), times[a:b].tobytes()) for r, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                 if got:
-                    r, k, v = zip(*got)
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(v, pa.binary())], names=["range", "block", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), [pa.int64()] * 2 + [pa.binary()] * 2)], names=["range", "block", "keys", "times"])
 
     return send
 
 
-def _replied(group: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a range of hashes, a bit for each of its keys: whether another block has it."""
-    parts = [np.frombuffer(k, "<u4") for k in group["keys"]]
-    _, where, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    shared = np.split(count[where] > 1, np.cumsum([len(p) for p in parts])[:-1])
-    return pd.DataFrame({"block": group["block"], "range": group["range"], "bits": [np.packbits(s).tobytes() for s in shared]})
+def _replier(hot: int):
+    def reply(group: pd.DataFrame) -> pd.DataFrame:
+        """For each block of a range of hashes, two bits for each of its keys: whether another block has it, and whether it is hot."""
+        parts = [np.frombuffer(k, "<u4") for k in group["keys"]]
+        times = np.concatenate([np.frombuffer(t, "<u2") for t in group["times"]]).astype(np.int64)
+        _, where, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        total = np.bincount(where, weights=times)
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        shared, often = np.split(count[where] > 1, cuts), np.split(total[where] > hot, cuts)
+        return pd.DataFrame({"block": group["block"], "range": group["range"], "bits": [np.packbits(x).tobytes() for x in shared], "hot": [np.packbits(x).tobytes() if x.any() else b"" for x in often]})
+
+    return reply
 
 
 def _front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
@@ -211,35 +224,71 @@ def contexts(body: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
 _WEIGHTS = np.cumprod(np.full(WIDE, _BASE, dtype=np.uint64)) ^ np.uint64(0x5555555555555555)
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct context, and which of them each is: by hash if no two contexts share one, else by their bytes."""
+    _, first, same = np.unique(_name(rows), return_index=True, return_inverse=True)
+    if any((rows[a : a + 10_000] != rows[first[same[a : a + 10_000]]]).any() for a in range(0, len(rows), 10_000)):
+        _, first, same = np.unique(np.ascontiguousarray(rows).view(f"S{WIDE}").ravel(), return_index=True, return_inverse=True)
+    return first, same
+
+
+def _hot_strings(block: int, body: np.ndarray, ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct string around the anchors ``at``: its smallest doc_id in the block, places, and how many are in later documents."""
+    doc = _doc_of(at, ends)
+    start = np.concatenate(([0], ends))[doc]
+    begin = (at[:, None] - np.arange(REACH + 1)[None, :]).ravel()
+    inside = (begin >= np.repeat(start, REACH + 1)) & (begin + LENGTH <= np.repeat(ends[doc], REACH + 1))
+    begin = np.unique(begin[inside])
+    if not len(begin):
+        return
+    text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, LENGTH)[begin]).view(f"S{LENGTH}").ravel()
+    _, first, same = np.unique(text, return_index=True, return_inverse=True)
+    own = ids[_doc_of(begin, ends)]
+    least = np.full(len(first), _LAST, dtype=np.int64)
+    np.minimum.at(least, same, own)
+    later = np.bincount(same, weights=own > least[same], minlength=len(first)).astype(np.int64)
+    order = np.argsort(same, kind="stable")
+    cuts = np.searchsorted(same[order], np.arange(len(first) + 1))
+    places = begin[order].astype("<u4")
+    raw = [body[begin[k] : begin[k] + LENGTH].tobytes() for k in first.tolist()]
+    for a in range(0, len(first), 20_000):
+        n = len(raw[a : a + 20_000])
+        none = pa.nulls(n, pa.binary())
+        held = [places[i:j].tobytes() for i, j in zip(cuts[a : a + n].tolist(), cuts[a + 1 : a + n + 1].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(later[a : a + n]), none, pa.array(raw[a : a + n], pa.binary()), none, none, pa.array(held, pa.binary()), pa.array(least[a : a + n])], names=[x.split()[0] for x in RUNS.split(", ")])
+
+
 def _runner(ranges: int):
-    """Front-coded sorted runs of a block's shared contexts, by bucket, and where each context stands."""
+    """Front-coded sorted runs of a block's shared contexts, by bucket, and where each context stands; and its hot strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for (block, ids, ends, body), mark, expected, replies in zip(_opened(batch), batch.column("mark").to_pylist(), batch.column("expected").to_pylist(), batch.column("replies").to_pylist()):
-                if mark != expected:
-                    raise ValueError("a block was read with other rows than before; write the documents to a table first")
+            for (block, ids, ends, body), replies in zip(_opened(batch), batch.column("replies").to_pylist()):
                 at, h = anchors(body, ends)
                 keys, where = _sorted_keys(h, ranges)
-                shared = np.zeros(len(keys), dtype=bool)
+                shared, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
                 edges = np.searchsorted(keys >> 32, np.arange(ranges + 1))
                 for reply in replies:
                     a, b = edges[reply["range"]], edges[reply["range"] + 1]
-                    shared[a:b] = np.unpackbits(np.frombuffer(reply["bits"], np.uint8), count=b - a)
+                    for bits, out in ((reply["bits"], shared), (reply["hot"], hot)):
+                        if bits:
+                            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
                 doc = _doc_of(at, ends)
                 # Also what several documents of this block share.
                 order = np.lexsort((doc, where))
                 again = np.flatnonzero((np.diff(where[order]) == 0) & (np.diff(doc[order]) != 0))
                 shared[where[order][again]] = True
-                keep = shared[where]
+                if hot.any():
+                    yield from _hot_strings(block, body, ids, ends, at[(shared & hot)[where]])
+                keep = (shared & ~hot)[where]
                 at, doc, bucket = at[keep], doc[keep], _range(h[keep], BUCKETS * ranges)
                 if not len(at):
                     continue
                 rows = contexts(body, ends, at)
-                _, first, same = np.unique(_name(rows), return_index=True, return_inverse=True)
+                first, same = _distinct(rows)
                 text = np.ascontiguousarray(rows[first]).view(f"S{WIDE}").ravel()
                 rank = np.lexsort((text, bucket[first]))
                 least = np.full(len(first), _LAST, dtype=np.int64)
@@ -251,20 +300,22 @@ def _runner(ranges: int):
                 occurs = np.argsort(same, kind="stable")
                 starts = np.searchsorted(same[occurs], np.arange(len(rank) + 1))
                 sorted_rows, least, own = rows[first][rank], least[rank], bucket[first][rank]
+                del rows, text
                 cut = np.searchsorted(own, np.arange(BUCKETS * ranges + 1))
                 out = []
                 for r in range(BUCKETS * ranges):
                     a, b = cut[r], cut[r + 1]
                     if b > a:
                         lengths, rest = _front_coded(sorted_rows[a:b])
-                        out.append((r, block, int(b - a), pack.compress(lengths), pack.compress(rest), pack.compress(least[a:b].astype("<i8").tobytes()), np.diff(starts[a : b + 1]).astype("<u4").tobytes(), at[occurs[starts[a] : starts[b]]].astype("<u4").tobytes()))
-                kinds = [pa.int64()] * 3 + [pa.binary()] * 5
+                        out.append((r, block, int(b - a), pack.compress(lengths), pack.compress(rest), pack.compress(least[a:b].astype("<i8").tobytes()), np.diff(starts[a : b + 1]).astype("<u4").tobytes(), at[occurs[starts[a] : starts[b]]].astype("<u4").tobytes(), None))
+                kinds = [pa.int64()] * 3 + [pa.binary()] * 5 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in RUNS.split(", ")])
 
     return run
 
 
-RUNS = "bucket long, block long, n long, shared binary, rest binary, least binary, counts binary, places binary"
+#: Rows of bucket -1 are hot strings: ``rest`` is the string, ``first`` its smallest doc_id in the block, ``n`` how often it is in later documents.
+RUNS = "bucket long, block long, n long, shared binary, rest binary, least binary, counts binary, places binary, first long"
 
 
 def loser_tree(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
@@ -341,6 +392,13 @@ def repeated(rows: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.ndarr
             name = ((total[ok, a + LENGTH] - total[ok, a]) * np.uint64(pow(_BASE, a, 1 << 64))) ^ seed[ok]
             order = np.argsort(name, kind="stable")
             new = np.concatenate(([True], np.diff(name[order]) != 0))
+            again = np.flatnonzero(~new)
+            one, two = ok[order[again]], ok[order[again - 1]]
+            if (group[one] != group[two]).any() or (text[one, a : a + LENGTH] != text[two, a : a + LENGTH]).any():
+                # Different strings of one hash: sort the strings themselves.
+                string = np.ascontiguousarray(text[ok, a : a + LENGTH]).view(f"S{LENGTH}").ravel()
+                order = np.lexsort((string, group[ok]))
+                new = np.concatenate(([True], (string[order][1:] != string[order][:-1]) | (np.diff(group[ok][order]) != 0)))
             smallest = np.minimum.reduceat(least[ok][order], np.flatnonzero(new))[np.cumsum(new) - 1]
             hit = ok[order][smallest < least[ok][order]]
             out[hit] |= np.uint32(1 << o)
@@ -406,10 +464,16 @@ def _dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for (_, ids, ends, body), replies in zip(_opened(batch), batch.column("replies").to_pylist()):
             change = np.zeros(len(body) + 1, dtype=np.int64)
+            hot, replies = [r for r in replies or () if r["bits"] is None], [r for r in replies or () if r["bits"] is not None]
+            joined = lambda rs, k, kind: np.frombuffer(b"".join([r[k] for r in rs]), kind)
+            if hot:
+                s = joined(hot, "places", "<u4").astype(np.int64)
+                least = np.repeat([r["first"] for r in hot], [len(r["places"]) // 4 for r in hot])
+                s = s[ids[_doc_of(s, ends)] > least]
+                change += np.bincount(s, minlength=len(change)) - np.bincount(s + LENGTH, minlength=len(change))
             if replies:
                 # All buckets of a block at once.
-                joined = lambda k, kind: np.frombuffer(b"".join([r[k] for r in replies]), kind)
-                bits, counts, places = joined("bits", "<u4"), joined("counts", "<u4"), joined("places", "<u4").astype(np.int64)
+                bits, counts, places = joined(replies, "bits", "<u4"), joined(replies, "counts", "<u4"), joined(replies, "places", "<u4").astype(np.int64)
                 first = np.frombuffer(b"".join([zstandard.decompress(r["least"]) for r in replies]), "<i8")
                 own = np.repeat(np.arange(len(bits)), counts)
                 doc = _doc_of(places, ends)
@@ -437,26 +501,33 @@ def _dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each row."""
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_blocks, BLOCKS)
-    sent = blocks.mapInArrow(_sender(ranges), "range long, block long, keys binary")
-    replies = sent.groupBy("range").applyInPandas(_replied, "block long, range long, bits binary")
-    marks = blocks.select("block", F.col("mark").alias("expected"))
+def remove_repeats(docs: DataFrame, ranges: int | None = None, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each row; ``hot``: see ``HOT``."""
+    blocks = materialise(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_blocks, BLOCKS), "blocks")
+    if ranges is None:
+        size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    sent = blocks.mapInArrow(_sender(ranges), "range long, block long, keys binary, times binary")
+    replies = sent.groupBy("range").applyInPandas(_replier(hot), "block long, range long, bits binary, hot binary")
     # A block's replies are as many as ranges at most.
-    by_block = replies.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("replies"))
-    by_block = materialise(marks.join(by_block, "block"), "shared-anchors")
-    size = by_block.agg(F.sum(F.aggregate("replies", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["bits"]) + 16))).first()[0] or 0
-    if size <= BROADCAST:
-        by_block = F.broadcast(by_block)
-    runs = materialise(blocks.join(by_block, "block").mapInArrow(_runner(ranges), RUNS), "runs")
-    merged = runs.select("bucket", "block", "n", "shared", "rest", "least").groupBy("bucket").applyInPandas(_merged, "block long, bucket long, bits binary")
-    answers = merged.join(runs.select("bucket", "block", "least", "counts", "places"), ["bucket", "block"])
-    by_block = materialise(answers.groupBy("block").agg(F.collect_list(F.struct("bits", "least", "counts", "places")).alias("replies")), "repeated")
+    by_block = materialise(replies.groupBy("block").agg(F.collect_list(F.struct("range", "bits", "hot")).alias("replies")), "shared-anchors")
+    size = by_block.agg(F.sum(F.aggregate("replies", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["bits"]) + F.octet_length(r["hot"]) + 16))).first()[0] or 0
+    few = F.broadcast(by_block) if size <= BROADCAST else by_block
+    runs = materialise(blocks.join(few, "block").mapInArrow(_runner(ranges), RUNS), "runs")
+    cold = runs.filter("bucket >= 0")
+    merged = cold.select("bucket", "block", "n", "shared", "rest", "least").groupBy("bucket").applyInPandas(_merged, "block long, bucket long, bits binary")
+    answers = merged.join(cold.select("bucket", "block", "least", "counts", "places", "first"), ["bucket", "block"]).select("block", "bits", "least", "counts", "places", "first")
+    strings = runs.filter("bucket < 0").select("block", F.col("rest").alias("string"), F.col("first").alias("own"), "n", "places")
+    if not strings.isEmpty():
+        least = materialise(strings.groupBy("string").agg(F.min("own").alias("first")), "hot-strings")
+        hit = spread_join(strings, least, "string").filter("first < own or n > 0")
+        none = F.lit(None).cast("binary")
+        answers = answers.union(hit.select("block", none.alias("bits"), none.alias("least"), none.alias("counts"), "places", "first"))
+    by_block = materialise(answers.groupBy("block").agg(F.collect_list(F.struct("bits", "least", "counts", "places", "first")).alias("replies")), "repeated")
+    forget(runs)
     return blocks.join(by_block, "block", "left").mapInArrow(_dropped, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def digest_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def digest_repeats(docs: DataFrame, ranges: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    return remove_repeats(docs, ranges).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, ranges, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
