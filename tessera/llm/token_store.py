@@ -4,19 +4,21 @@ Writing tokenises each document once, in the task that reads it. A rolling hash
 stream into chunks of 128 to 4096 ids, so that equal passages give equal chunks wherever they stand. A
 chunk is named by its digest. Chunks are dealt by digest and one copy of each is kept; a task sends a
 chunk's ids once. Beside them stands a recipe for each document: its chunks' digests and lengths and their
-Merkle root. Recipes are then put in ascending order of doc_id with the number of ids before each, and a
-manifest holds the Merkle root of every recipe file and of all.
+Merkle root. Recipes are then put in ascending order of doc_id with the number of ids before each. The manifest is a hash tree
+over the recipes in that order, with at most ``FAN`` nodes under one: its lowest nodes are pages of recipes, its highest is the root.
 
 Files below the store's path, all Parquet: ``blocks`` (chunks, and recipes as first written), ``recipes``
 (ascending, with starts), ``manifest``.
 
-Reading opens the chunks where they lie, checks each against its name and takes its CRC. CRC-32 is linear,
+Before anything is returned, reading makes every page's node again from the recipes and every higher node from those below, and
+compares them with the manifest (and its root with the caller's, if given); and it looks for each chunk that a recipe names. Then it
+opens the chunks where they lie, checks each against its name and takes its CRC. CRC-32 is linear,
 so a document's is the exclusive or of its chunks' values moved by the bytes after each: only numbers
 are joined, and a document's chunks needn't meet in order. :func:`read_ids` gives the ids themselves.
 
 Defined cases: null and empty texts have only the end id; repeated rows are separate documents with starts
-of their own; null ids come first; an empty table gives an empty store and an empty result; a wrong
-chunk, recipe or root raises an error; input columns besides doc_id and text aren't read.
+of their own; null ids come first; an empty table gives an empty store and an empty result; a lost, doubled or changed
+recipe, a lost or changed chunk and a wrong root raise an error; input columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -31,12 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.ordering import ranged, with_prefix
+from tessera.llm.scratch import materialise
+from tessera.llm.skew import spread_join
 from tessera.llm.tokens import Encoder, crc32
 
 END = 1
 LEAST, WINDOW, MASK, MOST = 128, 16, 511, 4096
 #: A task remembers so many chunks that it has sent.
 REMEMBERED = 500_000
+#: Nodes of the manifest's tree under one.
+FAN = 1024
 BLOCKS = "digest binary, payload binary, doc_id long, n_tokens long, digests binary, lengths binary, root binary"
 _ODD = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -185,24 +191,65 @@ def _encoder(vocabulary: str):
     return encode
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str, partitions: int | None = None) -> None:
-    """Write the ids of all documents below ``path``."""
+def _pages(recipes: DataFrame) -> DataFrame:
+    """The lowest nodes of the manifest: ``nth``, n_docs, n_tokens and node (hex) of each page of recipes."""
+    leaf = F.sha2(F.concat_ws(":", "start", "n_tokens", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("root")), 256)
+    leaves = recipes.select(F.col("page").alias("nth"), "n_tokens", F.struct("start", leaf.alias("node")).alias("leaf"))
+    return leaves.groupBy("nth").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _node("leaf").alias("node"))
+
+
+def _node(column: str):
+    """The hash of the sorted nodes under one."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(column)), lambda x: x["node"]), ""), 256)
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """The nodes over ``nodes``, in runs of ``FAN`` of their ranks, which are gapless."""
+    under = F.struct("nth", F.sha2(F.concat_ws(":", "n_docs", "n_tokens", "node"), 256).alias("node")).alias("leaf")
+    rows = nodes.select(F.floor(F.col("nth") / FAN).alias("nth"), "n_docs", "n_tokens", under)
+    return rows.groupBy("nth").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _node("leaf").alias("node"))
+
+
+def write_store(docs: DataFrame, path: str, vocabulary: str, partitions: int | None = None) -> str:
+    """Write the ids of all documents below ``path``; returns the manifest's root."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_encoder(vocabulary), BLOCKS)
     coded.repartition(n, "digest").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/blocks")
     recipes = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter(F.octet_length("digest") == 17)
     slim = ranged(recipes.select("doc_id", "n_tokens", "digests", "lengths", "root"), "doc_id", n)
-    placed = with_prefix(slim, "doc_id", "n_tokens", ["root"]).select("doc_id", F.col("_before").cast("long").alias("start"), "n_tokens", "digests", "lengths", "root", "_part")
+    placed = with_prefix(slim, "doc_id", "n_tokens", ["root"]).select("doc_id", F.col("_before").cast("long").alias("start"), "n_tokens", "digests", "lengths", "root", "_part", F.floor(F.col("_rank") / FAN).cast("long").alias("page"))
     placed.sortWithinPartitions("_part", "start").drop("_part").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    files = spark.read.parquet(f"{path}/recipes").groupBy(F.input_file_name().alias("file")).agg(F.min("start").alias("first"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.bit_xor(F.xxhash64("start", "root")).alias("mark"))
-    # A row for each recipe file.
-    found = files.orderBy("first").collect()
-    tree = Merkle()
-    for row in found:
-        tree.add(hashlib.sha256(f"{row.n_docs}:{row.n_tokens}:{row.mark}".encode()).digest())
-    rows = [(i, r.first, r.n_docs, r.n_tokens, r.mark, None) for i, r in enumerate(found)] + [(None, 0, sum(r.n_docs for r in found), sum(r.n_tokens for r in found), None, bytearray(tree.root()))]
-    spark.createDataFrame(rows, "file int, first long, n_docs long, n_tokens long, mark long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    level, nodes = 0, _pages(spark.read.parquet(f"{path}/recipes"))
+    while True:
+        nodes.select(F.lit(level).alias("level"), "nth", "n_docs", "n_tokens", "node").write.mode("append").parquet(f"{path}/manifest")
+        level, below = level + 1, spark.read.parquet(f"{path}/manifest").filter(F.col("level") == level)
+        if below.count() <= 1:
+            break
+        nodes = _above(below)
+    top = below.head()
+    return top["node"] if top else ""
+
+
+def verify_manifest(spark: SparkSession, path: str, root: str | None = None) -> None:
+    """Raise ValueError unless the recipes make the manifest's nodes, those the ones above, and all the ``root``, if given."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    # A row for each level: their number grows with the logarithm of the recipes.
+    levels = {r.level: r.n for r in manifest.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    top = manifest.filter(F.col("level") == max(levels, default=0)).head()
+    if sorted(levels) != list(range(len(levels))) or (levels and levels[max(levels)] != 1):
+        raise ValueError(f"{path}: the manifest has no single root")
+    if root is not None and root != (top["node"] if top else ""):
+        raise ValueError(f"{path}: the manifest's root isn't {root}")
+    for level in range(max(len(levels), 1)):
+        stated = manifest.filter(F.col("level") == level).select("nth", F.struct("n_docs", "n_tokens", "node").alias("stated"))
+        source = _pages(spark.read.schema(RECIPES).parquet(f"{path}/recipes")) if level == 0 else _above(manifest.filter(F.col("level") == level - 1))
+        made = source.select("nth", F.struct("n_docs", "n_tokens", "node").alias("made"))
+        if not made.join(stated, "nth", "full").filter(~F.col("made").eqNullSafe(F.col("stated"))).isEmpty():
+            raise ValueError(f"{path}: the recipes differ from the manifest")
+
+
+RECIPES = "doc_id long, start long, n_tokens long, digests binary, lengths binary, root binary, page long"
 
 
 #: The CRC's polynomial, lowest power in the highest bit.
@@ -243,11 +290,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of each recipe, with the bytes after it."""
     for batch in batches:
         names, n, after, count = [], [], [], []
-        for doc_id, digests, lengths, root in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "digests", "lengths", "root")]):
-            if _root(digests) != root:
+        for doc_id, tokens, digests, lengths, root in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "n_tokens", "digests", "lengths", "root")]):
+            own = np.frombuffer(lengths, dtype="<u4").astype(np.int64)
+            if _root(digests) != root or own.sum() != tokens or len(digests) != 16 * len(own):
                 raise ValueError(f"the recipe of document {doc_id} differs from its root")
             names += [digests[a : a + 16] for a in range(0, len(digests), 16)]
-            own = np.frombuffer(lengths, dtype="<u4").astype(np.int64)
             n.append(own)
             after.append((own.sum() - np.cumsum(own)) * 4)
             count.append(len(own))
@@ -262,30 +309,36 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(share.astype(np.int64), _L)], names=["doc_id", "start", "n", "share"])
 
 
-def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _read(spark: SparkSession, path: str, root: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored chunks, their digest, n and crc, and the parts of all recipes; verified, and no part lacks its chunk."""
+    verify_manifest(spark, path, root)
     chunks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter(F.octet_length("digest") == 16).select("digest", "payload")
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests binary, lengths binary, root binary").parquet(f"{path}/recipes")
-    return chunks, recipes.select("doc_id", "start", "digests", "lengths", "root").mapInArrow(_parts, "doc_id long, start long, digest binary, length long, after long")
+    known = materialise(chunks.mapInArrow(_chunks, "digest binary, n long, crc long"), "chunks")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "digests", "lengths", "root")
+    parts = materialise(recipes.mapInArrow(_parts, "doc_id long, start long, digest binary, length long, after long"), "parts")
+    asked = parts.groupBy("digest").agg(F.min("length").alias("least"), F.max("length").alias("most"))
+    if not asked.join(known, "digest", "left").filter("n is null or n <> least or n <> most").isEmpty():
+        raise ValueError(f"{path}: a recipe's chunk is missing or has another length")
+    return chunks, known, parts
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
+def read_summary(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the stored chunks."""
-    chunks, parts = _read(spark, path)
-    known = chunks.mapInArrow(_chunks, "digest binary, n long, crc long")
-    joined = parts.join(known, "digest", "left").withColumn("n", F.when(F.col("n") == F.col("length"), F.col("n")).otherwise(F.raise_error(F.lit("a recipe's chunk is missing or has another length"))))
-    shares = joined.select("doc_id", "start", "n", "crc", "after").mapInArrow(_shares, "doc_id long, start long, n long, share long")
+    _, known, parts = _read(spark, path, root)
+    joined = spread_join(parts, known, "digest").select("doc_id", "start", "n", "crc", "after")
+    shares = joined.mapInArrow(_shares, "doc_id long, start long, n long, share long")
     return shares.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("share").alias("ids_crc32"))
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """doc_id, start and ids of each document, rebuilt from its chunks."""
-    chunks, parts = _read(spark, path)
+    chunks, _, parts = _read(spark, path, root)
 
     def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.frombuffer(p, dtype=f"<u{p[0]}", offset=1).astype(np.int32).tolist() for p in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "after", "ids"])
 
-    joined = parts.join(chunks, "digest").select("doc_id", "start", "after", "payload").mapInArrow(widened, "doc_id long, start long, after long, ids array<int>")
+    joined = spread_join(parts, chunks, "digest").select("doc_id", "start", "after", "payload").mapInArrow(widened, "doc_id long, start long, after long, ids array<int>")
     ordered = F.sort_array(F.collect_list(F.struct(-F.col("after"), "ids")))
     return joined.groupBy("doc_id", "start").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
