@@ -1,11 +1,16 @@
-"""Connected components of a graph of links between 64-bit nodes."""
+"""Connected components of a graph of links between 64-bit nodes.
+
+Defined cases: links of a node to itself and repeated links count for nothing; nodes without other links are not returned; an
+empty table gives an empty result; null ends must not occur.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialise
+from tessera.llm.scratch import forget, materialise
+from tessera.llm.skew import LEAST, spread_join
 
 #: Rounds grow with the logarithm of the longest chain.
 ROUNDS = 60
@@ -21,16 +26,18 @@ def components(links: DataFrame) -> DataFrame:
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     edges = materialise(links.filter("a <> b").select(low, high).distinct(), "links")
     for _ in range(ROUNDS):
+        total = edges.count()
+        # What is read several times is written, unless it is small.
+        cut = materialise if total > LEAST else lambda df, _: df
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         # Large-star: larger neighbours go under the smallest. Each edge is held by its smaller end: a < b.
-        large = edges.join(least, edges.a == least.u)
-        edges_l = large.select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = cut(spread_join(edges, least, "a", total).select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), "large")
         # Small-star: a node's smaller neighbours and itself go under the smallest of them.
-        small = edges_l.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        joined = edges_l.join(small, edges_l.b == small.u)
-        moved = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        small = cut(large.groupBy("b").agg(F.min("a").alias("m")), "small")
+        moved = spread_join(large, small, "b", total).select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b"))
         new = materialise(moved.filter("a <> b").distinct(), "links")
+        forget(edges, least, large, small)
         # Done once every node hangs under one node that hangs under none.
         parents = new.groupBy("b").agg(F.count("*").alias("n"))
         nested = new.select(F.col("a").alias("b")).distinct().join(parents.select("b"), "b", "left_semi")

@@ -8,9 +8,10 @@ differ in at most 1, so three trees of that small radius together lose no pair,
 bits and radius 4 would visit most of itself. Within a band, a tree splits fingerprints by their
 Hamming distance to a vantage point: at most ``mu`` inside, else outside. By the triangle bound, a fingerprint
 can have neighbours beyond the split only if its distance is within the radius of ``mu``; such ones also visit the
-other side. The upper levels are chosen on a bounded sample of fingerprints, which decides only how
-even the shards are; their leaves are the shards. Each shard goes on splitting its own fingerprints the same way and
-compares small leaves directly, over all 64 bits. A shard with too many fingerprints, such as a
+other side. The upper levels are chosen on a bounded sample of fingerprints, drawn by hash, which decides only how
+even the shards are; their leaves are the shards. Each shard goes on splitting its own fingerprints the same way. In a leaf,
+fingerprints are sorted by their bits of the band, those within the radius are looked up, and compared over all 64 bits;
+small leaves are compared directly. A shard with too many fingerprints, such as a
 large group of near copies, is cut into blocks, and each pair of blocks is a task.
 
 A task returns a spanning forest of its links, so results stay as many as fingerprints. Components are
@@ -32,6 +33,7 @@ doc_id and text aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -41,11 +43,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm.components import components
+from tessera.llm.names import unused
 from tessera.llm.scratch import materialise
+from tessera.llm.skew import spread_join
 
 SEED = 42
-#: Fingerprints in a shard, about; most in a block of a task; in a leaf that is compared directly.
-SHARD, BLOCK, LEAF = 16_384, 65_536, 384
+#: Fingerprints in a shard, about; most in a block of a task; in a leaf that isn't split.
+SHARD, BLOCK, LEAF = 16_384, 65_536, 8_192
+#: Pairs that are looked at together.
+PAIRS = 1 << 18
 #: Most fingerprints on which the upper levels are chosen.
 SAMPLE = 262_144
 
@@ -122,10 +128,20 @@ def bands(distance: int) -> list[Band]:
     return [("fp", np.uint64(sum(1 << b for b in range(lo, hi))), distance // n) for lo, hi in zip(edges, edges[1:])]
 
 
-def wide_bands() -> list[Band]:
-    """Thirty-two bands of 16 bits, radius 1: each of the four words is cut into runs of bits, and again into every fourth bit."""
-    cuts = [0xFFFF << k for k in (0, 16, 32, 48)] + [0x1111111111111111 << k for k in range(4)]
-    return [(w, np.uint64(cut), 1) for w in WORDS for cut in cuts]
+#: Bits of a band and how many bands there are; a band of ``b`` bits serves up to 2 ** (b + 2) nodes. The numbers keep the share of pairs at a
+#: similarity of 0.8 (15 % of the bits differ) that no band holds below 1e-4, were bands independent.
+WIDE = {16: 32, 20: 48, 24: 84, 28: 144, 32: 252}
+
+
+def wide_bands(n: int) -> list[Band]:
+    """Bands of radius 1 over all four words for ``n`` nodes: a word is cut into runs of bits, then runs of its bits in other orders."""
+    bits = next((b for b in WIDE if n <= 1 << (b + 2)), max(WIDE))
+    out: list[Band] = []
+    for nth in range(WIDE[bits] // (4 * (64 // bits)) + 1):
+        order = np.arange(64) if nth == 0 else np.random.default_rng(nth).permutation(64)
+        cuts = [sum(1 << int(k) for k in order[a : a + bits]) for a in range(0, 64 - bits + 1, bits)]
+        out += [(w, np.uint64(cut), 1) for w in WORDS for cut in cuts]
+    return out[: WIDE[bits]]
 
 
 def _far(x: np.ndarray, v: np.uint64, mask: np.uint64) -> np.ndarray:
@@ -201,33 +217,84 @@ class Forest:
             a, b = a[differ], b[differ]
 
 
-def _compare(x: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int, forest: Forest) -> None:
-    """Link all pairs within ``distance`` and, with further words, within ``forest.most`` bits of all."""
+def _flips(mask: np.uint64, radius: int) -> list[np.uint64]:
+    """All ways to change at most ``radius`` bits of ``mask``."""
+    bits = [1 << k for k in range(64) if int(mask) >> k & 1]
+    return [np.uint64(sum(c)) for r in range(radius + 1) for c in combinations(bits, r)]
+
+
+def _dense(x: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within ``distance``, all being compared, some at a time."""
     for a in range(0, len(left), 512):
         i = left[a : a + 512]
         for b in range(0, len(right), 4096):
             j = right[b : b + 4096]
             p, q = np.nonzero(np.bitwise_count(x[i][:, None] ^ x[j][None, :]) <= distance)
-            p, q = i[p], j[q]
-            if forest.wide is not None:
-                open_ = forest.label[p] != forest.label[q]
-                p, q = p[open_], q[open_]
-                near = np.bitwise_count(x[p] ^ x[q]) + np.bitwise_count(forest.wide[p] ^ forest.wide[q]).sum(1) <= forest.most
-                p, q = p[near], q[near]
-            forest.join(p, q)
+            yield i[p], j[q]
+
+
+def _banded(x: np.ndarray, left: np.ndarray, right: np.ndarray, mask: np.uint64, flips: list[np.uint64], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within ``distance`` that differ in at most the band's radius: equal values after each flip, looked up among the sorted values."""
+
+    def valued(idx: np.ndarray) -> tuple[np.ndarray, ...]:
+        v = x[idx] & mask
+        order = np.argsort(v, kind="stable")
+        return idx[order], *np.unique(v[order], return_index=True, return_counts=True)
+
+    same = left is right
+    p, u, first, n = valued(left)
+    q, v, at, m = (p, u, first, n) if same else valued(right)
+    for flip in flips:
+        other = u ^ flip
+        found = np.minimum(np.searchsorted(v, other), len(v) - 1)
+        # Of a pair of the same set, one order is enough.
+        hit = np.flatnonzero((v[found] == other) & (u <= other) if same else v[found] == other)
+        partner = found[hit]
+        # A left value's indexes are cut so that none of its parts has much more than ``PAIRS`` pairs.
+        step = np.maximum(PAIRS // m[partner], 1)
+        parts = -(-n[hit] // step)
+        which = np.repeat(np.arange(len(hit)), parts)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        a, b = first[hit][which] + nth * step[which], at[partner][which]
+        na, nb = np.minimum(step[which], n[hit][which] - nth * step[which]), m[partner][which]
+        size = na * nb
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+            row = np.repeat(np.arange(lo, hi), size[lo:hi])
+            k = np.arange(len(row)) - (ends[row] - size[row] - (ends[lo - 1] if lo else 0))
+            i, j = p[a[row] + k // nb[row]], q[b[row] + k % nb[row]]
+            near = np.bitwise_count(x[i] ^ x[j]) <= distance
+            yield i[near], j[near]
+            lo = hi
+
+
+def _compare(x: np.ndarray, left: np.ndarray, right: np.ndarray, mask: np.uint64, flips: list[np.uint64], distance: int, forest: Forest) -> None:
+    """Link the band's pairs within ``distance`` and, with further words, within ``forest.most`` bits of all."""
+    if not len(left) or not len(right):
+        return
+    small = len(left) * len(right) <= 64 * len(flips) * (len(left) + len(right))
+    for p, q in _dense(x, left, right, distance) if small else _banded(x, left, right, mask, flips, distance):
+        if forest.wide is not None:
+            open_ = forest.label[p] != forest.label[q]
+            p, q = p[open_], q[open_]
+            near = np.bitwise_count(x[p] ^ x[q]) + np.bitwise_count(forest.wide[p] ^ forest.wide[q]).sum(1) <= forest.most
+            p, q = p[near], q[near]
+        forest.join(p, q)
 
 
 def _local(x: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.uint64, radius: int, distance: int, forest: Forest) -> None:
-    """Links between ``home`` and itself and ``visit``, splitting while that gains."""
-    todo = [(home, visit)]
+    """Links between ``home`` and itself and ``visit``, splitting down to leaves while that gains."""
+    todo, flips = [(home, visit)], _flips(mask, radius)
     while todo:
         home, visit = todo.pop()
         if not len(home):
             continue
         found = _split(x[home], mask, radius) if len(home) > LEAF else None
         if found is None:
-            _compare(x, home, home, distance, forest)
-            _compare(x, home, visit, distance, forest)
+            _compare(x, home, home, mask, flips, distance, forest)
+            _compare(x, home, visit, mask, flips, distance, forest)
             continue
         v, mu, d = found
         d, e = d.astype(int), _far(x[visit], v, mask).astype(int)
@@ -237,7 +304,7 @@ def _local(x: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: np.uint64,
 
 def _linker(masks: list[Band], distance: int, most: int | None):
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        column, mask, radius = masks[int(group["task"].iat[0]) >> 56]
+        column, mask, radius = masks[int(group["task"].iat[0]) >> 52]
         x, role = group[column].to_numpy(np.int64).view(np.uint64), group["role"].to_numpy()
         wide = None if most is None else np.column_stack([group[w].to_numpy(np.int64).view(np.uint64) for w in WORDS if w != column])
         forest = Forest(len(x), wide, most or 0)
@@ -257,10 +324,12 @@ def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, sh
     """
     n = fps.count()
     leaves = max(1, -(-n // shard))
-    masks = bands(distance) if most is None else wide_bands()
+    masks = bands(distance) if most is None else wide_bands(n)
     columns = [m[0] for m in masks]
     carried = ["fp", "node"] if most is None else [*WORDS, "node"]
-    drawn = fps.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, max(1024, 64 * leaves))).select(*carried).toPandas()
+    fps = fps.select(*carried)
+    share = min(1.0, min(SAMPLE, max(1024, 64 * leaves)) / max(n, 1))
+    drawn = fps.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(*carried).toPandas()
     trees = [Tree(np.sort(drawn[c].to_numpy(np.int64)).view(np.uint64), mask, radius, leaves) for c, mask, radius in masks]
 
     def words(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -287,7 +356,7 @@ def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, sh
 
             for k, (tree, x) in enumerate(zip(trees, words(batch))):
                 for leaf, home, visit in tree.route(x):
-                    base, cut = (k << 56) | (leaf << 32), blocks.get((k, leaf))
+                    base, cut = (k << 52) | (leaf << 32), blocks.get((k, leaf))
                     if cut is None:
                         put(np.full(len(home), base), home, 1)
                         put(np.full(len(visit), base), visit, 2)
@@ -306,20 +375,20 @@ def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, sh
     return fps.select(*carried).mapInArrow(dealt, schema).groupBy("task").applyInPandas(_linker(masks, distance, most), "a long, b long")
 
 
-def _components(known: DataFrame, distance: int, shard: int, block: int) -> DataFrame:
-    """node and component_id, the smallest doc_id reachable."""
-    reps = materialise(known.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in WORDS]), "representatives")
-    joined = components(link_fingerprints(reps, distance, None, shard, block)).withColumnRenamed("node", "_node")
-    labelled = reps.join(joined, reps["node"] == joined["_node"], "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return labelled.join(least, "root").select("node", "component_id", "root")
+def _named(known: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``known`` with the ``root`` of each row's node over ``links``; ``nodes`` are the distinct nodes."""
+    joined = components(links).withColumnRenamed("node", "_node")
+    named = nodes.join(joined, nodes["node"] == joined["_node"], "left").select("node", F.coalesce("root", "node").alias("root"))
+    return materialise(spread_join(known, materialise(named, "roots"), "node"), "named")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of each row."""
-    known = materialise(fingerprints(docs, width), "fingerprints")
-    named = _components(known, distance, shard, block)
-    return known.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = materialise(fingerprints(docs, width).select("doc_id", "fp", "node"), "fingerprints")
+    nodes = materialise(known.groupBy("node").agg(F.first("fp").alias("fp")), "representatives")
+    named = _named(known, link_fingerprints(nodes, distance, None, shard, block), nodes.select("node"))
+    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return spread_join(named, least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Candidates differ in at most so many bits of a band's word and of all 256. For a similarity of 0.8 of sets of shingles
@@ -328,6 +397,8 @@ NEAR_WORD, NEAR_ALL = 24, 64
 SIMILAR = 0.8
 #: Sets in a task of exact comparison, about, and in a block of a large group.
 SETS = 1024
+#: Keys of dropped rows (16 bytes each) that are broadcast, at most.
+FEW = 500_000
 
 
 def _alike(sets: list[np.ndarray], root: np.ndarray, role: np.ndarray, similar: float) -> Forest:
@@ -374,7 +445,7 @@ def _exact_links(docs: DataFrame, known: DataFrame, coarse: DataFrame, width: in
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(slot, o).alias("i"), F.greatest(slot, o).alias("j"), F.when(slot == o, 3).when(slot < o, 1).otherwise(2).alias("role")))
     one = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(3).alias("role")))
     # One row of each node's copies lends its text.
-    lent = known.join(coarse, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    lent = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).join(coarse, "node", "left_semi").select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"), "text")
     held = texts.join(lent, texts["doc_id"].eqNullSafe(lent["_id"]) & (texts["text_key"] == lent["_key"])).select("node", "text")
@@ -407,13 +478,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similar: float = SIMIL
     """
     known = materialise(fingerprints(docs, width, wide=True), "fingerprints")
     nodes = materialise(known.groupBy("node").agg(*[F.first(c).alias(c) for c in WORDS]), "representatives")
-    coarse = components(link_fingerprints(nodes, NEAR_WORD, NEAR_ALL, shard, block))
-    joined = components(_exact_links(docs, known, materialise(coarse, "coarse"), width, similar, sets))
-    named = nodes.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
-    grouped = known.select("doc_id", "text_key", "node").join(named, "node")
-    kept = materialise(grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"), F.count("*").alias("n")).select("k.doc_id", "k.text_key", "n"), "kept")
-    again = known.join(kept.filter("n > 1").select("doc_id", "text_key"), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").count().filter("count > 1")
-    keys = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
-    out = docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (text_key == keys["_key"]), "left_semi")
-    return out if again.isEmpty() else out.withColumn("_key", text_key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    coarse = materialise(components(link_fingerprints(nodes, NEAR_WORD, NEAR_ALL, shard, block)), "coarse")
+    keys = known.select("doc_id", "text_key", "node")
+    named = _named(keys, _exact_links(docs, known, coarse, width, similar, sets), nodes.select("node"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")
+    kept = materialise(named.groupBy("root").agg(least, F.count("*").alias("n")).filter("n > 1").select("root", "k", "n"), "kept")
+    others = spread_join(named, kept, "root")
+    same = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key"))
+    gone = materialise(others.filter(~same).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
+    again = others.filter(same).groupBy("root").agg(F.count("*").alias("copies")).filter("copies > 1")
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    few = F.broadcast(gone) if gone.count() <= FEW else gone
+    out = keyed.join(few, keyed["doc_id"].cast("long").eqNullSafe(few["_id"]) & (keyed[key] == few["_key"]), "left_anti")
+    return (out if again.isEmpty() else out.dropDuplicates(["doc_id", key])).drop(key)
