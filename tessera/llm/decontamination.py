@@ -282,4 +282,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, c
         found = materialise(keyed.mapInArrow(dirty(block), "_hash string").distinct(), "contaminated")
         gone = found if gone is None else gone.union(found)
     key = unused(docs, "key")
-    return docs.withColumn(key, F.sha2("text", 256)).join(gone, F.col(key) == F.col("_hash"), "left_anti").drop(key)
+    return docs.withColumn(key, F.sha2("text", 256)).join(gone.withColumnRenamed("_hash", key), key, "left_anti").select(*own_columns(docs))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm.components import components
-from tessera.llm.names import unused
+from tessera.llm.names import own_columns, unused
 from tessera.llm.scratch import materialise
 from tessera.llm.skew import spread_join
 
@@ -491,4 +491,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similar: float = SIMIL
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     few = F.broadcast(gone) if gone.count() <= FEW else gone
     out = keyed.join(few, keyed["doc_id"].cast("long").eqNullSafe(few["_id"]) & (keyed[key] == few["_key"]), "left_anti")
-    return (out if again.isEmpty() else out.dropDuplicates(["doc_id", key])).drop(key)
+    return (out if again.isEmpty() else out.dropDuplicates(["doc_id", key])).select(*own_columns(docs))
