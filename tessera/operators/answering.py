@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def gate_batch(theta: float = 0.55) -> Column:
@@ -216,9 +217,14 @@ def statements_needed(question: Column) -> Column:
     return F.array_compact(F.array(rule("income_statement", "revenue|income|margin|earnings|sales"), rule("balance_sheet", "asset|liabilit|equity|debt|inventor"), rule("cash_flow", "cash flow|capital expenditure|capex|dividend")))
 
 
-def paced(batches: Iterator[pd.DataFrame], call: Callable[[list[str]], list[str]], per_minute: int, attempts: int = 10, wait: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[pd.DataFrame]:
-    """Add ``reply`` by calling a model for batches of prompts, evenly spaced, with retries (A7, A8, I7). For use in mapInPandas."""
-    gap, last = 60.0 / per_minute, 0.0
+def token_gap(budget: int, per_minute: int, utilisation: float = 0.7) -> float:
+    """Seconds between batches of ``budget`` tokens that use the share ``utilisation`` of a quota of tokens a minute."""
+    return budget / (per_minute * utilisation) * 60
+
+
+def paced(batches: Iterator[pd.DataFrame], call: Callable[[list[str]], list[str]], per_minute: int, attempts: int = 10, wait: float = 30.0, sleep: Callable[[float], None] = time.sleep, gap: float | None = None) -> Iterator[pd.DataFrame]:
+    """Add ``reply`` by calling a model for batches of prompts, evenly spaced or ``gap`` seconds apart, with retries (A7, A8, I7). For use in mapInPandas."""
+    gap, last = 60.0 / per_minute if gap is None else gap, float("-inf")
     for batch in batches:
         for attempt in range(attempts):
             sleep(max(0.0, last + gap - time.monotonic()))
@@ -232,10 +238,10 @@ def paced(batches: Iterator[pd.DataFrame], call: Callable[[list[str]], list[str]
                 sleep(wait)
 
 
-def with_replies(prompts: DataFrame, call: Callable[[list[str]], list[str]], per_minute: int = 60_000, attempts: int = 10) -> DataFrame:
-    """``prompts`` (with prompt) and the model's reply (A2, A3)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", reply string"
-    return prompts.mapInPandas(lambda it: paced(it, call, per_minute, attempts), schema)
+def with_replies(prompts: DataFrame, call: Callable[[list[str]], list[str]], per_minute: int = 60_000, attempts: int = 10, gap: float | None = None) -> DataFrame:
+    """``prompts`` (with prompt) and the model's reply (A2, A3). Tasks pace themselves, so a quota holds for each of them."""
+    schema = StructType([*prompts.schema.fields]).add("reply", "string")
+    return prompts.mapInPandas(lambda it: paced(it, call, per_minute, attempts, gap=gap), schema)
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
