@@ -286,16 +286,43 @@ def _line_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).filter(F.trim("line") != "").select(F.col("doc").cast("string").alias("doc"), "seq", kind.alias("kind"), F.col("line").alias("text"), F.lit(0).alias("sub"), F.lit(1).alias("page"), F.lit("word_count").alias("page_method"), F.lit(None).cast("string").alias("units"), named.alias("section"))
 
 
-@query()
+def _chunk_sql(kind: str) -> str:
+    """Chunks of lines. Prose: a recursion over the items of a document with the window's first item and the first that is new; ``t`` sums the words before an item.
+    Rows of tables: runs that stand together in one section; lines stay below their budget, which the recursion of :func:`token_batches` shows instead."""
+    return rf"""with recursive {_LINES}, s as (select doc::varchar as doc, seq, line as text, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') as w, {kind} as kind, case when seq % 2 = 0 then 'balance_sheet' else 'other' end as section, row_number() over (partition by doc order by seq) as place from l where trim(line) <> ''),
+    k as (select *, case when kind = 'prose' and len(w) > 400 then 'long' else kind end as k from s),
+    i as (select *, row_number() over (partition by doc order by seq) - 1 as p, coalesce(sum(len(w)) over (partition by doc order by seq rows between unbounded preceding and 1 preceding), 0) as t from k where k = 'prose'),
+    e as (select doc, p, t, text, len(w) as n, seq, section from i union all select k.doc, coalesce(max(p) + 1, 0), coalesce(max(t + len(i.w)), 0), null, null, null, null from (select distinct doc from k) k left join i using (doc) group by k.doc),
+    a as (select k.doc, k.seq, k.w, k.k, k.section, k.text, (select count(*) from i where i.doc = k.doc and i.seq < k.seq) as p from k where k in ('long', 'footnote')),
+    c as (select e.*, n is null or exists(select 1 from a where a.doc = e.doc and a.p = e.p) as cut, (select min(x.p) from e x where x.doc = e.doc and x.t >= e.t - 50) as carried, coalesce(lead(t) over (partition by doc order by p), t) as after from e),
+    r as (select doc, p, 0::bigint as first, 0::bigint as fresh, 0::bigint as w0, 0::bigint as w1, false as put from c where p = 0
+    union all select c.doc, c.p + 1, case when f.over then greatest(f.f1, c.carried) else f.f1 end, case when c.cut or f.over then c.p else r.fresh end, r.first, c.p, (c.cut or f.over) and r.first < c.p and r.fresh < c.p
+        from r join c on c.doc = r.doc and c.p = r.p, lateral (select f1, c.n is not null and f1 < c.p and c.after - (select x.t from c x where x.doc = c.doc and x.p = f1) > 400 as over from (select case when c.cut then greatest(r.first, c.carried) else r.first end as f1)) f),
+    o as (select doc, w1 as p, 0 as q, 0 as part, (select string_agg(text, ' ' order by p) from i where i.doc = r.doc and i.p >= w0 and i.p < w1) as text, (select min(seq) from i where i.doc = r.doc and i.p >= w0 and i.p < w1) as first_seq, (select max(seq) from i where i.doc = r.doc and i.p >= w0 and i.p < w1) as last_seq from r where put
+    union all select doc, p, 1 + seq, part, array_to_string(list_slice(w, part * 400 + 1, part * 400 + 400), ' '), seq, seq from (select *, unnest(range((len(w) + 399) // 400)) as part from a where k = 'long')),
+    g as (select *, place - row_number() over (partition by doc, section order by seq) as run, place - row_number() over (partition by doc order by seq) as stand from k where k = 'table_row'),
+    h as (select doc, section, string_agg(text, chr(10) order by seq) as text, min(seq) as first_seq, max(seq) as last_seq from g group by doc, section, run, stand),
+    f as (select *, row_number() over (partition by doc order by seq) - 1 as nth from a where k = 'footnote'),
+    z as (select doc, doc || '::prose::' || (row_number() over (partition by doc order by p, q, part) - 1) as chunk_id, 'prose' as chunk_type, text, first_seq, last_seq from o
+    union all select doc, doc || '::table_row::' || (row_number() over (partition by doc order by first_seq) - 1), 'table_row', case section when 'other' then '' else '[Balance Sheet]' || chr(10) end || text, first_seq, last_seq from h
+    union all select doc, doc || '::footnote::' || nth || case when len(w) > 400 then '_p' || part else '' end, 'footnote', case when len(w) > 400 then array_to_string(list_slice(w, part * 400 + 1, part * 400 + 400), ' ') else text end, seq, seq from (select *, unnest(range(greatest(1, (len(w) + 399) // 400))) as part from f))
+    select doc, chunk_id, chunk_type, text, first_seq::int as first_seq, last_seq::int as last_seq from z"""
+
+
+def _chunked(segments: DataFrame) -> DataFrame:
+    return C.chunks(segments).select("doc", "chunk_id", "chunk_type", "text", "first_seq", "last_seq")
+
+
+@query(_chunk_sql("'prose'"))
 def chunk_prose(spark: SparkSession, sf: str) -> DataFrame:
     """A document's lines as prose."""
-    return C.chunks(_line_segments(spark, sf).withColumn("kind", F.lit("prose")))
+    return _chunked(_line_segments(spark, sf).withColumn("kind", F.lit("prose")))
 
 
-@query()
+@query(_chunk_sql("case when seq % 11 = 10 then 'footnote' when seq % 5 = 4 then 'table_row' else 'prose' end"))
 def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Prose, rows and footnotes."""
-    return C.chunks(_line_segments(spark, sf))
+    return _chunked(_line_segments(spark, sf))
 
 
 _SHELL = "<html><head><link href=report.css></head><body>viewer</body></html>"

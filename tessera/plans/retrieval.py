@@ -264,7 +264,8 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+@query("""with recursive t as (select source, doc_id, greatest(1, floor(length(text) / 3.5))::int as n, row_number() over (partition by source order by doc_id) as i from documents),
+    b as (select source, doc_id, i, n, n::bigint as held, 0 as batch from t where i = 1 union all select t.source, t.doc_id, t.i, t.n, case when b.held + t.n > 20000 then t.n else b.held + t.n end, b.batch + (b.held + t.n > 20000)::int from b join t on t.source = b.source and t.i = b.i + 1) select source, doc_id, n, batch from b""")
 def token_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Resetting fold."""
     from tessera.operators.chunking import budget_batches
