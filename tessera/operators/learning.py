@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,29 @@ UP, DOWN, LOW, HIGH = 0.1, 0.15, 0.1, 2.0
 STOP = ["the", "a", "an", "is", "was", "were", "what", "how", "much", "did", "does", "in", "of", "for", "and", "or", "to", "from"]
 
 
-def feedback_weights(events: DataFrame, key: str, order: list[str], verdict: str) -> DataFrame:
+def feedback_weights(events: DataFrame, key: str, order: list[str], verdict: str, run: int = 10_000) -> DataFrame:
     """key, weight, correct, wrong: an ordered fold of verdicts, clamped at each step (L1).
 
-    The fold does not commute, so a key's verdicts are ordered first; they are small structs, gathered by key only.
+    The fold does not commute, so a key's verdicts are numbered in order first. What ``run`` of them do to any weight is adding a number and
+    clamping the sum, so each run is folded to three numbers, and those of a key are applied one after another: no row holds a whole log.
     """
-    log = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(verdict).alias("v")))).alias("log"))
-    step = lambda w, x: F.when(x["v"] == "correct", F.least(F.lit(HIGH), w + UP)).when(x["v"] == "wrong", F.greatest(F.lit(LOW), w - DOWN)).otherwise(w)
-    count = lambda v: F.size(F.filter("log", lambda x: x["v"] == v))
-    return log.select(key, F.round(F.aggregate("log", F.lit(1.0), step), 6).alias("weight"), count("correct").alias("correct"), count("wrong").alias("wrong"))
+    nth = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / run)
+    log = events.select(key, *order, F.col(verdict).alias("v")).withColumn("run", nth).groupBy(key, "run").agg(
+        F.sort_array(F.collect_list(F.struct(*order, "v"))).alias("log"), F.count_if(F.col("v") == "correct").cast("int").alias("correct"), F.count_if(F.col("v") == "wrong").cast("int").alias("wrong"))
+    inf = F.lit(float("inf"))
+    start = F.struct(F.lit(0.0).alias("add"), (-inf).alias("low"), inf.alias("high"))
+
+    def moved(f: Column, by: float, bound: Callable[[Column], Column]) -> Column:
+        return F.struct((f["add"] + by).alias("add"), bound(f["low"] + by).alias("low"), bound(f["high"] + by).alias("high"))
+
+    def step(f: Column, x: Column) -> Column:
+        up, down = moved(f, UP, lambda w: F.least(F.lit(HIGH), w)), moved(f, -DOWN, lambda w: F.greatest(F.lit(LOW), w))
+        return F.when(x["v"] == "correct", up).when(x["v"] == "wrong", down).otherwise(f)
+
+    folded = log.select(key, "run", "correct", "wrong", F.aggregate("log", start, step).alias("f"))
+    runs = folded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("run", "f"))).alias("runs"), F.sum("correct").cast("int").alias("correct"), F.sum("wrong").cast("int").alias("wrong"))
+    weight = F.aggregate("runs", F.lit(1.0), lambda w, r: F.least(r["f"]["high"], F.greatest(r["f"]["low"], w + r["f"]["add"])))
+    return runs.select(key, F.round(weight, 6).alias("weight"), "correct", "wrong")
 
 
 def feedback_summary(weights: DataFrame) -> DataFrame:

@@ -209,11 +209,11 @@ def _numbered(segments: DataFrame) -> DataFrame:
 
 
 #: The pages' own markup: lists, divisions and paragraphs without others inside; open paragraphs end where the next begins.
-_PAGE_SEGMENTS = r"""h as (select page_id::varchar as doc, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') as html from pages),
-    m as (select doc, regexp_extract_all(html, '(?is)<(?:p|li|div|span)(?:\s[^>]*)?>(?:[^<]|<(?:/?(?:b|i|a|em|br|strong|u|small|code|h[1-6])\b)[^>]*>)*', 0) as parts from h),
-    e as (select doc, unnest(parts) as part, generate_subscripts(parts, 1) as i from m),
-    u as (select doc, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from e),
-    s as (select doc, row_number() over (partition by doc order by i) as n, text, sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) over (partition by doc order by i rows unbounded preceding) as words from u where length(text) >= 2)"""
+_PAGE_SEGMENTS = r"""plain as (select page_id::varchar as doc, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') as html from pages),
+    found as (select doc, regexp_extract_all(html, '(?is)<(?:p|li|div|span)(?:\s[^>]*)?>(?:[^<]|<(?:/?(?:b|i|a|em|br|strong|u|small|code|h[1-6])\b)[^>]*>)*', 0) as parts from plain),
+    piece as (select doc, unnest(parts) as part, generate_subscripts(parts, 1) as i from found),
+    clean as (select doc, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from piece),
+    s as (select doc, row_number() over (partition by doc order by i) as n, text, sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) over (partition by doc order by i rows unbounded preceding) as words from clean where length(text) >= 2)"""
 
 
 @query(f"with {_PAGE_SEGMENTS} select doc, n::int as n, 'prose' as kind, text, (words // 550 + 1)::int as page, 'word_count' as page_method, null::varchar as units, 'other' as section, null::varchar as footnote_id from s")
@@ -222,12 +222,6 @@ def html_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _numbered(P.segments(_dom(spark, sf)))
 
 
-@query()
-def html_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """C2-C8 over the pages' segments."""
-    return C.chunks(P.segments(_dom(spark, sf)))
-
-
 def _filings(spark: SparkSession, sf: str) -> DataFrame:
     """A filing for each order: prose, a statement with a line for each item, a note with its definition, and a printed page for each item."""
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("i"))
@@ -286,10 +280,13 @@ def _line_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).filter(F.trim("line") != "").select(F.col("doc").cast("string").alias("doc"), "seq", kind.alias("kind"), F.col("line").alias("text"), F.lit(0).alias("sub"), F.lit(1).alias("page"), F.lit("word_count").alias("page_method"), F.lit(None).cast("string").alias("units"), named.alias("section"))
 
 
-def _chunk_sql(kind: str) -> str:
-    """Chunks of lines. Prose: a recursion over the items of a document with the window's first item and the first that is new; ``t`` sums the words before an item.
+def _chunk_sql(kind: str = "'prose'", pages: bool = False) -> str:
+    """Chunks of lines, or of the segments of ``pages``. Prose: a recursion over the items of a document with the window's first item and the first that is new; ``t`` sums the words before an item.
     Rows of tables: runs that stand together in one section; lines stay below their budget, which the recursion of :func:`token_batches` shows instead."""
-    return rf"""with recursive {_LINES}, s as (select doc::varchar as doc, seq, line as text, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') as w, {kind} as kind, case when seq % 2 = 0 then 'balance_sheet' else 'other' end as section, row_number() over (partition by doc order by seq) as place from l where trim(line) <> ''),
+    lines = rf"{_LINES}, s as (select doc::varchar as doc, seq, line as text, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') as w, {kind} as kind, case when seq % 2 = 0 then 'balance_sheet' else 'other' end as section, row_number() over (partition by doc order by seq) as place from l where trim(line) <> '')"
+    parts = _PAGE_SEGMENTS.replace("s as (", "page as (") + ", s as (select doc, n as seq, text, list_filter(string_split(text, ' '), lambda x: x <> '') as w, 'prose' as kind, 'other' as section, n as place from page)"
+    places = "" if pages else ", first_seq::int as first_seq, last_seq::int as last_seq"
+    return rf"""with recursive {parts if pages else lines},
     k as (select *, case when kind = 'prose' and len(w) > 400 then 'long' else kind end as k from s),
     i as (select *, row_number() over (partition by doc order by seq) - 1 as p, coalesce(sum(len(w)) over (partition by doc order by seq rows between unbounded preceding and 1 preceding), 0) as t from k where k = 'prose'),
     e as (select doc, p, t, text, len(w) as n, seq, section from i union all select k.doc, coalesce(max(p) + 1, 0), coalesce(max(t + len(i.w)), 0), null, null, null, null from (select distinct doc from k) k left join i using (doc) group by k.doc),
@@ -306,14 +303,20 @@ def _chunk_sql(kind: str) -> str:
     z as (select doc, doc || '::prose::' || (row_number() over (partition by doc order by p, q, part) - 1) as chunk_id, 'prose' as chunk_type, text, first_seq, last_seq from o
     union all select doc, doc || '::table_row::' || (row_number() over (partition by doc order by first_seq) - 1), 'table_row', case section when 'other' then '' else '[Balance Sheet]' || chr(10) end || text, first_seq, last_seq from h
     union all select doc, doc || '::footnote::' || nth || case when len(w) > 400 then '_p' || part else '' end, 'footnote', case when len(w) > 400 then array_to_string(list_slice(w, part * 400 + 1, part * 400 + 400), ' ') else text end, seq, seq from (select *, unnest(range(greatest(1, (len(w) + 399) // 400))) as part from f))
-    select doc, chunk_id, chunk_type, text, first_seq::int as first_seq, last_seq::int as last_seq from z"""
+    select doc, chunk_id, chunk_type, text{places} from z"""
 
 
 def _chunked(segments: DataFrame) -> DataFrame:
     return C.chunks(segments).select("doc", "chunk_id", "chunk_type", "text", "first_seq", "last_seq")
 
 
-@query(_chunk_sql("'prose'"))
+@query(_chunk_sql(pages=True))
+def html_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """C2-C8 over the pages' segments."""
+    return C.chunks(P.segments(_dom(spark, sf))).select("doc", "chunk_id", "chunk_type", "text")
+
+
+@query(_chunk_sql())
 def chunk_prose(spark: SparkSession, sf: str) -> DataFrame:
     """A document's lines as prose."""
     return _chunked(_line_segments(spark, sf).withColumn("kind", F.lit("prose")))

@@ -14,6 +14,8 @@ def test_feedback_batch_equals_stream(spark, tmp_path):
     rows = spark.createDataFrame([(k, t, t, v) for k, t, v in LOG], "key string, ts int, seq int, verdict string")
     batch = {r.key: (r.weight, r.correct, r.wrong) for r in L.feedback_weights(rows, "key", ["ts", "seq"], "verdict").collect()}
     assert batch == {"a": (0.95, 1, 1), "b": (1.0, 0, 0), "c": (1.85, 20, 1), "d": (0.1, 0, 20)}
+    for run in (1, 3, 7):
+        assert {r.key: (r.weight, r.correct, r.wrong) for r in L.feedback_weights(rows, "key", ["ts", "seq"], "verdict", run).collect()} == batch
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = streamed_weights(stream).writeStream.outputMode("update").format("memory").queryName("weights").option("checkpointLocation", str(tmp_path / "cp")).start()
