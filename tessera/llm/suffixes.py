@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import forget, materialise
-from tessera.llm.skew import spread_join
+from tessera.llm.skew import even_keys, spread_join
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
@@ -258,7 +258,7 @@ def _hot_strings(block: int, body: np.ndarray, ids: np.ndarray, ends: np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(later[a : a + n]), none, pa.array(raw[a : a + n], pa.binary()), none, none, pa.array(held, pa.binary()), pa.array(least[a : a + n])], names=[x.split()[0] for x in RUNS.split(", ")])
 
 
-def _runner(ranges: int):
+def _runner(ranges: int, names: list[int]):
     """Front-coded sorted runs of a block's shared contexts, by bucket, and where each context stands; and its hot strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def _runner(ranges: int):
                     a, b = cut[r], cut[r + 1]
                     if b > a:
                         lengths, rest = _front_coded(sorted_rows[a:b])
-                        out.append((r, block, int(b - a), pack.compress(lengths), pack.compress(rest), pack.compress(least[a:b].astype("<i8").tobytes()), np.diff(starts[a : b + 1]).astype("<u4").tobytes(), at[occurs[starts[a] : starts[b]]].astype("<u4").tobytes(), None))
+                        out.append((names[r], block, int(b - a), pack.compress(lengths), pack.compress(rest), pack.compress(least[a:b].astype("<i8").tobytes()), np.diff(starts[a : b + 1]).astype("<u4").tobytes(), at[occurs[starts[a] : starts[b]]].astype("<u4").tobytes(), None))
                 kinds = [pa.int64()] * 3 + [pa.binary()] * 5 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in RUNS.split(", ")])
 
@@ -513,7 +513,7 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None, hot: int = HOT) -
     by_block = materialise(replies.groupBy("block").agg(F.collect_list(F.struct("range", "bits", "hot")).alias("replies")), "shared-anchors")
     size = by_block.agg(F.sum(F.aggregate("replies", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["bits"]) + F.octet_length(r["hot"]) + 16))).first()[0] or 0
     few = F.broadcast(by_block) if size <= BROADCAST else by_block
-    runs = materialise(blocks.join(few, "block").mapInArrow(_runner(ranges), RUNS), "runs")
+    runs = materialise(blocks.join(few, "block").mapInArrow(_runner(ranges, even_keys(blocks.sparkSession, BUCKETS * ranges)), RUNS), "runs")
     cold = runs.filter("bucket >= 0")
     merged = cold.select("bucket", "block", "n", "shared", "rest", "least").groupBy("bucket").applyInPandas(_merged, "block long, bucket long, bits binary")
     answers = merged.join(cold.select("bucket", "block", "least", "counts", "places", "first"), ["bucket", "block"]).select("block", "bits", "least", "counts", "places", "first")
