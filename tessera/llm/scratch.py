@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder from ``spark.checkpoint.dir``; a fresh local one only where the master is a single JVM."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
-        return base.rstrip("/")
+        return _qualified(spark, base.rstrip("/"))
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, so that readers other than Spark find the same folder."""
+    if "://" not in path:
+        system, target = _located(spark, path)
+        path = system.makeQualified(target).toString()
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"

@@ -62,9 +62,9 @@ def test_ids_are_the_librarys():
     texts += [prose(400), "x" * 50_000, "it's <|endoftext|> 12 " * 50, "漢字 ﬁ é", " \n\t"]
     for t in texts:
         assert np.frombuffer(ours.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t[:20])
-    assert ours.words.held <= 30_000 and ours.pieces.held <= 10_000
+    assert 0 < ours.words.size <= 30_000 and 0 < ours.pieces.size <= 10_000
     ours.forget()
-    assert not ours.words and not ours.pieces and ours.ids(None) == b""
+    assert not ours.words.size and not ours.pieces.size and ours.ids(None) == b""
 
 
 def _warc(kind, payload, **fields):
@@ -474,6 +474,29 @@ def test_spread_join(spark, monkeypatch):
     assert sorted(map(tuple, got.select("v", "w").collect())) == sorted((i, 5 if i % 2 else -i) for i in range(4000))
 
 
+def test_written_tables(spark):
+    """Folders get their scheme; a table goes when it is forgotten."""
+    import os
+
+    from tessera.llm import scratch
+
+    assert scratch._qualified(spark, "/tmp/x") == "file:///tmp/x" == scratch._qualified(spark, "file:/tmp/x") and scratch._qualified(spark, "s3a://b/x") == "s3a://b/x"
+    one = scratch.materialise(spark.range(3).select(F.col("id").alias("a.b")), "one")
+    folder = one._written.removeprefix("file://")
+    assert sorted(r[0] for r in one.collect()) == [0, 1, 2] and os.path.isdir(folder)
+    scratch.forget(one, spark.range(1))
+    assert not os.path.exists(folder)
+
+
+def test_even_keys(spark):
+    from tessera.llm.skew import even_keys
+
+    for n in (1, 3, 8, 50):
+        keys = even_keys(spark, n)
+        counts = spark.createDataFrame([(k,) for k in keys], "k long").groupBy(F.pmod(F.hash("k"), F.lit(4)).alias("p")).count().collect()
+        assert len(set(keys)) == n and max(r["count"] for r in counts) == -(-n // 4)
+
+
 def _pipeline_folder(spark, tmp_path, rows, labels, items):
     clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).drop("a.b").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
