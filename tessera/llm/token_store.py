@@ -186,7 +186,6 @@ def _encoder(vocabulary: str):
                     docs, texts, held = [], [], 0
             if docs:
                 yield coded(docs, texts)
-        encoder.forget()
 
     return encode
 

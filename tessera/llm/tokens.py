@@ -2,8 +2,7 @@
 
 The vocabulary lower-cases, drops white space and splits into runs of letters, single digits and
 runs of other signs before it merges, so a text's ids are the ids of those pieces one after another.
-A task keeps what it has seen, up to a limit in bytes, and asks the library's model only for new pieces; at its end it
-forgets them. Texts with characters at or above U+0300, with characters that lower() takes there, or with the strings of
+A worker keeps what it has seen, up to a limit in bytes, and asks the library's model only for new pieces. Texts with characters at or above U+0300, with characters that lower() takes there, or with the strings of
 special tokens take the library's whole path.
 
 Defined cases: null and empty texts and texts of white space have no ids; a text may be of any length.
@@ -13,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 
@@ -44,32 +44,46 @@ _LETTERS = _byte_letters()
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-class Cache(dict):
-    """Bytes by string; emptied when its entries would take more than ``most`` bytes."""
+class Cache:
+    """Bytes by string, ``most`` bytes at most. What was used since the young half was last full stays when it is full again."""
 
     #: What an entry takes besides its characters and ids, about.
     ENTRY = 200
 
     def __init__(self, most: int):
-        self.most, self.held = most, 0
+        self.half = most // 2
+        self.forget()
+
+    @property
+    def size(self) -> int:
+        return self.held + self.held_old
+
+    def find(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.keep(key, got)
+        return got
 
     def keep(self, key: str, value: bytes) -> None:
         size = self.ENTRY + len(key) + len(value)
-        if self.held + size > self.most:
-            self.forget()
-        if size <= self.most:
-            self[key] = value
+        if self.held + size > self.half:
+            self.old, self.held_old, self.young, self.held = self.young, self.held, {}, 0
+        if size <= self.half:
+            self.young[key] = value
             self.held += size
 
     def forget(self) -> None:
-        self.clear()
-        self.held = 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = self.held_old = 0
 
 
 class Encoder:
     """The ``tokenizers`` file at ``path``; remembers at most so many bytes of words and of pieces."""
 
-    def __init__(self, path: str, words: int = 40_000_000, pieces: int = 20_000_000):
+    def __init__(self, path: str, words: int = 60_000_000, pieces: int = 120_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,22 +101,25 @@ class Encoder:
         return _ENCODERS[path]
 
     def forget(self) -> None:
-        """Free what was remembered; a worker outlives its tasks."""
+        """Free what was remembered."""
         self.words.forget()
         self.pieces.forget()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
+        got = self.pieces.find(piece)
         if got is None:
             plain = piece.isascii() and piece.isprintable()
             letters = piece if plain else "".join([_LETTERS[b] for b in piece.encode()])
-            got = np.array([x.id for x in self.model.tokenize(letters)], dtype="<u4").tobytes()
+            ids = [x.id for x in self.model.tokenize(letters)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
             self.pieces.keep(piece, got)
         return got
 
     def _word(self, word: str) -> bytes:
-        got = b"".join([self._piece(x) for x in _PIECE.findall(word)])
-        self.words.keep(word, got)
+        got = self.words.find(word)
+        if got is None:
+            got = b"".join([self._piece(x) for x in _PIECE.findall(word)])
+            self.words.keep(word, got)
         return got
 
     def ids(self, text: str | None) -> bytes:
@@ -112,7 +129,7 @@ class Encoder:
         if _RARE.search(text) or (self.special and self.special.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        out = list(map(self.words.get, words))
+        out = list(map(self.words.young.get, words))
         if None in out:
             out = [self._word(w) if x is None else x for w, x in zip(words, out)]
         return b"".join(out)
