@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import tidied
 from tessera.llm.names import own_columns, unused
 from tessera.llm.scratch import materialise
 
@@ -275,7 +276,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, c
     if second is None:
         # All columns travel in one, so that no name matters.
         rows = docs.select("text", F.struct(*own_columns(docs)).alias("row"))
-        return rows.mapInArrow(clean(first), rows.schema).select("row.*") if first else docs
+        return rows.mapInArrow(tidied(clean(first)), rows.schema).select("row.*") if first else docs
     keyed = docs.select("text", F.sha2("text", 256).alias("_hash"))
     gone = None
     for block in chain((first, second), rest):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.memory import tidied
 from tessera.llm.tokens import Encoder, crc32
 
 END = 1
@@ -143,4 +144,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = (2
         packer.drain(True)
         yield packer.taken()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(packed, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidied(packed), SCHEMA)

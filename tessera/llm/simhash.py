@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm.components import components
+from tessera.llm.memory import tidied, tidy
 from tessera.llm.names import own_columns, unused
 from tessera.llm.scratch import materialise
 from tessera.llm.skew import spread_join
@@ -114,7 +115,7 @@ def fingerprints(docs: DataFrame, width: int, wide: bool = False) -> DataFrame:
                         out[k, 1:4] = [majority(_rehash(h, c)) for c in _FURTHER]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(5)]], names=["doc_id", "text_key", "fp", "w1", "w2", "w3", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(hashed, "doc_id long, text_key long, fp long, w1 long, w2 long, w3 long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(tidied(hashed), "doc_id long, text_key long, fp long, w1 long, w2 long, w3 long, node long")
 
 
 WORDS = ("fp", "w1", "w2", "w3")
@@ -311,6 +312,7 @@ def _linker(masks: list[Band], distance: int, most: int | None):
         left, right = np.flatnonzero(role & 1), np.flatnonzero(role == 2)
         _local(x, left, right, mask, radius, distance, forest)
         node, pairs = group["node"].to_numpy(np.int64), np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+        tidy()
         return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
     return links
@@ -372,7 +374,7 @@ def link_fingerprints(fps: DataFrame, distance: int, most: int | None = None, sh
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tasks).astype(np.int64)), pa.array(np.concatenate(roles)), *rest], names=["task", "role", *carried])
 
     schema = "task long, role int, " + ", ".join(f"{c} long" for c in carried)
-    return fps.select(*carried).mapInArrow(dealt, schema).groupBy("task").applyInPandas(_linker(masks, distance, most), "a long, b long")
+    return fps.select(*carried).mapInArrow(tidied(dealt), schema).groupBy("task").applyInPandas(_linker(masks, distance, most), "a long, b long")
 
 
 def _named(known: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -422,8 +424,13 @@ def _alike(sets: list[np.ndarray], root: np.ndarray, role: np.ndarray, similar:
                 continue
             mine = ids[starts[k] : starts[k + 1]]
             marked[mine] = True
-            for a in range(0, len(j), 256):
-                part = j[a : a + 256]
+            a, some = 0, 4
+            while a < len(j):
+                # A hit joins whole components, so few are looked at first, and what they have joined is passed over.
+                part, a, some = j[a : a + some], a + some, min(256, 4 * some)
+                part = part[forest.label[own[part]] != forest.label[i]]
+                if not len(part):
+                    continue
                 each = n[part]
                 first = np.concatenate(([0], np.cumsum(each)[:-1]))
                 at = np.repeat(starts[part] - first, each) + np.arange(each.sum())
@@ -455,7 +462,7 @@ def _exact_links(docs: DataFrame, known: DataFrame, coarse: DataFrame, width: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "shingles"])
 
     # Repeated rows of a lent text give one set.
-    of_node = materialise(held.dropDuplicates(["node"]).mapInArrow(hashed, "node long, shingles binary"), "sets")
+    of_node = materialise(held.dropDuplicates(["node"]).mapInArrow(tidied(hashed), "node long, shingles binary"), "sets")
     spread = dealt.select("node", "root", F.inline(F.when(F.col("parts").isNull(), one).otherwise(pairs)))
     # Groups in one task share no root with a block of a large one.
     grouped = of_node.join(spread, "node").withColumn("task", F.when(F.col("j") < 0, F.xxhash64("i")).otherwise(F.xxhash64("root", "i", "j")))
@@ -464,6 +471,7 @@ def _exact_links(docs: DataFrame, known: DataFrame, coarse: DataFrame, width: in
         held = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
         pairs = np.array(_alike(held, group["root"].to_numpy(), group["role"].to_numpy(), similar).links, dtype=np.int64).reshape(-1, 2)
         node = group["node"].to_numpy(np.int64)
+        tidy()
         return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
     return grouped.select("task", "root", "role", "node", "shingles").groupBy("task").applyInPandas(linked, "a long, b long")

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from tessera.llm.memory import tidied
 from tessera.llm.names import own_columns
 from tessera.llm.scratch import materialise
 
@@ -325,7 +326,7 @@ def _featured(model, source: DataFrame) -> DataFrame:
     for name in FEATURES:
         schema = schema.add(name, DoubleType())
     if not isinstance(model, tuple):
-        return source.select("_text", *rest).mapInArrow(_by_model(model, schema.names), schema)
+        return source.select("_text", *rest).mapInArrow(tidied(_by_model(model, schema.names)), schema)
     keyed = source.withColumn("_hash", F.md5(F.coalesce("_text", F.lit(""))))
     pairs = keyed.select("_text", "_hash").mapInArrow(_words_of, "_hash string, word string")
     sequences = materialise(pairs.select("word").distinct().mapInArrow(_grams_of, "word string, gram long"), "words")
@@ -375,7 +376,7 @@ def _scorer(docs: DataFrame, labels: DataFrame) -> float | tuple:
     marked = known.select("doc_id", "toxic", fitted.alias("fitted"))
     train = ids.join(F.broadcast(marked) if stats.n <= BROADCAST else marked, "doc_id").select("text", "toxic", "fitted")
     rest = lambda c: F.sum(F.when(F.col("fitted"), 0).otherwise(F.col(c))).alias(f"{c}_rest")
-    counts = train.mapInArrow(_counter, "gram long, toxic long, other long, fitted boolean").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), rest("toxic"), rest("other"))
+    counts = train.mapInArrow(tidied(_counter), "gram long, toxic long, other long, fitted boolean").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), rest("toxic"), rest("other"))
     counts = materialise(counts, "sequences")
     trial = _model(counts.filter("toxic_rest + other_rest > 0").select("gram", F.col("toxic_rest").alias("toxic"), F.col("other_rest").alias("other")))
     if trial is None:
