@@ -109,7 +109,7 @@ def units_locf(spark: SparkSession, sf: str) -> DataFrame:
 def section_asof_expiry(spark: SparkSession, sf: str) -> DataFrame:
     """The section in force expires after a page."""
     named = F.when(F.col("event_type") == "purchase", "balance_sheet").when(F.col("event_type") == "signup", "cash_flow").otherwise("other")
-    page = F.floor(F.col("value") / 10).cast("int") + F.round(F.col("event_id") / 400).cast("int")
+    page = F.floor(F.col("value") / 10).cast("int") + F.rint(F.col("event_id") / 400).cast("int")
     e = table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("seq"), named.alias("named"), page.alias("page"))
     return e.select("doc", "seq", P.section_in_force(F.col("named"), F.col("page"), "doc", "seq").alias("section"))
 
