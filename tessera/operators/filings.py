@@ -184,7 +184,7 @@ def facts(dom: DataFrame, per_page: int = 550, least_breaks: int = 5, heading_mo
 def footnote_definitions(texts: DataFrame, most: int = 200_000) -> DataFrame:
     """doc, footnote_id, body: lines that start with a number, punctuation and more than 15 characters; the last of an id (P20)."""
     head = F.substring("text", 1, most)
-    pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(1)).alias("id"), F.transform(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(2)), F.trim).alias("body"))
+    pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(1)).alias("id"), F.transform(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(2)), lambda x: F.trim(x)).alias("body"))
     each = texts.select("doc", F.posexplode(pairs).alias("pos", "p")).filter(F.length("p.body") > 15)
     return each.groupBy("doc", F.col("p.id").alias("footnote_id")).agg(F.max_by("p.body", "pos").alias("body"))
 

@@ -19,3 +19,7 @@ def same(spark, folder, name, **tables):
 
 def test_halves_of_pages_are_even(spark, tmp_path):
     same(spark, tmp_path, "section_asof_expiry", events="select * from (values (1, 200, 'purchase', 5.0), (1, 600, 'view', 5.0), (2, 28200, 'view', 5.0), (2, 28199, 'purchase', 0.0), (2, 28600, 'view', 5.0)) t(user_id, event_id, event_type, value)")
+
+
+def test_definitions_keep_digits_at_their_ends(spark, tmp_path):
+    same(spark, tmp_path, "footnote_definitions", documents="select * from (values (1, '0997 and more digits after 10', 's'), (2, e'1. what the first note says  \\n2. 1 and what the second says 1', 's'), (3, '', 's')) t(doc_id, text, source)")
