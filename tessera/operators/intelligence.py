@@ -110,7 +110,9 @@ def value_near(text: Column, patterns: list[str], reach: int = 100) -> Column:
     Patterns are tried in order; one without a match, without a number near, or with one that can't be read gives way to the next. Null if
     none is left.
     """
-    found = r"(?i)\b(\$?\s*[\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?\b"
+    # Words are ASCII: Java's \b also stands beside accented letters, and its \s holds a vertical tab.
+    edge = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+    found = rf"(?i){edge}(\$?[\t\n\f\r ]*[0-9,]+(?:\.[0-9]+)?)[\t\n\f\r ]*(million|billion|thousand)?{edge}"
 
     def by(pattern: str) -> Column:
         at = F.regexp_instr(text, F.lit(f"(?i){pattern}"))

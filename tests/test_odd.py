@@ -23,3 +23,8 @@ def test_halves_of_pages_are_even(spark, tmp_path):
 
 def test_definitions_keep_digits_at_their_ends(spark, tmp_path):
     same(spark, tmp_path, "footnote_definitions", documents="select * from (values (1, '0997 and more digits after 10', 's'), (2, e'1. what the first note says  \\n2. 1 and what the second says 1', 's'), (3, '', 's')) t(doc_id, text, source)")
+
+
+def test_numbers_beside_accented_letters(spark, tmp_path):
+    texts = ["the hean. ç les, èréan étre. CC BY-NC 4.0.", "the é5 6", "thé_8 the é 8", "the 5é 7", "the é,5 7", "the x\x0b5 7", "the $ 1,204.50 in all", "the"]
+    same(spark, tmp_path, "value_in_texts", documents="select * from (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(texts)) + ") t(doc_id, text)")
