@@ -126,6 +126,11 @@ def value_near(text: Column, patterns: list[str], reach: int = 100) -> Column:
     return F.coalesce(*[by(p) for p in patterns])
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Halves of the scaled double go up; ``round`` would take halves of its shortest decimal form."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def contradictions(values: DataFrame, key: list[str], least: float = 0.005, high: float = 0.02) -> DataFrame:
     """Pairs of sections that state different values (K6). ``values`` has key, section, ord, value; sections of a key are few."""
     positive = values.filter("value > 0")
@@ -133,7 +138,7 @@ def contradictions(values: DataFrame, key: list[str], least: float = 0.005, high
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col("a.ord") < F.col("b.ord")]
     gap = F.abs(F.col("a.value") - F.col("b.value")) / F.greatest("a.value", "b.value")
     pairs = a.join(b, on).withColumn("gap", gap).filter(F.col("gap") > least)
-    return pairs.select(*[F.col(f"a.{k}") for k in key], F.col("a.section").alias("section_a"), F.col("b.section").alias("section_b"), F.round(F.col("gap") * 100, 2).alias("pct"), F.when(F.col("gap") > high, "high").otherwise("medium").alias("severity"))
+    return pairs.select(*[F.col(f"a.{k}") for k in key], F.col("a.section").alias("section_a"), F.col("b.section").alias("section_b"), rounded(F.col("gap") * 100, 2).alias("pct"), F.when(F.col("gap") > high, "high").otherwise("medium").alias("severity"))
 
 
 def metric_range(history: DataFrame, key: list[str]) -> DataFrame:

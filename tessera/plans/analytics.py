@@ -64,8 +64,8 @@ def contradictions(spark: SparkSession, sf: str) -> DataFrame:
     """K6: totals against sums of lines."""
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit("orders").alias("section"), F.lit(0).alias("ord"), F.col("o_totalprice").alias("value"))
-    net = lines.agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("value")).select("k", F.lit("lines").alias("section"), F.lit(1).alias("ord"), "value")
-    gross = lines.agg(F.round(F.sum("l_extendedprice"), 2).alias("value")).select("k", F.lit("gross").alias("section"), F.lit(2).alias("ord"), "value")
+    net = lines.agg(K.rounded(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("value")).select("k", F.lit("lines").alias("section"), F.lit(1).alias("ord"), "value")
+    gross = lines.agg(K.rounded(F.sum("l_extendedprice"), 2).alias("value")).select("k", F.lit("gross").alias("section"), F.lit(2).alias("ord"), "value")
     return K.contradictions(orders.union(net).union(gross), ["k"])
 
 

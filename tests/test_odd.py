@@ -28,3 +28,9 @@ def test_definitions_keep_digits_at_their_ends(spark, tmp_path):
 def test_numbers_beside_accented_letters(spark, tmp_path):
     texts = ["the hean. ç les, èréan étre. CC BY-NC 4.0.", "the é5 6", "thé_8 the é 8", "the 5é 7", "the é,5 7", "the x\x0b5 7", "the $ 1,204.50 in all", "the"]
     same(spark, tmp_path, "value_in_texts", documents="select * from (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(texts)) + ") t(doc_id, text)")
+
+
+def test_halves_of_cents(spark, tmp_path):
+    lines = "select * from (values (1, 57107.25, 0.02), (2, 54535.75, 0.02), (3, 33449.75, 0.02), (4, 70048.75, 0.02), (5, 100.0, 0.5)) t(l_orderkey, l_extendedprice, l_discount)"
+    as_doubles = "select l_orderkey::bigint as l_orderkey, l_extendedprice::double as l_extendedprice, l_discount::double as l_discount from"
+    same(spark, tmp_path, "contradictions", lineitem=f"{as_doubles} ({lines})", orders="select o::bigint as o_orderkey, 100.0::double as o_totalprice from range(1, 7) t(o)")
