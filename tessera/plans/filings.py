@@ -251,7 +251,7 @@ _FILING = """li as (select l_orderkey as o, l_quantity::bigint as q, l_returnfla
 @query(f"""with {_FILING} select 'ORDER_1998_' || o as doc, row_number() over (partition by o order by a, b)::int as n, kind, text, (page + case when marked then 10 else 0 end)::int as page, case when marked then 'marker' else 'word_count' end as page_method, units, section, case when kind = 'footnote' then '2' end as footnote_id from r join t using (o)""")
 def filing_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Whole filings made of orders, with breaks, printed pages, units, sections, tables and notes."""
-    return _numbered(P.segments(D.dom(_filings(spark, sf))))
+    return _numbered(P.segments(D.dom(_filings(spark, sf), said=True)))
 
 
 @query(f"""with {_FILING}, s as (select *, row_number() over (partition by o order by a, b) as n from r),

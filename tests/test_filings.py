@@ -219,3 +219,28 @@ def test_batches_follow_the_budget(spark):
                 batch, held = batch + 1, 0
             held += n
             assert got[own, k] == batch
+
+
+def test_plain_tags_are_read_as_by_the_library():
+    class Whole(D._Tree):
+        def read(self, html):
+            self.feed(html)
+            self.close()
+
+    g, own = random.Random(5), D._Tree
+    parts = ["<p>", "</p>", "<div>", "</div >", "<table>", "</table>", "<tr>", "<TD ColSpan='2'>", "<td colspan=0>", "<li>", "<h2>", "</h2>", "<br/>", '<hr style="page-break-after: always">', "<p style='break-before:always'/>"]
+    parts += ["words", " 12 ", "a &amp; b", "&", "a < b", "<!-- c -->", "<script>x<y</script>", "<style>", "<title>", "<noscript>", "<ix:nonFraction a='1>2'>", "<a href=/x/>", '<p a="b"c>', "<div", "<plaintext>"]
+    for k in range(2_000):
+        html = "".join(g.choice(parts[: 17 if k % 2 else None]) for _ in range(g.randrange(20)))
+        got = D.elements("d", html)
+        D._Tree = Whole
+        want = D.elements("d", html)
+        D._Tree = own
+        assert got == want, html
+        assert D.elements("d", html, said=True) == [r for r in want if r[1] == 0 or r[16] is not None or r[17]], html
+
+
+def test_scaffolding_says_nothing(spark):
+    pages = spark.createDataFrame([("A_2022_10K", PAGE)], "doc string, html string")
+    for what in (P.segments, P.facts):
+        assert what(D.dom(pages, said=True)).collect() == what(D.dom(pages)).collect() != []
