@@ -263,7 +263,7 @@ def filing_segments(spark: SparkSession, sf: str) -> DataFrame:
     union all select o, 'table_row', case a when 2 then 0 else 1 end, case a when 2 then '[Income Statement]' else '[Balance Sheet]' end || chr(10) || string_agg(text, chr(10) order by n), min(page), min(section) from s where kind = 'table_row' group by o, a) join t using (o)""")
 def filing_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """C2-C8 over whole filings: prose is carried over a footnote, rows are joined under their statement."""
-    return C.chunks(P.segments(D.dom(_filings(spark, sf)))).select("doc", "chunk_id", "chunk_type", "text", "page", "section")
+    return C.chunks(P.segments(D.dom(_filings(spark, sf), said=True))).select("doc", "chunk_id", "chunk_type", "text", "page", "section")
 
 
 @query(f"""with {_FILING}, x as (select o, 1 as k, i as row_idx, 'Line ' || i as row_label, unnest(['1998', '1999']) as column_header, unnest(['-' || q, f]) as value_text, unnest([-q::double, null]) as value_numeric, 1 as page, 'income_statement' as statement_type from li
