@@ -271,7 +271,7 @@ def filing_chunks(spark: SparkSession, sf: str) -> DataFrame:
     select 'ORDER_1998_' || o as doc, (row_idx + case k when 1 then 1 else 0 end)::int as row_idx, row_label, column_header, value_text || ' (in thousands)' as value_text, value_numeric, 'in thousands' as units, statement_type, (page + case when marked then 10 else 0 end)::int as page_num, 'ORDER' as company, 1998 as fiscal_year, 'annual' as period_type, o::varchar as filing_type from x join t using (o)""")
 def filing_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of whole filings by their own traversal."""
-    return P.facts(D.dom(_filings(spark, sf))).select("doc", "row_idx", "row_label", "column_header", "value_text", "value_numeric", "units", "statement_type", "page_num", "company", "fiscal_year", "period_type", "filing_type")
+    return P.facts(D.dom(_filings(spark, sf), said=True)).select("doc", "row_idx", "row_label", "column_header", "value_text", "value_numeric", "units", "statement_type", "page_num", "company", "fiscal_year", "period_type", "filing_type")
 
 
 def _line_segments(spark: SparkSession, sf: str) -> DataFrame:
