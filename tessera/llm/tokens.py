@@ -45,45 +45,59 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 class Cache:
-    """Bytes by string, ``most`` bytes at most. What was used since the young half was last full stays when it is full again."""
+    """Bytes by string, ``most`` bytes at most. Strings seen once have a quarter of it, and are forgotten together when that is full; so they don't
+    take the place of those seen again, of which what was used since their young half was last full stays when it is full again.
+    """
 
     #: What an entry takes besides its characters and ids, about.
     ENTRY = 200
 
     def __init__(self, most: int):
-        self.half = most // 2
+        self.once, self.half = most // 4, most * 3 // 8
         self.forget()
 
     @property
     def size(self) -> int:
-        return self.held + self.held_old
+        return self.held_new + self.held + self.held_old
 
     def find(self, key: str) -> bytes | None:
         got = self.young.get(key)
         if got is None:
-            got = self.old.get(key)
+            got = self.new.pop(key, None)
             if got is not None:
-                self.keep(key, got)
+                self.held_new -= self.ENTRY + len(key) + len(got)
+            else:
+                got = self.old.get(key)
+                if got is None:
+                    return None
+            size = self.ENTRY + len(key) + len(got)
+            if self.held + size > self.half:
+                self.old, self.held_old, self.young, self.held = self.young, self.held, {}, 0
+            if size <= self.half:
+                self.young[key] = got
+                self.held += size
         return got
 
     def keep(self, key: str, value: bytes) -> None:
+        """Remember what :meth:`find` didn't find."""
         size = self.ENTRY + len(key) + len(value)
-        if self.held + size > self.half:
-            self.old, self.held_old, self.young, self.held = self.young, self.held, {}, 0
-        if size <= self.half:
-            self.young[key] = value
-            self.held += size
+        if self.held_new + size > self.once:
+            self.new, self.held_new = {}, 0
+        if size <= self.once:
+            self.new[key] = value
+            self.held_new += size
 
     def forget(self) -> None:
+        self.new: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.held = self.held_old = 0
+        self.held_new = self.held = self.held_old = 0
 
 
 class Encoder:
     """The ``tokenizers`` file at ``path``; remembers at most so many bytes of words and of pieces."""
 
-    def __init__(self, path: str, words: int = 60_000_000, pieces: int = 120_000_000):
+    def __init__(self, path: str, words: int = 140_000_000, pieces: int = 40_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,19 +120,29 @@ class Encoder:
         self.pieces.forget()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.find(piece)
+        # Most pieces stand alone elsewhere.
+        got = self.words.find(piece) or self.pieces.find(piece)
         if got is None:
-            plain = piece.isascii() and piece.isprintable()
-            letters = piece if plain else "".join([_LETTERS[b] for b in piece.encode()])
-            ids = [x.id for x in self.model.tokenize(letters)]
-            got = struct.pack(f"<{len(ids)}I", *ids)
+            got = self._merged(piece)
             self.pieces.keep(piece, got)
         return got
 
+    def _merged(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()
+        letters = piece if plain else "".join([_LETTERS[b] for b in piece.encode()])
+        ids = [x.id for x in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: str) -> bytes:
         got = self.words.find(word)
         if got is None:
-            got = b"".join([self._piece(x) for x in _PIECE.findall(word)])
+            pieces = _PIECE.findall(word)
+            # A word that is one piece is kept as a word only.
+            if pieces == [word]:
+                got = self.pieces.find(word) or self._merged(word)
+            else:
+                known = map(self.words.young.get, pieces)
+                got = b"".join([self._piece(x) if k is None else k for x, k in zip(pieces, known)])
             self.words.keep(word, got)
         return got
 

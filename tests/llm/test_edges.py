@@ -522,3 +522,16 @@ def test_stages_at_their_edges(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     folder = _pipeline_folder(spark, tmp_path / "empty", rows[:0], labels[:0], [])
     assert pipeline.run(spark, folder).count() == 0
+
+
+def test_words_seen_once_leave_those_seen_again():
+    from tessera.llm.tokens import Cache
+
+    cache = Cache(100_000)
+    cache.keep("often", b"1234")
+    assert cache.find("often") == b"1234"
+    for k in range(5_000):
+        assert cache.find(f"w{k}") is None
+        cache.keep(f"w{k}", b"5678")
+        assert cache.size <= 100_000
+    assert cache.find("often") == b"1234" and cache.find("w0") is None and cache.find("w4999") == b"5678"
