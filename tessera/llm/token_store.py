@@ -41,6 +41,8 @@ END = 1
 LEAST, WINDOW, MASK, MOST = 128, 16, 511, 4096
 #: A task remembers so many chunks that it has sent.
 REMEMBERED = 500_000
+#: And encodes texts of so many characters at once.
+AT_ONCE = 6_000_000
 #: Nodes of the manifest's tree under one.
 FAN = 1024
 BLOCKS = "digest binary, payload binary, doc_id long, n_tokens long, digests binary, lengths binary, root binary"
@@ -147,7 +149,7 @@ _B, _L = pa.binary(), pa.int64()
 
 def _encoder(vocabulary: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.shared(vocabulary), np.array([END], dtype="<u4").tobytes()
+        encoder, end = Encoder.shared(vocabulary), np.array([END], dtype="<u4")
         sent: set[bytes] = set()
         nth, part = 0, TaskContext.get().partitionId()
 
@@ -175,17 +177,26 @@ def _encoder(vocabulary: str):
                 rows.append((key, None, doc_id, len(ids), digests, np.diff([0, *ends]).astype("<u4").tobytes(), _root(digests)))
             return _batch(rows, BLOCKS, [_B, _B, _L, _L, _B, _B, _B])
 
+        def several(docs: list[int | None], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+            block, held = [np.append(ids, end) for ids in encoder.many(texts)], 0
+            first = 0
+            for k, ids in enumerate(block):
+                held += len(ids)
+                if held > 500_000 or k == len(block) - 1:
+                    yield coded(docs[first : k + 1], block[first : k + 1])
+                    first, held = k + 1, 0
+
         for batch in batches:
             docs, texts, held = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs.append(doc_id)
-                texts.append(np.frombuffer(encoder.ids(text.as_py()) + end, dtype="<u4"))
-                held += len(texts[-1])
-                if held > 500_000:
-                    yield coded(docs, texts)
+                texts.append(text.as_py())
+                held += len(texts[-1] or "")
+                if held > AT_ONCE:
+                    yield from several(docs, texts)
                     docs, texts, held = [], [], 0
             if docs:
-                yield coded(docs, texts)
+                yield from several(docs, texts)
 
     return encode
 

@@ -535,3 +535,50 @@ def test_words_seen_once_leave_those_seen_again():
         cache.keep(f"w{k}", b"5678")
         assert cache.size <= 100_000
     assert cache.find("often") == b"1234" and cache.find("w0") is None and cache.find("w4999") == b"5678"
+
+
+def test_many_texts_look_up_each_piece_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import _PIECE, Cache, Encoder
+
+    own, library, ours = random.Random(5), Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    signs = [chr(i) for i in range(0x310)] + list("'''stmdrevell 09²\x0b\xa0\x85K") * 30
+    texts = ["".join(own.choice(signs) for _ in range(own.randrange(60))) for _ in range(4_000)]
+    texts += [None, "", " ", "'", "x'", "it'", "we'll", "'re", "a\n'r", "<|endoftext|> b", "漢字", "'s's", "²2"]
+    own.shuffle(texts)
+    for size in (1, 300):
+        for k in range(0, len(texts), size):
+            for text, ids in zip(texts[k : k + size], ours.many(texts[k : k + size])):
+                assert ids.tolist() == (library.encode(text, add_special_tokens=False).ids if text else []), repr(text)
+    asked = Counter()
+    find = Cache.find
+    monkeypatch.setattr(Cache, "find", lambda self, key: asked.update([(id(self), key)]) or find(self, key))
+    texts = ["Some words, then words' ends; some more words: 12."] * 500
+    got = Encoder(VOCABULARY).many(texts)
+    assert max(asked.values()) == 1 and {key for _, key in asked} == set(_PIECE.findall(texts[0].lower()))
+    assert {x.tobytes() for x in got} == {ours.ids(texts[0])}
+
+
+def test_a_store_is_the_same_in_blocks_of_any_size(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import token_store as T
+
+    own = random.Random(6)
+    texts = [" ".join(own.choice(["spring", "autumn,", "Übung", "it's", "漢"]) for _ in range(own.randrange(1_500))) for _ in range(30)] + [None, "", "x " * 700_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(len(texts) - 1), None], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(T, "TaskContext", Context)
+    found = []
+    for size in (0, 9_000, T.AT_ONCE):
+        monkeypatch.setattr(T, "AT_ONCE", size)
+        found.append([r for b in T._encoder(VOCABULARY)([batch]) for r in b.to_pylist()])
+    assert found[0] == found[1] == found[2]
+    recipes = [r for r in found[0] if r["payload"] is None]
+    ours = T.Encoder(VOCABULARY)
+    assert [(r["doc_id"], r["n_tokens"]) for r in recipes] == [(d, len(ours.ids(t)) // 4 + 1) for d, t in zip(batch.column(0).to_pylist(), texts)]
