@@ -10,8 +10,8 @@ from tessera.functions.text import accounting_number, document_name, is_numeric,
 
 #: A year in a header.
 YEAR = r"\b(19|20)\d{2}\b"
-#: A footnote's definition: a number at a line's start, punctuation, and what it says.
-DEFINITION = r"(?md)^\s*\(?(\d{1,2})\)?\s*[.\-:]\s*(.+)$"
+#: A footnote's definition: a number at a line's start, punctuation, and what it says. Lines without one match too, with empty groups, so that a run of blank lines is read once.
+DEFINITION = r"(?md)^\s*+(?:\(?(\d{1,2})\)?\s*[.\-:]\s*(.+)$)?"
 
 
 def is_break(style: Column) -> Column:
@@ -181,10 +181,9 @@ def facts(dom: DataFrame, per_page: int = 550, least_breaks: int = 5, heading_mo
     )
 
 
-def footnote_definitions(texts: DataFrame, most: int = 200_000) -> DataFrame:
-    """doc, footnote_id, body: lines that start with a number, punctuation and more than 15 characters; the last of an id (P20)."""
-    head = F.substring("text", 1, most)
-    pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(1)).alias("id"), F.transform(F.regexp_extract_all(head, F.lit(DEFINITION), F.lit(2)), lambda x: F.trim(x)).alias("body"))
+def footnote_definitions(texts: DataFrame) -> DataFrame:
+    """doc, footnote_id, body: lines of whole texts that start with a number, punctuation and more than 15 characters; the last of an id (P20)."""
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(DEFINITION), F.lit(1)).alias("id"), F.transform(F.regexp_extract_all("text", F.lit(DEFINITION), F.lit(2)), lambda x: F.trim(x)).alias("body"))
     each = texts.select("doc", F.posexplode(pairs).alias("pos", "p")).filter(F.length("p.body") > 15)
     return each.groupBy("doc", F.col("p.id").alias("footnote_id")).agg(F.max_by("p.body", "pos").alias("body"))
 

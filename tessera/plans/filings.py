@@ -350,7 +350,7 @@ def sgml_unwrap(spark: SparkSession, sf: str) -> DataFrame:
 _NUMBERED = r"(?m)^\s*\(?(\d{1,2})\)?\s*[.\-:]\s*(.+)$"
 
 
-@query(rf"""with d as (select doc_id as doc, substr(text || chr(10) || '3. ' || regexp_replace(text, '\s+', ' ', 'g') || chr(10) || '(4): short' || chr(10) || '(5) - ' || source || ' has the last word', 1, 200000) as t from documents),
+@query(rf"""with d as (select doc_id as doc, text || chr(10) || '3. ' || regexp_replace(text, '\s+', ' ', 'g') || chr(10) || '(4): short' || chr(10) || '(5) - ' || source || ' has the last word' as t from documents),
     p as (select doc, unnest(regexp_extract_all(t, '{_NUMBERED}', 1)) as footnote_id, unnest(regexp_extract_all(t, '{_NUMBERED}', 2)) as body, unnest(range(len(regexp_extract_all(t, '{_NUMBERED}', 1)))) as pos from d)
     select doc, footnote_id, trim(max_by(body, pos)) as body from p where length(trim(body)) > 15 group by all""")
 def footnote_definitions(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,6 +25,15 @@ def test_definitions_keep_digits_at_their_ends(spark, tmp_path):
     same(spark, tmp_path, "footnote_definitions", documents="select * from (values (1, '0997 and more digits after 10', 's'), (2, e'1. what the first note says  \\n2. 1 and what the second says 1', 's'), (3, '', 's')) t(doc_id, text, source)")
 
 
+def test_definitions_of_whole_texts(spark, tmp_path):
+    """Bodies of any length and definitions behind 200,000 characters, also behind as many blank lines."""
+    texts = "(1, repeat('word ', 50000) || chr(10) || '7. a definition far behind', 's'), (2, 'x' || repeat(chr(10), 400000) || '8. one behind blank lines' || repeat(chr(10), 300000) || 'y', 's')"
+    same(spark, tmp_path, "footnote_definitions", documents=f"select * from (values {texts}) t(doc_id, text, source)")
+    got = {(r.doc, r.footnote_id): r.body for r in QUERIES["footnote_definitions"](spark, str(tmp_path)).collect()}
+    assert got[1, "7"] == "a definition far behind" and got[2, "8"] == "one behind blank lines" and got[1, "5"] == got[2, "5"] == "s has the last word"
+    assert got[1, "3"] == "word " * 50000 + "7. a definition far behind"
+
+
 def test_numbers_beside_accented_letters(spark, tmp_path):
     texts = ["the hean. ç les, èréan étre. CC BY-NC 4.0.", "the é5 6", "thé_8 the é 8", "the 5é 7", "the é,5 7", "the x\x0b5 7", "the $ 1,204.50 in all", "the"]
     same(spark, tmp_path, "value_in_texts", documents="select * from (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(texts)) + ") t(doc_id, text)")
