@@ -131,6 +131,14 @@ def rounded(value: Column, digits: int) -> Column:
     return F.round(value * 10.0**digits) / 10.0**digits
 
 
+def sums_in_order(rows: DataFrame, key: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """key and the sums of doubles, each added row by row in ``order``: partial sums of a split input end in other last bits, which decide halves of cents."""
+    own = Window.partitionBy(*key).orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select(*key, *[F.sum(c).over(upto).alias(c) for c in sums], F.lead(F.lit(True)).over(own).alias("_more"))
+    return running.filter(F.col("_more").isNull()).drop("_more")
+
+
 def contradictions(values: DataFrame, key: list[str], least: float = 0.005, high: float = 0.02) -> DataFrame:
     """Pairs of sections that state different values (K6). ``values`` has key, section, ord, value; sections of a key are few."""
     positive = values.filter("value > 0")

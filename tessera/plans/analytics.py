@@ -62,11 +62,12 @@ def red_flags(spark: SparkSession, sf: str) -> DataFrame:
     select k, section_a, section_b, round(gap * 100, 2) as pct, case when gap > 0.02 then 'high' else 'medium' end as severity from p where gap > 0.005""")
 def contradictions(spark: SparkSession, sf: str) -> DataFrame:
     """K6: totals against sums of lines."""
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit("orders").alias("section"), F.lit(0).alias("ord"), F.col("o_totalprice").alias("value"))
-    net = lines.agg(K.rounded(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("value")).select("k", F.lit("lines").alias("section"), F.lit(1).alias("ord"), "value")
-    gross = lines.agg(K.rounded(F.sum("l_extendedprice"), 2).alias("value")).select("k", F.lit("gross").alias("section"), F.lit(2).alias("ord"), "value")
-    return K.contradictions(orders.union(net).union(gross), ["k"])
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), F.col("l_extendedprice").alias("gross"), *place)
+    of = lambda section, ord_, c: F.struct(F.lit(section).alias("section"), F.lit(ord_).alias("ord"), K.rounded(F.col(c), 2).alias("value"))
+    sums = K.sums_in_order(lines, ["k"], ["file", "row"], ["net", "gross"]).select("k", F.inline(F.array(of("lines", 1, "net"), of("gross", 2, "gross"))))
+    return K.contradictions(orders.union(sums), ["k"])
 
 
 #: Text beside each document's own, and the value of the metric in it: the first pattern with a number near wins; years and words count as they stand.

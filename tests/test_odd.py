@@ -43,3 +43,21 @@ def test_halves_of_cents(spark, tmp_path):
     lines = "select * from (values (1, 57107.25, 0.02), (2, 54535.75, 0.02), (3, 33449.75, 0.02), (4, 70048.75, 0.02), (5, 100.0, 0.5)) t(l_orderkey, l_extendedprice, l_discount)"
     as_doubles = "select l_orderkey::bigint as l_orderkey, l_extendedprice::double as l_extendedprice, l_discount::double as l_discount from"
     same(spark, tmp_path, "contradictions", lineitem=f"{as_doubles} ({lines})", orders="select o::bigint as o_orderkey, 100.0::double as o_totalprice from range(1, 7) t(o)")
+
+
+def test_sums_in_the_order_of_the_table(spark, tmp_path):
+    """Lines of an order in two files: their sums by file round to other cents than the sum of all, row by row."""
+    orders = [(0.381, 0.761, 0.324, 0.149), (0.737, 0.599, 0.317, 0.222), (0.522, 0.651, 0.304, 0.828), (0.493, 0.385, 0.679, 0.578)]
+    (tmp_path / "lineitem.parquet").mkdir()
+    c = duckdb.connect()
+    c.execute("set threads = 1")
+    for name, own in (("lineitem.parquet/a", slice(0, 2)), ("lineitem.parquet/b", slice(2, 4))):
+        lines = ", ".join(f"({k}, {p})" for k, prices in enumerate(orders) for p in prices[own])
+        c.execute(f"copy (select k::bigint as l_orderkey, p::double as l_extendedprice, 0.0::double as l_discount from (values {lines}) t(k, p)) to '{tmp_path}/{name}.parquet'")
+    c.execute(f"copy (select k as o_orderkey, 1.0::double as o_totalprice from range({len(orders)}) t(k)) to '{tmp_path}/orders.parquet'")
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    c.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    want = sorted(c.execute(ORACLES["contradictions"]).fetchall())
+    got = QUERIES["contradictions"](spark, str(tmp_path)).select("k", "section_a", "section_b", "pct", "severity").collect()
+    assert len(want) == 2 * len(orders) and sorted(map(tuple, got)) == want
+    assert [r[3] for r in want if r[2] == "lines"] == [round((1 - 1 / v) * 100, 2) for v in (1.62, 1.87, 2.31, 2.13)]
